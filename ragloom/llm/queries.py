@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ragloom.llm import urlfilter
+from ragloom.llm import urlfilter, warc
 from ragloom.llm.common import table
 from ragloom.llm.quality import quality_rules
 from ragloom.llm.secrets import secret_report
@@ -16,6 +16,10 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.url_verdicts(table(spark, sf_dir, "pages"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
@@ -25,7 +29,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_url_filters, op6_secret_scans, op8_quality_rules)}
+    return {f.__name__: f for f in (op3_url_filters, op4_warc, op6_secret_scans, op8_quality_rules)}
 
 
 ORACLE_SQL: dict[str, str] = {"op3_url_filters": urlfilter.oracle_sql()}
