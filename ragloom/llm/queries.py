@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ragloom.llm import urlfilter, warc
+from ragloom.llm import packing, urlfilter, warc
 from ragloom.llm.common import table
 from ragloom.llm.quality import quality_rules
 from ragloom.llm.secrets import secret_report
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.url_verdicts(table(spark, sf_dir, "pages"))
 
@@ -29,7 +34,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_url_filters, op4_warc, op6_secret_scans, op8_quality_rules)}
+    return {f.__name__: f for f in (op2_packing, op3_url_filters, op4_warc, op6_secret_scans, op8_quality_rules)}
 
 
 ORACLE_SQL: dict[str, str] = {"op3_url_filters": urlfilter.oracle_sql()}
