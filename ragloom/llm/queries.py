@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ragloom.llm import packing, urlfilter, warc
 from ragloom.llm.common import table
+from ragloom.llm.langid import language_report
 from ragloom.llm.quality import quality_rules
 from ragloom.llm.secrets import secret_report
 
@@ -29,12 +30,16 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_report(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packing, op3_url_filters, op4_warc, op6_secret_scans, op8_quality_rules)}
+    return {f.__name__: f for f in (op2_packing, op3_url_filters, op4_warc, op6_secret_scans, op7_language_id, op8_quality_rules)}
 
 
 ORACLE_SQL: dict[str, str] = {"op3_url_filters": urlfilter.oracle_sql()}
