@@ -12,6 +12,7 @@ from ragloom.llm.common import table
 from ragloom.llm.langid import language_report
 from ragloom.llm.quality import quality_rules
 from ragloom.llm.secrets import secret_report
+from ragloom.llm.simhash import near_duplicates
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +27,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
@@ -39,7 +44,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packing, op3_url_filters, op4_warc, op6_secret_scans, op7_language_id, op8_quality_rules)}
+    return {f.__name__: f for f in (op2_packing, op3_url_filters, op4_warc, op5_simhash, op6_secret_scans, op7_language_id, op8_quality_rules)}
 
 
 ORACLE_SQL: dict[str, str] = {"op3_url_filters": urlfilter.oracle_sql()}
