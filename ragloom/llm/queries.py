@@ -13,6 +13,11 @@ from ragloom.llm.langid import language_report
 from ragloom.llm.quality import quality_rules
 from ragloom.llm.secrets import secret_report
 from ragloom.llm.simhash import near_duplicates
+from ragloom.llm.toxicity import toxicity_scores
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +49,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packing, op3_url_filters, op4_warc, op5_simhash, op6_secret_scans, op7_language_id, op8_quality_rules)}
+    return {f.__name__: f for f in (op1_toxicity, op2_packing, op3_url_filters, op4_warc, op5_simhash, op6_secret_scans, op7_language_id, op8_quality_rules)}
 
 
 ORACLE_SQL: dict[str, str] = {"op3_url_filters": urlfilter.oracle_sql()}

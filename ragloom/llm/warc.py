@@ -171,7 +171,11 @@ def record_plan(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
 def trained_dictionary(pages: DataFrame) -> bytes | None:
     """A dictionary from a bounded sample of payloads; None where there are too few to train one."""
-    sample = pages.where(F.length("html") > 0).select(F.substring("html", 1, SAMPLE_BYTES).alias("h"), F.xxhash64("html").alias("k")).orderBy("k", "h").limit(SAMPLE_ROWS).collect()
+    key = F.xxhash64("page_id", "html")
+    filled = pages.where(F.length("html") > 0)
+    # The share is drawn before the order, so that what reaches the driver does not grow with the tasks.
+    drawn = filled.where(F.pmod(key, F.lit(max(1, filled.count() // (2 * SAMPLE_ROWS)))) == 0)
+    sample = drawn.select(F.substring("html", 1, SAMPLE_BYTES).alias("h"), key.alias("k")).orderBy("k", "h").limit(SAMPLE_ROWS).collect()
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, [r["h"].encode()[:SAMPLE_BYTES] for r in sample], level=3).as_bytes() if len(sample) >= 16 else None
     except zstandard.ZstdError:
