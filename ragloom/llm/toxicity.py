@@ -25,7 +25,9 @@ _CHAR_DIM, _CHAR_STATE, _WORD_DIM, _STATE = 8, 10, 6, 12
 _WORD_BUCKETS = 1 << 14
 #: Letters of a word that are read (a longer word is read in pieces of this size, and the pieces' states are averaged).
 _PIECE = 24
-_MEMORY = 150_000
+_MEMORY = 400_000
+#: Scorers of this Python worker by their network's checksum, so that tasks share what is remembered; only the last is kept.
+_scorers: dict[int, "Scorer"] = {}
 _WORD = re.compile(r"\w+|[^\w\s]+")
 
 
@@ -91,12 +93,11 @@ def _spelled(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         for at in range(0, len(w), _PIECE):
             pieces.append(w[at : at + _PIECE])
             owner.append(i)
-    longest = max(map(len, pieces), default=1)
-    letters, mask = np.zeros((longest, len(pieces)), np.int64), np.zeros((longest, len(pieces)), np.float32)
-    for i, piece in enumerate(pieces):
-        letters[: len(piece), i] = np.frombuffer(piece.encode("utf-32-le", "replace"), np.uint32) % _LETTERS
-        mask[: len(piece), i] = 1
-    return letters, mask, np.array(owner, np.int64)
+    lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    mask = np.arange(lengths.max() if len(pieces) else 1) < lengths[:, None]
+    letters = np.zeros(mask.shape, np.int64)
+    letters[mask] = np.frombuffer("".join(pieces).encode("utf-32-le", "surrogatepass"), np.uint32) % _LETTERS
+    return np.ascontiguousarray(letters.T), np.ascontiguousarray(mask.T.astype(np.float32)), np.array(owner, np.int64)
 
 
 def _word_bucket(word: str) -> int:
@@ -260,25 +261,20 @@ def train(texts: list[str], labels: list[int], epochs: int = 4, batch: int = 24,
 
 
 class Scorer:
-    """Scores texts with a trained network, remembering the projected inputs of words."""
+    """Scores texts with a trained network, remembering the input vectors of words."""
 
     def __init__(self, p: dict[str, np.ndarray]) -> None:
         self.p, self.known = p, {}
-        self.forward = self.backward = np.zeros((0, 3 * _STATE), np.float32)
+        self.inputs = np.zeros((_MEMORY, _WORD_DIM + 2 * _CHAR_STATE), np.float32)
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > _MEMORY:
-            self.known.clear()
-            self.forward = self.backward = np.zeros((0, 3 * _STATE), np.float32)
-        f, b = [self.forward], [self.backward]
+        if len(words) > len(self.inputs):
+            self.inputs = np.zeros((len(words), self.inputs.shape[1]), np.float32)
         words = sorted(words, key=len)
-        for at in range(0, len(words), 2000):
-            part = words[at : at + 2000]
-            x = word_inputs(self.p, part)
-            f.append(x @ self.p["f_w"] + self.p["f_o"])
-            b.append(x @ self.p["b_w"] + self.p["b_o"])
-            self.known.update(zip(part, range(len(self.known), len(self.known) + len(part)), strict=True))
-        self.forward, self.backward = np.concatenate(f), np.concatenate(b)
+        for at in range(0, len(words), 1000):
+            part, begin = words[at : at + 1000], len(self.known)
+            self.inputs[begin : begin + len(part)] = word_inputs(self.p, part)
+            self.known.update(zip(part, range(begin, begin + len(part)), strict=True))
 
     def logits(self, texts: list[str | None]) -> np.ndarray:
         """Document logits: windows of several documents are read together."""
@@ -299,9 +295,8 @@ class Scorer:
             return
         missing = {w for _, words in group for w in words if w not in self.known}
         if missing:
-            if len(self.known) + len(missing) > _MEMORY:
+            if len(self.known) + len(missing) > len(self.inputs):
                 self.known.clear()
-                self.forward = self.backward = np.zeros((0, 3 * _STATE), np.float32)
                 missing = {w for _, words in group for w in words}
             self._learn(list(missing))
         at_words, document = [], []
@@ -311,11 +306,15 @@ class Scorer:
             at_words.append(ids[w])
             document.append(np.full(len(w), k))
         at_words, document = np.concatenate(at_words), np.concatenate(document)
+        kinds, at_words = np.unique(at_words, return_inverse=True)  # the padding, if any, comes first
+        padded = int(kinds[0] < 0)
+        x = self.inputs[kinds]
+        forward, backward = x @ self.p["f_w"] + self.p["f_o"], x @ self.p["b_w"] + self.p["b_o"]
+        at_words = at_words.reshape(-1, WINDOW)
         logits = np.empty(len(at_words))
         for at in range(0, len(at_words), 1024):
             part = at_words[at : at + 1024].T
-            safe = np.maximum(part, 0)
-            logits[at : at + 1024] = window_logits(self.p, self.forward[safe], self.backward[safe], (part >= 0).astype(np.float32))
+            logits[at : at + 1024] = window_logits(self.p, forward[part], backward[part], (part >= padded).astype(np.float32))
         out[[i for i, _ in group]] = pool(logits, document, len(group))
 
 
@@ -350,7 +349,11 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
     given = documents.sparkSession.sparkContext.broadcast(train([r["text"] for r in rows], [r["toxic"] for r in rows]))
 
     def make():
-        scorer = Scorer(given.value)
+        mark = zlib.crc32(b"".join(a.tobytes() for a in given.value.values()))
+        if mark not in _scorers:
+            _scorers.clear()
+            _scorers[mark] = Scorer(given.value)
+        scorer = _scorers[mark]
         return lambda texts: [(1 / (1 + np.exp(-(scorer.logits(texts) + shift)))).tolist()]
 
     scored = append_columns(documents.select("doc_id", "text"), ["text"], [T.StructField("score", T.DoubleType())], make, ["doc_id"])
