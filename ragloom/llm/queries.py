@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ragloom.llm import packing, urlfilter, warc
 from ragloom.llm.common import table
+from ragloom.llm.decontamination import contaminated
 from ragloom.llm.langid import language_report
 from ragloom.llm.quality import quality_rules
 from ragloom.llm.secrets import secret_report
@@ -48,8 +49,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_packing, op3_url_filters, op4_warc, op5_simhash, op6_secret_scans, op7_language_id, op8_quality_rules)}
+    return {f.__name__: f for f in (op1_toxicity, op2_packing, op3_url_filters, op4_warc, op5_simhash, op6_secret_scans, op7_language_id, op8_quality_rules, op9_decontamination)}
 
 
 ORACLE_SQL: dict[str, str] = {"op3_url_filters": urlfilter.oracle_sql()}
