@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ragloom.llm import packing, urlfilter, warc
+from ragloom.llm.chat import parsed_conversations
 from ragloom.llm.common import table
 from ragloom.llm.decontamination import contaminated
 from ragloom.llm.langid import language_report
@@ -53,8 +54,12 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsed_conversations(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_packing, op3_url_filters, op4_warc, op5_simhash, op6_secret_scans, op7_language_id, op8_quality_rules, op9_decontamination)}
+    return {f.__name__: f for f in (op1_toxicity, op2_packing, op3_url_filters, op4_warc, op5_simhash, op6_secret_scans, op7_language_id, op8_quality_rules, op9_decontamination, op10_chat_formatting)}
 
 
 ORACLE_SQL: dict[str, str] = {"op3_url_filters": urlfilter.oracle_sql()}
