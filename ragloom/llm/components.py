@@ -18,7 +18,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
 
     Direction, repeated edges and loops do not matter; edges with a null end are left out; no edges give no rows. The rounds
     grow with the logarithm of the longest chain. Neighbours are never gathered: each round takes minima (merged before the
-    shuffle) and joins them back; the minima are dealt anew before the join so that Spark can split the rows of a hub.
+    shuffle) and joins them back; the minima are dealt anew by a hash of the node before the join so that Spark can split the rows of a hub.
     """
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null and a != b")
     edges = checkpoint(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
@@ -29,9 +29,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
             break
         before = now
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).repartition("m")
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).repartition(F.xxhash64("u"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m")).repartition("m")
+        least = large.groupBy("u").agg(F.min("v").alias("m")).repartition(F.xxhash64("u"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = checkpoint(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct())
     else:
