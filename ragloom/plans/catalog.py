@@ -1,10 +1,467 @@
-"""Registered queries of the retrieval engine and their DuckDB SQL."""
+"""Registered queries of the retrieval engine and their DuckDB SQL.
+
+The driver's documents hold no Markdown, so queries on structure read them as Markdown: a level-1 heading, and a level-2
+heading before every third line.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ragloom.functions import folds, generation, ids, text, vectors
+from ragloom.operators import answering, chunking, embedding, indexing, markdown, retrieval
+from ragloom.sources import store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+_MODEL = ("fake", "fake-model", "1", 8)
+
+
+def query(sql: str | None = None) -> Callable:
+    """Registers a function (documents, load) under its name; load(name) reads another table."""
+
+    def add(f: Callable) -> Callable:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+        QUERIES[f.__name__] = run
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _path() -> Column:
+    return F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".md")))
+
+
+_PATH = "concat(source, '/', doc_id, '.md')"
+
+
+def _lines(documents: DataFrame) -> DataFrame:
+    return documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("ln", "line")).withColumn("len", F.ceil(F.length("line") / 4).cast("int"))
+
+
+_LINES = "l as (select doc_id, ln, line, cast(ceil(length(line) / 4.0) as integer) as len from (select doc_id, unnest(string_split(text, chr(10))) as line, cast(generate_subscripts(string_split(text, chr(10)), 1) - 1 as integer) as ln from documents))"
+
+
+def _markdown(documents: DataFrame) -> DataFrame:
+    part = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 3 == 0, F.concat(F.lit("## Part "), (F.floor(i / 3) % 2).cast("string"), F.lit("\n\n"), x)).otherwise(x))
+    return documents.select("doc_id", ids.document_id(_path()).alias("documentId"), F.concat(F.lit("# Doc "), F.col("doc_id").cast("string"), F.lit("\n\n"), F.array_join(part, "\n\n")).alias("body"))
+
+
+_PARTS = f"""{_LINES}, parts as (select doc_id, ln // 3 as k, concat('## Part ', (ln // 3) % 2, chr(10), chr(10), string_agg(line, concat(chr(10), chr(10)) order by ln)) as part from l group by doc_id, ln // 3),
+    d as (select doc_id, sha256({_PATH}) as documentId from documents)"""
+
+
+@query(f"select doc_id, sha256({_PATH}) as documentId, sha256(text) as contentHash from documents")
+def doc_identity(load):
+    return load("documents").select("doc_id", ids.document_id(_path()).alias("documentId"), ids.content_hash(F.col("text")).alias("contentHash"))
+
+
+@query("select doc_id, trim(regexp_replace(replace(concat(chr(10), ' ', replace(text, '. ', concat('.', chr(13), chr(10), chr(10), chr(13), chr(10))), ' ', chr(10)), concat(chr(13), chr(10)), chr(10)), '\\n{3,}', chr(10) || chr(10), 'g'), concat(' ', chr(10))) as cleaned from documents")
+def clean_normalize(load):
+    rough = F.concat(F.lit("\n "), F.replace("text", F.lit(". "), F.lit(".\r\n\n\r\n")), F.lit(" \n"))
+    return load("documents").select("doc_id", text.clean(rough).alias("cleaned"))
+
+
+@query("select doc_id, cast(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) as integer) as words from documents")
+def word_count(load):
+    return load("documents").select("doc_id", text.word_count(F.col("text")).alias("words"))
+
+
+@query(f"select doc_id, coalesce(nullif(case when doc_id % 3 = 0 then '' when doc_id % 3 = 1 then concat('T', doc_id) end, ''), nullif(case when doc_id % 2 = 0 then concat('H', doc_id) else '' end, ''), {_PATH}) as title from documents")
+def title_fallback(load):
+    own = F.when(F.col("doc_id") % 3 == 0, "").when(F.col("doc_id") % 3 == 1, F.concat(F.lit("T"), F.col("doc_id").cast("string")))
+    first = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("H"), F.col("doc_id").cast("string"))).otherwise("")
+    return load("documents").select("doc_id", text.resolve_title(own, first, _path()).alias("title"))
+
+
+@query("select doc_id, case when doc_id % 4 = 0 then 'en' when doc_id % 4 = 1 then lang when doc_id % 4 = 2 then 'xx' else 'en' end as language from documents")
+def language_fallback(load):
+    k = F.col("doc_id") % 4
+    return load("documents").select("doc_id", text.resolve_language(F.when(k == 0, "").when(k == 1, F.col("lang")), F.when(k.isin(0, 2), "xx")).alias("language"))
+
+
+@query("select doc_id, regexp_replace(regexp_replace(lower(substr(text, 1, 60)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') as anchor from documents")
+def slugify(load):
+    return load("documents").select("doc_id", text.slug(F.substring("text", 1, 60)).alias("anchor"))
+
+
+@query("select path from (select concat(source, '/', doc_id % 10, '/', doc_id, '.md') as path from documents) where regexp_matches(path, '^src1[^/]*/.*[^/]5[.]md$')")
+def glob_filter(load):
+    path = F.concat_ws("/", "source", (F.col("doc_id") % 10).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".md")))
+    return load("documents").select(path.alias("path")).where(text.matches_glob(F.col("path"), "src1*/**/?*5.md") | text.matches_glob(F.col("path"), "src1*/**?5.md"))
+
+
+@query("select doc_id, cast(length(text) as integer) as chars, cast(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) as integer) as words, cast(ceil(length(text) / 4.0) as integer) as tokens from documents")
+def length_measures(load):
+    return load("documents").select("doc_id", *[text.length_of(F.col("text"), s).alias(n) for s, n in (("char", "chars"), ("word", "words"), ("approx-token", "tokens"))])
+
+
+@query("select doc_id, cast(i as integer) as pos, round(cast(concat('0x', substr(sha256(text), i * 2 + 1, 2)) as integer) / 255.0 * 2 - 1, 6) as value from documents, range(8) t(i)")
+def fake_embedding(load):
+    return load("documents").select("doc_id", F.posexplode(vectors.fake_embedding(F.col("text"), 8)).alias("pos", "value")).withColumn("value", F.round("value", 6))
+
+
+_EID = "sha256(concat_ws('::', sha256(cast(doc_id as varchar)), sha256(text), 'fake', 'fake-model', '1', '8'))"
+
+
+def _embedding_id() -> Column:
+    return ids.embedding_id(F.sha2(F.col("doc_id").cast("string"), 256), ids.content_hash(F.col("text")), *[F.lit(x) for x in _MODEL])
+
+
+@query(f"select doc_id, {_EID} as embeddingId from documents")
+def embedding_id(load):
+    return load("documents").select("doc_id", _embedding_id().alias("embeddingId"))
+
+
+_PID = f"(select doc_id, concat(substr(h, 1, 8), '-', substr(h, 9, 4), '-5', substr(h, 14, 3), '-', translate(substr(h, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab'), substr(h, 18, 3), '-', substr(h, 21, 12)) as id from (select doc_id, sha1(concat('{ids.POINT_NAMESPACE}', {_EID})) as h from documents))"
+
+
+@query(f"select doc_id, id from {_PID}")
+def point_id(load):
+    return load("documents").select("doc_id", ids.point_id(_embedding_id()).alias("id"))
+
+
+@query("select lang, source, regexp_replace(lower(concat(source, '.', lang, '__Fake-X_fake/model 1_8d_v1.0')), '[^a-z0-9_]', '_', 'g') as collection, count(*) as n from documents group by lang, source")
+def collection_name(load):
+    name = F.regexp_replace(F.lower(F.concat("source", F.lit("."), "lang", F.lit("__Fake-X_fake/model 1_8d_v1.0"))), "[^a-z0-9_]", "_")
+    return load("documents").groupBy("lang", "source").agg(F.count("*").alias("n")).withColumn("collection", name)
+
+
+def _cut_sql(source: str, tokens: int) -> str:
+    m = 4 * tokens
+    return f"""c as (select *, regexp_replace(substr(t, 1, {m}), '\\s\\S*$', '') as h, coalesce(nullif(strpos(regexp_replace(substr(t, {m + 1}), '\\s', ' ', 'g'), ' '), 0), 0) as k from {source}),
+        o as (select *, case when length(t) <= {m} then t when length(h) between 1 and {m - 1} then regexp_replace(h, '\\s+$', '') when k > 0 then regexp_replace(substr(t, 1, {m} + cast(k as integer) - 1), '\\s+$', '') else t end as cut from c)"""
+
+
+@query(f"with s as (select doc_id, trim(text, concat(' ', chr(10))) as t from documents), {_cut_sql('s', 50)} select doc_id, cut, length(t) > 200 as truncated from o")
+def truncate_words(load):
+    cut = text.truncate_words(text.normalise_input(F.col("text")), 50)
+    return load("documents").select("doc_id", cut["text"].alias("cut"), cut["truncated"].alias("truncated"))
+
+
+@query(f"with s as (select doc_id, concat(lang, ' › ', source, chr(10), chr(10), trim(text, concat(' ', chr(10)))) as t from documents), {_cut_sql('s', 100)} select doc_id, sha256(cut) as inputHash, cast(ceil(length(cut) / 4.0) as integer) as tokenCount, length(t) > 400 as truncated from o")
+def input_build(load):
+    path = F.array(F.struct(F.col("lang").alias("text")), F.struct(F.col("source").alias("text")))
+    return embedding.embedding_inputs(load("documents").withColumn("headingPath", path), 100).select("doc_id", "inputHash", "tokenCount", "truncated")
+
+
+@query("select lang, sum(cast(ceil(length(text) / 4.0) as bigint)) as tokens, count(*) as n from documents group by lang")
+def token_estimate(load):
+    return load("documents").groupBy("lang").agg(F.sum(text.token_estimate(F.col("text"))).alias("tokens"), F.count("*").alias("n"))
+
+
+@query(f"""with recursive {_LINES}, r as (select doc_id, ln, len, 0 as bin, len as cur from l where ln = 0
+    union all select l.doc_id, l.ln, l.len, case when r.cur + l.len > 200 then r.bin + 1 else r.bin end, case when r.cur + l.len > 200 then l.len else r.cur + l.len end from r join l on l.doc_id = r.doc_id and l.ln = r.ln + 1)
+    select doc_id, bin, count(*) as blocks, cast(sum(len) as bigint) as tokens from r group by doc_id, bin""")
+def block_pack(load):
+    lens = load("documents").select("doc_id", F.transform(F.split("text", "\n"), lambda x: F.ceil(F.length(x) / 4).cast("int")).alias("lens"))
+    packed = lens.select("doc_id", F.explode(F.arrays_zip("lens", folds.greedy_bins(F.col("lens"), 200).alias("bins"))).alias("z"))
+    return packed.groupBy("doc_id", F.col("z.bins").alias("bin")).agg(F.count("*").alias("blocks"), F.sum("z.lens").alias("tokens"))
+
+
+@query(f"""with recursive {_LINES}, r as (select doc_id, ln, 0 as grp, len < 60 as run, len as size from l where ln = 0
+    union all select l.doc_id, l.ln, case when l.len < 60 and r.run and r.size + l.len <= 100 then r.grp else r.grp + 1 end, l.len < 60, case when l.len < 60 and r.run and r.size + l.len <= 100 then r.size + l.len else l.len end from r join l on l.doc_id = r.doc_id and l.ln = r.ln + 1)
+    select doc_id, ln, grp from r""")
+def sibling_merge(load):
+    own = load("documents").select("doc_id", F.transform(F.split("text", "\n"), lambda x: F.struct((F.ceil(F.length(x) / 4) < 60).alias("eligible"), F.ceil(F.length(x) / 4).cast("int").alias("length"))).alias("s"))
+    return own.select("doc_id", F.posexplode(folds.sibling_groups(F.col("s"), 100)).alias("ln", "grp"))
+
+
+@query(f"""with {_PARTS} select p.doc_id, cast(row_number() over (partition by p.doc_id, p.k % 2 order by p.k) - 1 as integer) as occurrence,
+    sha256(concat_ws('::', d.documentId, 'parent', concat('doc-', p.doc_id, '/part-', p.k % 2), cast(row_number() over (partition by p.doc_id, p.k % 2 order by p.k) - 1 as varchar), '0')) as chunkId from parts p join d using (doc_id)""")
+def occurrence_index(load):
+    md = _markdown(load("documents"))
+    found = markdown.sections(md).where("level = 2").withColumn("pathKey", text.path_key(F.col("headingPath")))
+    found = found.withColumn("occurrence", F.row_number().over(Window.partitionBy("documentId", "pathKey").orderBy("sectionIdx")) - 1)
+    chunk = ids.chunk_id(F.col("documentId"), F.lit("parent"), F.col("pathKey"), F.col("occurrence"), F.lit(0))
+    return found.join(md.select("documentId", "doc_id"), "documentId").select("doc_id", "occurrence", chunk.alias("chunkId"))
+
+
+@query(f"with {_LINES}, c as (select doc_id, ln, sha256(concat_ws('::', doc_id, ln)) as id from l) select doc_id, ln, id, lag(id) over w as prev, lead(id) over w as next from c window w as (partition by doc_id order by ln)")
+def prev_next_links(load):
+    w = Window.partitionBy("doc_id").orderBy("ln")
+    own = _lines(load("documents")).select("doc_id", "ln", F.sha2(F.concat_ws("::", F.col("doc_id").cast("string"), F.col("ln").cast("string")), 256).alias("id"))
+    return own.withColumns({"prev": F.lag("id").over(w), "next": F.lead("id").over(w)})
+
+
+@query(f"""with {_PARTS}, w as (select doc_id, concat('# Doc ', doc_id, chr(10), chr(10), string_agg(part, concat(chr(10), chr(10)) order by k)) as whole from parts group by doc_id)
+    select sha256(part) as contentHash, cast(ceil(length(part) / 4.0) as bigint) as length from parts union all select sha256(whole), cast(ceil(length(whole) / 4.0) as bigint) from w""")
+def parent_text(load):
+    return chunking.parent_chunks(markdown.sections(_markdown(load("documents")))).select("contentHash", "length")
+
+
+@query(f"""with recursive {_LINES}, r as (select doc_id, ln, line, len, 0 as bin, len as cur from l where ln = 0
+    union all select l.doc_id, l.ln, l.line, l.len, case when r.cur + l.len > 200 then r.bin + 1 else r.bin end, case when r.cur + l.len > 200 then l.len else r.cur + l.len end from r join l on l.doc_id = r.doc_id and l.ln = r.ln + 1)
+    select doc_id, bin, sha256(concat(case when bin > 0 then concat('_(continued from "Doc ', doc_id, '")_', chr(10), chr(10)) else '' end, string_agg(line, concat(chr(10), chr(10)) order by ln))) as h from r group by doc_id, bin""")
+def overlap_heading_context(load):
+    packed = _packed_lines(load("documents"))
+    lead = F.when(F.col("bin") > 0, F.concat(F.lit('_(continued from "Doc '), F.col("doc_id").cast("string"), F.lit('")_\n\n'))).otherwise("")
+    return packed.select("doc_id", "bin", F.sha2(F.concat(lead, "text"), 256).alias("h"))
+
+
+def _packed_lines(documents: DataFrame) -> DataFrame:
+    own = documents.select("doc_id", F.split("text", "\n").alias("lines")).withColumn("bins", folds.greedy_bins(F.transform("lines", lambda x: F.ceil(F.length(x) / 4).cast("int")), 200))
+    numbers = own.select("doc_id", "lines", "bins", F.explode(F.array_distinct("bins")).alias("bin"))
+    return numbers.select("doc_id", "bin", F.array_join(F.filter("lines", lambda _, i: F.get("bins", i) == F.col("bin")), "\n\n").alias("text"))
+
+
+@query(f"""with recursive {_LINES}, r as (select doc_id, ln, line, len, 0 as bin, len as cur from l where ln = 0
+    union all select l.doc_id, l.ln, l.line, l.len, case when r.cur + l.len > 200 then r.bin + 1 else r.bin end, case when r.cur + l.len > 200 then l.len else r.cur + l.len end from r join l on l.doc_id = r.doc_id and l.ln = r.ln + 1),
+    p as (select doc_id, bin, string_agg(line, concat(chr(10), chr(10)) order by ln) as t from r group by doc_id, bin), q as (select *, lag(t) over (partition by doc_id order by bin) as b from p)
+    select doc_id, bin, regexp_replace(b, '^(?s:.*)[.!?]\\s+', '') as tail from q where b is not null""")
+def overlap_sentence(load):
+    packed = _packed_lines(load("documents"))
+    before = F.lag("text").over(Window.partitionBy("doc_id").orderBy("bin"))
+    sentences = F.filter(F.split(F.col("before"), r"(?<=[.!?])\s+"), lambda s: text.trim(s) != "")
+    return packed.withColumn("before", before).where("before is not null").select("doc_id", "bin", F.element_at(sentences, -1).alias("tail"))
+
+
+@query(f"with {_PARTS} select p.doc_id, count(*) + 1 as sections, cast(min(d.n) as bigint) as lines from parts p join (select doc_id, len(string_split(text, chr(10))) as n from documents) d using (doc_id) group by p.doc_id")
+def section_stats(load):
+    md = _markdown(load("documents"))
+    found = markdown.sections(md).where("level > 0").groupBy("documentId").agg(F.count("*").alias("sections"), F.sum(F.size("blocks")).alias("lines"))
+    return found.join(md.select("documentId", "doc_id"), "documentId").select("doc_id", "sections", "lines")
+
+
+@query()
+def chunk_documents(load):
+    return chunking.chunks(markdown.sections(_markdown(load("documents")))).drop("headingPath")
+
+
+@query()
+def chunk_stats(load):
+    found = markdown.sections(_markdown(load("documents")))
+    return chunking.chunk_statistics(found, chunking.ordered_pieces(found))
+
+
+@query()
+def markdown_outline(load):
+    return markdown.outlines(_markdown(load("documents"))).select("documentId", F.size("headings").alias("headings"), "firstH1", F.size("codeBlocks").alias("codes"), F.size("links").alias("links"))
+
+
+def _candidates(documents: DataFrame) -> DataFrame:
+    path = F.array(F.struct(F.col("lang").alias("text")))
+    chunk = documents.select(
+        "doc_id", F.sha2(F.col("doc_id").cast("string"), 256).alias("chunkId"), F.when(F.col("doc_id") % 4 == 0, "parent").otherwise("child").alias("chunkType"), path.alias("headingPath"), F.when(F.col("doc_id") % 7 == 0, " ").otherwise(F.col("text")).alias("text"), ids.content_hash(F.col("text")).alias("contentHash")
+    )
+    return embedding.with_embedding_ids(embedding.embedding_inputs(chunk, 8000, heading_context=False), *_MODEL)
+
+
+def _existing(documents: DataFrame) -> DataFrame:
+    return documents.where("doc_id % 5 = 0").select(_embedding_id().alias("embeddingId"))
+
+
+_STATUS = "s as (select *, case when doc_id % 4 = 0 then 'skippedByType' when doc_id % 7 = 0 then 'skippedEmpty' when doc_id % 5 = 0 then 'alreadyEmbedded' else 'pending' end as st from documents)"
+
+
+@query("select doc_id, 'child' as chunkType from documents where doc_id % 4 <> 0")
+def type_filter(load):
+    return _candidates(load("documents")).where(F.col("chunkType").isin("child")).select("doc_id", "chunkType")
+
+
+@query("select doc_id from documents where doc_id % 5 <> 0")
+def resume_anti_join(load):
+    docs = load("documents")
+    return docs.withColumn("embeddingId", _embedding_id()).join(_existing(docs), "embeddingId", "left_anti").select("doc_id")
+
+
+@query(f"with {_STATUS}, p as (select doc_id, row_number() over (order by doc_id) as n from s where st = 'pending') select s.doc_id, case when st = 'pending' and p.n > 100 then 'skippedByCap' else st end as status from s left join p using (doc_id)")
+def run_cap(load):
+    docs = load("documents")
+    return embedding.run_status(_candidates(docs), _existing(docs), ["child"], 100, ["doc_id"]).select("doc_id", "status")
+
+
+@query(f"with {_STATUS} select count(*) as scanned, count_if(st = 'skippedByType') as \"skippedByType\", count_if(st = 'skippedEmpty') as \"skippedEmpty\", count_if(st = 'alreadyEmbedded') as \"alreadyEmbedded\", cast(0 as bigint) as \"skippedByCap\", count_if(st = 'pending') as attempted from s")
+def embed_accounting(load):
+    docs = load("documents")
+    return embedding.accounting(embedding.run_status(_candidates(docs), _existing(docs), ["child"], order=["doc_id"]))
+
+
+@query("""with recursive t as (select doc_id, lang, cast(ceil(length(text) / 4.0) as integer) as tok, row_number() over (partition by lang order by doc_id) as n from documents),
+    r as (select doc_id, lang, n, tok, 0 as batch, 1 as c, tok as cur from t where n = 1 union all
+    select t.doc_id, t.lang, t.n, t.tok, case when r.c >= 20 or r.cur + t.tok > 12000 then r.batch + 1 else r.batch end, case when r.c >= 20 or r.cur + t.tok > 12000 then 1 else r.c + 1 end, case when r.c >= 20 or r.cur + t.tok > 12000 then t.tok else r.cur + t.tok end from r join t on t.lang = r.lang and t.n = r.n + 1)
+    select doc_id, lang, batch from r""")
+def greedy_batches(load):
+    tokens = load("documents").select("doc_id", "lang", text.token_estimate(F.col("text")).alias("tokenCount"))
+    return embedding.batch_numbers(tokens, ["lang"], ["doc_id"], 20, 12000).select("doc_id", "lang", "batch")
+
+
+def _records(load) -> DataFrame:
+    k = F.col("vec_id")
+    value = F.transform("embedding", lambda x, i: F.when((k % 11 == 0) & (i == 3), F.lit(float("nan"))).otherwise(x.cast("double")))
+    return load("embeddings").select(
+        k.alias("vec_id"), F.sha2(k.cast("string"), 256).alias("chunkId"), F.when(k % 13 == 0, F.slice(value, 1, 10)).otherwise(value).alias("vector"), F.when(k % 6 == 0, "fake").otherwise("real").alias("provider"),
+        F.when(k % 10 == 1, "other").otherwise("m").alias("model"), F.lit("1").alias("modelVersion"), F.lit(64).alias("dimensions"), "label",
+    )
+
+
+_REASON = "case when vec_id % 6 = 0 then 'fakeProvider' when vec_id % 10 = 1 then 'provenance' when vec_id % 13 = 0 then 'dimensions' when vec_id % 11 = 0 then 'values' end"
+
+
+@query(f"select vec_id, {_REASON} as reason from embeddings")
+def provenance_filter(load):
+    return _records(load).select("vec_id", indexing.rejection("real", "m", "1", 64).alias("reason"))
+
+
+def _chunks_of_vectors(load) -> DataFrame:
+    k = F.col("doc_id")
+    return load("documents").select(F.sha2(k.cast("string"), 256).alias("chunkId"), F.when(k % 2 == 1, F.sha2((k - 1).cast("string"), 256)).alias("parentChunkId"), F.lit("child").alias("chunkType"), F.array(F.struct(F.col("lang").alias("text"))).alias("headingPath"), "text").where(k % 9 != 4)
+
+
+_INDEXED = f"""x as (select e.vec_id, case when ({_REASON.replace('vec_id', 'e.vec_id')}) = 'fakeProvider' then 'skippedFakeProvider' when ({_REASON.replace('vec_id', 'e.vec_id')}) is not null or c.doc_id is null then 'skippedByProvenanceMismatch' else 'indexed' end as status,
+    sha256(c.text) as own, sha256(p.text) as parent from embeddings e left join (select * from documents where doc_id % 9 <> 4) c on c.doc_id = e.vec_id left join (select * from documents where doc_id % 9 <> 4) p on p.doc_id = e.vec_id - 1 and e.vec_id % 2 = 1 and c.doc_id is not null)"""
+
+
+@query(f"with {_INDEXED} select * from x")
+def index_join(load):
+    joined = indexing.index_status(_records(load), _chunks_of_vectors(load), indexing.rejection("real", "m", "1", 64))
+    return joined.select("vec_id", "status", F.sha2("text", 256).alias("own"), F.sha2("parentText", 256).alias("parent"))
+
+
+@query(f"with {_INDEXED} select count(*) as scanned, count_if(status = 'skippedFakeProvider') as \"skippedFakeProvider\", count_if(status = 'skippedByProvenanceMismatch') as \"skippedByProvenanceMismatch\", count_if(status = 'indexed') as attempted, cast(ceil(count_if(status = 'indexed') / 200.0) as bigint) as batches from x")
+def index_accounting(load):
+    return indexing.accounting(indexing.index_status(_records(load), _chunks_of_vectors(load), indexing.rejection("real", "m", "1", 64)))
+
+
+@query("select vec_id as id, case when vec_id % 3 = 0 then label + 100 when vec_id % 2 = 0 then label + 10 else label end as label from embeddings union all select vec_id + 1000000, label from embeddings where vec_id % 50 = 0")
+def upsert_latest(load):
+    own = load("embeddings").select(F.col("vec_id").alias("id"), "label")
+    changes = own.where("id % 2 = 0").selectExpr("id", "label + 10 as label", "1 as seq").unionByName(own.where("id % 3 = 0").selectExpr("id", "label + 100 as label", "2 as seq")).unionByName(own.where("id % 50 = 0").selectExpr("id + 1000000 as id", "label", "3 as seq"))
+    return store.latest(own, changes)
+
+
+@query("select vec_id, label from embeddings where label is null or label <> 3")
+def delete_by_filter(load):
+    return store.without(load("embeddings"), retrieval.payload_filter(label=3)).select("vec_id", "label")
+
+
+@query("select count(*) as points, cast(max(len(embedding)) as integer) as dimensions, count(distinct label) as labels from embeddings")
+def collection_info(load):
+    return load("embeddings").agg(F.count("*").alias("points"), F.max(F.size("embedding")).alias("dimensions"), F.count_distinct("label").alias("labels"))
+
+
+def _points(load) -> DataFrame:
+    return load("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+
+
+def _query_vector(load, vec_id: int = 7) -> list[float]:
+    return [float(x) for x in load("embeddings").where(F.col("vec_id") == vec_id).first()["embedding"]]
+
+
+_COS = "list_cosine_similarity(cast(e.embedding as double[]), cast(q.embedding as double[]))"
+
+
+@query(f"select e.vec_id as id, round({_COS}, 6) as score from embeddings e, (select embedding from embeddings where vec_id = 7) q order by {_COS} desc, e.vec_id limit 10")
+def cosine_topk(load):
+    return retrieval.top_k(_points(load), _query_vector(load), 10).select("id", F.round("score", 6).alias("score"))
+
+
+@query(f"select e.vec_id as id, round({_COS}, 6) as score from embeddings e, (select embedding from embeddings where vec_id = 7) q where e.label = 2 order by {_COS} desc, e.vec_id limit 5")
+def filtered_topk(load):
+    return retrieval.top_k(_points(load), _query_vector(load), 5, retrieval.payload_filter(label=2)).select("id", F.round("score", 6).alias("score"))
+
+
+@query(f"select e.vec_id as id, round({_COS}, 6) as score from embeddings e, (select embedding from embeddings where vec_id = 7) q where {_COS} >= 0.2 order by {_COS} desc, e.vec_id limit 50")
+def threshold_search(load):
+    return retrieval.top_k(_points(load), _query_vector(load), 50, threshold=0.2).select("id", F.round("score", 6).alias("score"))
+
+
+@query(f"select queryId, id, score, cast(rn as integer) as rank from (select q.vec_id as queryId, e.vec_id as id, round({_COS}, 6) as score, row_number() over (partition by q.vec_id order by {_COS} desc, e.vec_id) as rn from embeddings e, (select * from embeddings where vec_id % 100 = 0) q) where rn <= 10")
+def batch_topk(load):
+    asked = load("embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("queryId"), F.col("embedding").alias("queryVector"))
+    return retrieval.batch_top_k(_points(load), asked, 10).withColumn("score", F.round("score", 6))
+
+
+def _results(load) -> DataFrame:
+    k = F.col("doc_id")
+    return load("documents").select((k % 40).alias("queryId"), (k % 97 % 5).cast("string").alias("chunkId"), ((k * 37) % 101 / 100).alias("score"), k.alias("position"), F.substring("text", 1, 700).alias("text"), F.lit(None).cast("string").alias("parentText"), F.col("source").alias("documentTitle"), F.col("lang").alias("headingPath"), _path().alias("sourcePath"))
+
+
+_CONTEXT = """res as (select doc_id % 40 as queryId, cast(doc_id % 97 % 5 as varchar) as chunkId, (doc_id * 37) % 101 / 100.0 as score, doc_id as position, substr(text, 1, 700) as text, source as title, lang as hp from documents),
+    b as (select *, min(position) over (partition by queryId, chunkId) as place, row_number() over (partition by queryId, chunkId order by score desc, position) as rn from res),
+    k as (select *, row_number() over (partition by queryId order by score desc, place) as rank from b where rn = 1 and score >= 0.3),
+    u as (select *, 1500 - coalesce(sum(length(text)) over (partition by queryId order by rank rows between unbounded preceding and 1 preceding), 0) as rest from k where rank <= 4),
+    ctx as (select queryId, chunkId, score, title, hp, cast(rank as integer) as rank, substr(text, 1, cast(rest as integer)) as text from u where rest > 0)"""
+
+
+def _context(load) -> DataFrame:
+    return answering.select_context(_results(load), 4, 1500, 0.3)
+
+
+@query(f"with {_CONTEXT} select queryId, chunkId, score from b where rn = 1")
+def context_dedup(load):
+    w = Window.partitionBy("queryId", "chunkId").orderBy(F.desc("score"), "position")
+    return _results(load).withColumn("rn", F.row_number().over(w)).where("rn = 1").select("queryId", "chunkId", "score")
+
+
+@query(f"with {_CONTEXT} select queryId, rank, concat('S', rank) as \"sourceId\", chunkId, text from ctx")
+def context_budget(load):
+    return _context(load).select("queryId", "rank", "sourceId", "chunkId", "text")
+
+
+def _questions(load) -> DataFrame:
+    return load("benchmark").where("item_id < 40").select(F.col("item_id").alias("queryId"), F.col("text").alias("question"))
+
+
+_SYSTEM = answering.SYSTEM_PROMPT.replace("'", "''").replace("\n", "' || chr(10) || '")
+_PROMPT = f"""{_CONTEXT}, j as (select queryId, string_agg(concat('[S', rank, '] (', title, ' — ', hp, ')', chr(10), text), concat(chr(10), chr(10)) order by rank) as context from ctx group by queryId),
+    pr as (select q.item_id as queryId, concat('QUESTION:', chr(10), q.text, chr(10), chr(10), '<context>', chr(10), context, chr(10), '</context>') as up from benchmark q join j on j.queryId = q.item_id where q.item_id < 40),
+    pt as (select *, cast(ceil(length(concat('{_SYSTEM}', up)) / 4.0) as integer) as tokens from pr)"""
+
+
+@query(f'with {_PROMPT} select queryId, sha256(up) as "promptHash", tokens as "promptTokens" from pt')
+def prompt_build(load):
+    return answering.prompts(_questions(load), _context(load)).select("queryId", F.sha2("userPrompt", 256).alias("promptHash"), "promptTokens")
+
+
+@query(f"with {_PROMPT} select queryId, tokens > 400 as refused from pt")
+def prompt_guard(load):
+    return answering.prompts(_questions(load), _context(load)).select("queryId", (F.col("promptTokens") > 400).alias("refused"))
+
+
+@query(f"with {_PROMPT} select queryId, concat('{answering.FAKE_ANSWER} ', regexp_extract(up, '\\[S\\d+\\]')) as answer, tokens as \"inputTokens\" from pt")
+def fake_llm(load):
+    return answering.fake_answers(answering.prompts(_questions(load), _context(load))).select("queryId", "answer", "inputTokens")
+
+
+@query("""with a as (select conv_id, turn, concat('see [S', turn % 3 + 1, ', S', turn % 5, '] and [x S', conv_id % 4, '] or S9 [S01]') as t from conversations)
+    select conv_id, turn, array_to_string(list_transform(list_sort(list_distinct(list_transform(f, lambda x: list_position(f, x)))), lambda p: f[p]), ',') as cited from (select conv_id, turn, flatten(list_transform(regexp_extract_all(t, '\\[([^\\]]*)\\]', 1), lambda g: regexp_extract_all(g, 'S\\d+'))) as f from a)""")
+def citations(load):
+    s = lambda c: c.cast("string")
+    answer = F.concat(F.lit("see [S"), s(F.col("turn") % 3 + 1), F.lit(", S"), s(F.col("turn") % 5), F.lit("] and [x S"), s(F.col("conv_id") % 4), F.lit("] or S9 [S01]"))
+    return load("conversations").select("conv_id", "turn", F.array_join(generation.cited_ids(answer), ",").alias("cited"))
+
+
+@query("select conv_id, turn, round(length(text) / 1e6 * 0.75 + (length(text) % 300) / 1e6 * 3.75, 9) as cost from conversations")
+def cost(load):
+    n = F.length("text")
+    return load("conversations").select("conv_id", "turn", F.round(generation.cost_usd(n, n % 300), 9).alias("cost"))
+
+
+@query("select source, count_if(length(text) > 2000) as failed, count(*) as n, count_if(length(text) > 2000) > 0.5 * count(*) as aborts from documents group by source")
+def failure_ratio(load):
+    failed, n = F.count_if(F.length("text") > 2000), F.count("*")
+    return load("documents").groupBy("source").agg(failed.alias("failed"), n.alias("n"), (failed > 0.5 * n).alias("aborts"))
+
+
+@query("select conv_id, turn, case when length(text) > 300 then 'too long' when trim(text) = '' then 'empty' end as reason from conversations")
+def question_validation(load):
+    return load("conversations").select("conv_id", "turn", retrieval.question_reason(F.col("text"), 300).alias("reason"))
+
+
+@query(f"with {_CONTEXT} select q.item_id as queryId, case when r.queryId is null then 'no_results' when c.queryId is null then 'below_threshold' end as reason from benchmark q left join (select distinct queryId from res) r on r.queryId = q.item_id left join (select distinct queryId from ctx) c on c.queryId = q.item_id")
+def context_rejection(load):
+    asked = load("benchmark").select(F.col("item_id").alias("queryId"), F.col("text").alias("question"))
+    return answering.rejections(asked, _results(load), _context(load)).select("queryId", "reason")
+
+
+@query()
+def ask(load):
+    return answering.ask(_questions(load), _results(load), 4, 1500, 0.3).drop("question")
