@@ -59,8 +59,8 @@ def fake_answers(prompted: DataFrame) -> DataFrame:
 def citations(answers: DataFrame, context: DataFrame) -> DataFrame:
     """(queryId, pos, sourceId, chunkId, title, headingPath, source, score) in order of first appearance; unknown ids are left out."""
     cited = answers.select("queryId", F.posexplode(generation.cited_ids(F.col("answer"))).alias("pos", "sourceId"))
-    blank = lambda c, d: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(d)).alias(c)
-    return cited.join(context, ["queryId", "sourceId"]).select("queryId", "pos", "sourceId", "chunkId", blank("documentTitle", "(untitled)"), blank("headingPath", "(none)"), blank("sourcePath", "(unknown source)"), "score")
+    blank = lambda c, d, name: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(d)).alias(name)
+    return cited.join(context, ["queryId", "sourceId"]).select("queryId", "pos", "sourceId", "chunkId", blank("documentTitle", "(untitled)", "title"), blank("headingPath", "(none)", "headingPath"), blank("sourcePath", "(unknown source)", "source"), "score")
 
 
 def ask(questions: DataFrame, results: DataFrame, max_chunks: int = 5, max_chars: int = 12_000, min_score: float = 0.0, max_prompt_tokens: int = 8000, input_price: float = 0.75, output_price: float = 3.75) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,15 +67,19 @@ def own_pieces(sections: DataFrame, most: int, strategy: str = "approx-token") -
 
 
 def ordered_pieces(sections: DataFrame, most: int = 500, least: int = 100, strategy: str = "approx-token") -> DataFrame:
-    """Pieces of all sections under a heading, small siblings merged, in reading order (column sequenceIndex)."""
-    df = own_pieces(sections.where("level > 0"), most, strategy)
+    """Pieces of all sections under a heading, small siblings merged, in reading order (column sequenceIndex).
+
+    The sections' pieces and places are read by several joins, so both are kept (memory, then disk; lost blocks are made anew).
+    Release them with ``spark.catalog.clearCache()`` when the result is written.
+    """
+    df = own_pieces(sections.where("level > 0"), most, strategy).persist(StorageLevel.MEMORY_AND_DISK)
     only = F.get("pieces", F.lit(0))
     df = df.withColumn("eligible", (F.size("pieces") == 1) & ~F.coalesce(only["wasSplit"], F.lit(True)) & F.coalesce(only["length"] < least, F.lit(False)))
     member = F.struct("sectionIdx", "eligible", F.coalesce(only["length"], F.lit(0)).alias("length"))
     siblings = df.groupBy("documentId", "parentIdx").agg(F.sort_array(F.collect_list(member)).alias("s")).withColumn("g", folds.sibling_groups(F.col("s"), most))
     at = siblings.select("documentId", "parentIdx", F.posexplode(F.arrays_zip("s", "g")).alias("memberIdx", "m")).select("documentId", "parentIdx", "memberIdx", F.col("m.s.sectionIdx").alias("sectionIdx"), F.col("m.g").alias("group"))
     group = Window.partitionBy("documentId", "parentIdx", "group")
-    at = at.withColumns({"leader": F.min("sectionIdx").over(group), "members": F.count("*").over(group)})
+    at = at.withColumns({"leader": F.min("sectionIdx").over(group), "members": F.count("*").over(group)}).persist(StorageLevel.MEMORY_AND_DISK)
     placed = df.join(at.drop("parentIdx"), ["documentId", "sectionIdx"])
     # Order: for each ancestor its group's leader and its place, then the leader's own piece; arrays compare from the left.
     steps = placed.select("documentId", "sectionIdx", F.posexplode(F.concat("ancestors", F.array("sectionIdx"))).alias("depth", "at"))

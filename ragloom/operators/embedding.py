@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ragloom.functions import folds, ids, text, vectors
 
@@ -89,7 +90,7 @@ def embed_with(pending: DataFrame, provider: Callable[[list[str]], list[list[flo
 
     Batches are greedy within a task's rows. A batch that still fails after its retries fails all its rows; the run goes on.
     """
-    schema = pending.schema.add("vector", "array<double>").add("error", "string")
+    schema = T.StructType([*pending.schema.fields, T.StructField("vector", T.ArrayType(T.DoubleType())), T.StructField("error", T.StringType())])
 
     def embedded(rows: pd.DataFrame) -> pd.DataFrame:
         out = rows.copy()
