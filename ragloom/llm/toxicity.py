@@ -201,8 +201,11 @@ def pool(logits: np.ndarray, document: np.ndarray, n: int) -> np.ndarray:
     return np.where(np.isfinite(top), top + np.log(np.maximum(total, 1e-30)), -9.0)
 
 
-def train(texts: list[str], labels: list[int], epochs: int = 4, batch: int = 24, rate: float = 0.006, seed: int = 11) -> dict[str, np.ndarray]:
-    """Adam on the binary cross-entropy of document scores. Negatives give at most 24 windows a visit, positives all."""
+def train(texts: list[str], labels: list[int], epochs: int = 4, least_steps: int = 400, batch: int = 12, rate: float = 0.006, seed: int = 11) -> dict[str, np.ndarray]:
+    """Adam on the binary cross-entropy of document scores. Negatives give at most 24 windows a visit, positives all.
+
+    A small sample is visited more often, until ``least_steps``.
+    """
     p = initial(seed)
     if not texts or len(set(labels)) < 2:
         return p
@@ -210,6 +213,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 4, batch: int = 24,
     split = [words_of(t) for t in texts]
     y = np.array(labels, np.float64)
     m, v, step = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
+    epochs = max(epochs, -(-least_steps // -(-len(texts) // batch)))
     total_steps = epochs * -(-len(texts) // batch)
     for _ in range(epochs):
         order = rng.permutation(len(texts))

@@ -1,0 +1,380 @@
+"""Operators on fixed small tables: brute force, round trips, and the edge cases that docstrings define."""
+
+import base64
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+
+from ragloom.llm import chat, components, decontamination, langid, packing, quality, secrets, simhash, toxicity, urlfilter, warc
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+ODD = [None, "", " \n\t", "one", "Ünï çødé \U0001f600 " * 3, "same text here again", "same text here again", "x" * 50_000, "word " * 30_000]
+
+
+def documents(spark, texts, first=0, lang="en"):
+    """Documents with extra columns whose names clash with outputs."""
+    rows = [(first + i, t, lang, "s", len(t or ""), 0.5, "old", 7) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, kept string, fp long")
+
+
+def prose(rng, n, letters="abcdefgh"):
+    return " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(n))
+
+
+def test_components_match_a_search(spark):
+    rng = random.Random(1)
+    edges = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(30)] + [(200, 300 + i) for i in range(40)] + [(5, 5), (None, 1)]
+    near = {}
+    for a, b in edges:
+        if a is not None and a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    expected = {}
+    for start in sorted(near):
+        if start not in expected:
+            todo = [start]
+            while todo:
+                x = todo.pop()
+                if x not in expected:
+                    expected[x] = start
+                    todo += near[x]
+    found = components.connected_components(spark.createDataFrame(edges, "src long, dst long"))
+    assert {r["node"]: r["component"] for r in found.collect()} == expected
+    assert components.connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def test_toxicity_learns_and_handles_odd_texts(spark):
+    rng = random.Random(2)
+    bad = ["zqx", "zqy", "zqz"]
+    texts = []
+    for i in range(240):
+        words = prose(rng, 40).split()
+        if i % 2:
+            for _ in range(3):
+                words[rng.randrange(len(words))] = rng.choice(bad)
+        texts.append(" ".join(words))
+    docs = documents(spark, texts + ODD)
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(240)], "doc_id long, quality int, toxic int")
+    rows = {r["doc_id"]: r for r in toxicity.toxicity_scores(docs, labels).collect()}
+    assert len(rows) == 240 + len(ODD)
+    held = [i for i in range(240) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert all(rows[i]["held_out"] == (i in held) for i in range(240))
+    assert np.mean([rows[i]["predicted"] == i % 2 for i in held]) > 0.85
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in rows.values())
+    assert toxicity.toxicity_scores(docs.limit(0), labels).count() == 0
+
+
+def test_toxicity_scores_all_windows():
+    at = toxicity.windows_of(100)
+    assert set(at.ravel()) - {-1} == set(range(100)) and (at[1:, 0] - at[:-1, 0] == toxicity.STRIDE).all()
+    scorer = toxicity.Scorer(toxicity.initial())
+    texts = ["a b c " * 20, None, "d"]
+    assert np.allclose(scorer.logits(texts)[0], scorer.logits(texts[:1])[0], atol=1e-5)
+
+
+def test_packing_is_a_partition_with_exact_ids(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    texts = [*ODD, "it's <|endoftext|> Á x", *[prose(random.Random(i), 60) for i in range(40)]]
+    rows = packing.packed_documents(documents(spark, texts), TOKENIZER).collect()
+    pieces = {}
+    for r in rows:
+        pieces.setdefault(r["doc_id"], []).append(r)
+    for i, t in enumerate(texts):
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
+        at = 0
+        for r in sorted(pieces[i], key=lambda r: r["start"]):
+            part = np.array(ids[at : at + r["length"]], dtype="<u4")
+            assert (r["start"], r["doc_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(part.tobytes()))
+            at += r["length"]
+        assert at == len(ids)
+    by_sequence = {}
+    for r in rows:
+        by_sequence.setdefault(r["sequence_id"], []).append((r["offset"], r["length"], r["padded_length"]))
+    for parts in by_sequence.values():
+        end = 0
+        for offset, length, _ in sorted(parts):
+            assert offset == end
+            end += length
+        assert end <= 4096 and parts[0][2] == (end if end & (end - 1) == 0 else 4096)
+    assert packing.packed_documents(documents(spark, []), TOKENIZER).count() == 0
+
+
+def test_best_fit_decreasing_matches_a_search():
+    rng = np.random.default_rng(4)
+    lengths = rng.integers(1, 101, 300)
+    numbers, offsets = packing.best_fit_decreasing(lengths, 100)
+    left = []
+    for i in np.argsort(-lengths, kind="stable"):
+        fitting = [c for c in left if c >= lengths[i]]
+        if fitting:
+            left[left.index(min(fitting))] -= lengths[i]
+        else:
+            left.append(100 - lengths[i])
+    assert sorted(100 - np.bincount(numbers, weights=lengths)) == sorted(left)
+    assert (offsets + lengths <= 100).all()
+
+
+def test_url_verdicts_follow_links_and_rules(spark):
+    pages = spark.createDataFrame(
+        [
+            (1, "http://a.org/x", '<LINK rel="canonical" href="https://b.example.com/en/1">'), (2, "http://A.org/x#f", ""), (3, "http://c.org/", '<meta http-equiv="refresh" content="0; url=/y">'),
+            (4, "http://c.org/y?q", '<meta content="1;URL=//d.net/es/1" http-equiv=refresh>'), (5, None, None), (6, "foo", ""), (7, "https://www.example.com/en/z", '<link href="//q.org/1" rel=canonical>'),
+            (8, "http://q.org/1", '<link rel=canonical href="http://b.net/fr/1">'), (9, "http://c.org/y", '<link rel=canonical href="?q">'), (10, "http://com/x", ""), (11, "http://xcom/x", ""),
+        ],
+        "page_id long, url string, html string",
+    )
+    expected = {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow", 6: "allow", 7: "allow", 8: "allow", 9: "block", 10: "allow", 11: "allow"}
+    rows = {r["page_id"]: r for r in urlfilter.url_verdicts(pages).collect()}
+    assert {i: r["verdict"] for i, r in rows.items()} == expected
+    assert rows[10]["rule"] == "com/" and rows[11]["rule"] is None and (rows[2]["host"], rows[2]["path"]) == ("a.org", "/x") and rows[5]["host"] == ""
+    joined = urlfilter.url_verdicts(pages, urlfilter.rule_table(spark, urlfilter.RULES))
+    assert {(r["page_id"], r["rule"], r["verdict"]) for r in joined.collect()} == {(i, r["rule"], r["verdict"]) for i, r in rows.items()}
+    log = spark.createDataFrame([("http://xcom/x", "http://z.net/es/")], "src string, dst string")
+    assert {r["page_id"]: r["verdict"] for r in urlfilter.url_verdicts(pages, redirects=log).collect()}[11] == "block"
+    assert urlfilter.url_verdicts(pages.limit(0)).count() == 0
+
+
+def test_warc_round_trip(spark):
+    html = [None, "", "a", "a", "é" * 5, "b" * 20000, "b" * 20000, *[f"<html><body>page {i} {'text ' * 50}</body></html>" for i in range(40)]]
+    pages = spark.createDataFrame([(i, None if i % 3 == 0 else f"http://x/ é{i}", h) for i, h in enumerate(html)], "page_id long, url string, html string")
+    last = {}
+    for i, h in enumerate(html):
+        last[(h or "").encode()] = i
+    expected = set()
+    for i, h in enumerate(html):
+        b = (h or "").encode()
+        first = last[b]
+        expected.add((i, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "response" if first == i else "revisit", None if first == i else first))
+    assert {tuple(r)[:5] for r in warc.round_trip(pages).collect()} == expected
+    assert warc.round_trip(pages.limit(0)).count() == 0
+
+
+def test_warc_reader_rejects_broken_archives():
+    payloads = [f"<p>{i}</p>".encode() * 30 for i in range(64)]
+    dictionary = warc.zstandard.train_dictionary(1024, payloads).as_bytes()
+    writer = warc.ArchiveWriter(dictionary)
+    for i, p in enumerate(payloads):
+        writer.add(warc.make_record("response", i, "u", p, None))
+    data = writer.out.getvalue()
+    assert warc.load_dictionary(memoryview(data))[0] == dictionary
+    records = [warc.parse_record(raw) for _, raw in warc.read_frames(data)]
+    assert [r["payload"] for r in records[1:]] == payloads and records[0]["record_type"] == "warcinfo"
+    with pytest.raises(warc.WarcError):
+        list(warc.read_frames(data[:-5]))
+    with pytest.raises(warc.WarcError):
+        list(warc.read_frames(data + b"junk"))
+    good = warc.make_record("response", 1, "u", b"abc", None)
+    for broken in (good.replace(b"WARC/1.1", b"WURC/1.1"), good.replace(b"abc", b"abd"), good[:-1], good.replace(b"WARC-Date", b"X-Date")):
+        with pytest.raises(warc.WarcError):
+            warc.parse_record(broken)
+
+
+def bits(text):
+    words = re.findall(rb"[^\x20\x09-\x0d]+", (text or "").encode().lower())
+    shingles = [b" ".join(words[i : i + 4]) for i in range(max(len(words) - 3, 1))] if words else []
+    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_simhash_matches_all_pairs(spark):
+    rng = random.Random(6)
+    texts = list(ODD[:-1])
+    for _ in range(12):
+        base = prose(rng, 200).split()
+        for k in range(6):
+            copy = list(base)
+            for _ in range(k):
+                copy[rng.randrange(len(copy))] = "changed"
+            texts.append(" ".join(copy))
+    rows = simhash.near_duplicates(documents(spark, texts, first=10)).collect()
+    prints = {10 + i: bits(t) for i, t in enumerate(texts)}
+    component = {i: i for i in prints}
+    for _ in prints:
+        for a in prints:
+            for b in prints:
+                if (prints[a] ^ prints[b]).bit_count() <= 4:
+                    component[a] = component[b] = min(component[a], component[b])
+        if all(component[component[a]] == component[a] for a in prints):
+            break
+    assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in rows} == {i: (f"{p:016x}", component[i]) for i, p in prints.items()}
+    assert simhash.near_duplicates(documents(spark, [])).count() == 0
+
+
+def test_simhash_tiles_give_the_same_components(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    centres = rng.integers(-(2**62), 2**62, 6)
+    fps = {int(c) ^ (1 << int(a)) ^ (1 << int(b)) for c in centres for a, b in rng.integers(0, 62, (60, 2))} | {int(x) for x in rng.integers(-(2**62), 2**62, 200)}
+    df = spark.createDataFrame([(x,) for x in fps], "fp long").persist()
+    plain = {(r["node"], r["component"]) for r in components.connected_components(simhash.links(df)).collect()}
+    monkeypatch.setattr(simhash, "BUCKET_COMPARISONS", 20)
+    monkeypatch.setattr(simhash, "TILE", 8)
+    assert {(r["node"], r["component"]) for r in components.connected_components(simhash.links(df)).collect()} == plain
+    order = sorted(fps)
+    near = {a: [b for b in order if a != b and ((a ^ b) & (2**64 - 1)).bit_count() <= 4] for a in order}
+    assert {n for n, _ in plain} == {a for a in order if near[a]}
+
+
+def test_threshold_allocation_spends_the_distance():
+    shares = np.full((8, 5), 1e-3)
+    shares[2, 0] = 0.9
+    for rows in (100, 10**6, 10**10):
+        parts = simhash.allocate(shares, rows, 4)
+        assert sum(t + 1 for _, _, t in parts) == 5
+
+
+def brute_spans(text):
+    text, out = text or "", []
+    for m in re.finditer(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.ASCII):
+        if len(m[2]) >= 6:
+            out.append((m.start(), 0, m.end(), "assign"))
+    out += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    out += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(out)
+
+
+def test_secrets_match_brute_force(spark):
+    rng = random.Random(8)
+    atoms = ["password", "Token", "api_key", "apikey", ":", "=", " ", '"', "'", "AKIA", "A" * 17, "0123456789abcdef" * 2, "deadbeef", "x", "\n", "é", "\U0001f600", "SECRET", "word ", "abcdef"]
+    texts = ["".join(rng.choice(atoms) for _ in range(rng.randint(1, 25))) for _ in range(300)] + ODD + ["password:abc token:token:secretvalue", "ſecret=abcdefgh"]
+    for r in secrets.secret_report(documents(spark, texts)).collect():
+        base = brute_spans(texts[r["doc_id"]])
+        listed = ",".join(f"{k}:{s}:{e}" for s, _, e, k in base)
+        assert r["base_sha256"] == hashlib.sha256(listed.encode()).hexdigest(), texts[r["doc_id"]]
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(x[3] == k for x in base) for k in ("assign", "access", "hex"))
+        assert set(filter(None, listed.split(","))) <= set(r["spans"].split(","))
+
+
+def test_entropy_windows_match_brute_force(spark):
+    rng = random.Random(9)
+    symbols = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    texts = ["".join(rng.choice(symbols[: rng.choice([3, 12, 20, 64])]) for _ in range(rng.randint(20, 60))) for _ in range(60)] + ["keitlichenlichkeitbeverlich", "some-long-words-joined-together", "12345678901234567890123"]
+    for r in secrets.secret_report(documents(spark, texts)).collect():
+        text = texts[r["doc_id"]]
+        windows = [text[i : i + 20] for i in range(len(text) - 19)]
+        high = any(-sum(w.count(c) / 20 * np.log2(w.count(c) / 20) for c in set(w)) >= secrets.CLASSES["entropy_base64"][3] - 1e-9 for w in windows)
+        allowed = bool(re.search(secrets.ALLOW.replace("|(?i)", "|(?i:") + ")", text))
+        if "hex" not in r["spans"]:
+            assert ("entropy_base64" in r["spans"]) == (high and not allowed), text
+    clean = {r["doc_id"]: r["text"] for r in secrets.redacted(documents(spark, ["a password=abcdefgh b", None, "none"])).collect()}
+    assert clean == {0: "a [SECRET] b", 1: None, 2: "none"}
+
+
+def test_language_held_out_accuracy_and_und(spark):
+    rng = random.Random(10)
+    rows = [(i, prose(rng, 30, "abcde" if i % 2 else "vwxyz"), "l1" if i % 2 else "l2") for i in range(200)] + [(900 + i, t, None) for i, t in enumerate([*ODD, "123 !!"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in langid.language_report(docs).collect()}
+    assert len(got) == len(rows)
+    assert all(got[i]["lang_pred"] == ("l1" if i % 2 else "l2") for i in range(200) if zlib.crc32(str(i).encode()) % 5 == 0)
+    assert [got[900 + i]["lang_pred"] == "und" for i in range(len(ODD) + 1)] == [True, True, True, *[False] * 6, True]
+    assert langid.language_report(docs.limit(0)).count() == 0
+
+
+def test_subwords_do_not_depend_on_pieces(monkeypatch):
+    text = prose(random.Random(11), 300)
+    whole = set(np.concatenate(list(langid.subwords(text))).tolist())
+    monkeypatch.setattr(langid, "_CHUNK", 64)
+    assert whole <= set(np.concatenate(list(langid.subwords(text))).tolist())
+
+
+def brute_quality(text):
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0d]+", text)
+    windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    covered = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(5)}
+    lines = text.split("\n")
+    dup = sum(bool(re.search(r"[^\x20\x09-\x0d]", x)) and x in lines[:i] for i, x in enumerate(lines))
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup, len(covered)
+
+
+def test_quality_counts_match_brute_force(spark):
+    rng = random.Random(12)
+    texts = ["".join(rng.choice(["a ", "b ", "c\n", "# ", "é ", " ", "\t", "\n", "ab ab ab ab ab "]) for _ in range(rng.randint(0, 40))) for _ in range(150)] + ODD[:7]
+    for t in texts:
+        assert quality.text_counts(t)[:5] == brute_quality(t), t
+    clean = [prose(rng, rng.randint(80, 300)) for _ in range(120)]
+    junk = ["$$$ ### *** %% " * 40 + prose(rng, 100) for _ in range(6)]
+    rows = {r["doc_id"]: r for r in quality.quality_rules(documents(spark, clean + junk + ODD)).collect()}
+    assert len(rows) == 126 + len(ODD)
+    assert np.mean([rows[i]["kept"] for i in range(120)]) > 0.95 and not any(rows[120 + i]["kept"] for i in range(6))
+    assert not rows[126]["kept"] and rows[126]["base_failed"]
+    assert quality.quality_rules(documents(spark, [])).count() == 0
+
+
+def test_decontamination_finds_copies_and_near_copies(spark):
+    rng = random.Random(13)
+    items = [". ".join(prose(rng, n) for n in (k, 8)) + "." for k in (8, 20, 40, 60)]
+    noise = [prose(rng, 300) for _ in range(60)]
+    near = items[2].split()
+    near[5], near[20] = "other", "words"
+    texts = [*noise, *[noise[i] + " " + items[i] + " " + noise[i + 1] for i in range(4)], noise[9] + " " + " ".join(near), *ODD]
+    benchmark = spark.createDataFrame([*enumerate(items), (9, None), (8, "")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(documents(spark, texts), benchmark).collect()}
+    assert got == {*((60 + i, i) for i in range(4)), (64, 2)}
+    kept = decontamination.decontaminated(documents(spark, texts), benchmark)
+    assert kept.count() == len(texts) - 5
+    assert decontamination.contaminated(documents(spark, []), benchmark).count() == 0
+    assert decontamination.contaminated(documents(spark, texts), benchmark.limit(0)).count() == 0
+
+
+def test_common_subsequence_matches_the_table():
+    rng = random.Random(14)
+    for _ in range(50):
+        a, b = [rng.randint(0, 5) for _ in range(rng.randint(1, 20))], [rng.randint(0, 5) for _ in range(rng.randint(0, 30))]
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        assert decontamination.longest_common(decontamination._masks(np.array(a)), len(a), b) == best[-1][-1]
+
+
+def test_viterbi_is_the_best_of_all_paths():
+    rng = np.random.default_rng(15)
+    model = chat.train([(np.stack([rng.integers(0, n, 6) for n in chat._SHAPES], axis=1), rng.integers(0, 6, 6)) for _ in range(30)])
+    import itertools
+
+    features = np.stack([rng.integers(0, n, 5) for n in chat._SHAPES], axis=1)
+    score = lambda path: model.start[path[0]] + sum(model.step[a, b] for a, b in zip(path, path[1:])) + sum(model.seen[k][s, features[t, k]] for t, s in enumerate(path) for k in range(4))
+    best = max(itertools.product(range(6), repeat=5), key=score)
+    assert abs(score(best) - score(tuple(chat.viterbi(model, features)))) < 1e-9
+
+
+def test_chat_roles_are_recovered(spark):
+    rng = random.Random(16)
+    rows = []
+    for c in range(120):
+        turns = (["system"] if c % 3 == 0 else []) + ["user", "assistant"] * rng.randint(1, 4)
+        rows += [(c, i, r, prose(rng, 40 if r == "assistant" else 9) + ("?" if r == "user" else "")) for i, r in enumerate(turns)]
+    rows += [(500, 0, None, None), (None, 0, "user", "x"), (501, None, "user", ""), (502, 0, "user", "a"), (502, 0, "user", "a")]
+    out = chat.parsed_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert len(out) == 124 and np.mean([r["agreement"] for r in out]) > 0.97
+    assert {r["conv_id"]: r["n_turns"] for r in out if r["conv_id"] in (502,)} == {502: 1}
+    assert chat.parsed_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_pipeline_stages_keep_the_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(17)
+    texts = [prose(rng, 120) for _ in range(40)]
+    item = prose(rng, 30)
+    texts += [texts[0], texts[1] + " " + item, "key password=abcdefgh12 " + texts[2] + " " + prose(rng, 90), "123", None]
+    docs = documents(spark, texts).drop("score", "kept", "fp")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    now = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path))
+        assert now.columns == docs.columns
+    left = {r["doc_id"]: r["text"] for r in now.collect()}
+    assert set(left) == set(range(40)) | {42} and "password" not in left[42]
+    packed = corpus_pipeline.run(spark, str(tmp_path))
+    assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == set(left)
