@@ -52,9 +52,10 @@ def test_components_match_a_search(spark):
 def test_toxicity_learns_and_handles_odd_texts(spark):
     rng = random.Random(2)
     bad = ["zqx", "zqy", "zqz"]
+    vocabulary = prose(rng, 150).split()
     texts = []
     for i in range(240):
-        words = prose(rng, 40).split()
+        words = rng.choices(vocabulary, k=40)
         if i % 2:
             for _ in range(3):
                 words[rng.randrange(len(words))] = rng.choice(bad)
