@@ -138,6 +138,7 @@ def mcd_verdicts(df: DataFrame, steps: int = 4, support: float = 0.75, quantile:
     Groups of fewer than ``least_group`` usable rows share the estimate of their language. Null lang or source form their own
     group. Rows that fail the base rules take no part in the estimates. Ties at the support's edge all take part.
     """
+    df = written(df, "counts")  # the texts are read once
     keys = ["g_lang", "g_source"]
     base = _features(df).withColumns({"g_lang": F.coalesce(F.concat(F.lit("="), "lang"), F.lit("null")), "g_source": F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))})
     usable = base.where(~base_failed())
