@@ -15,6 +15,7 @@ SYSTEM_PROMPT = (
     "Say so if they do not answer the question. Keep commands and terms as written.\n"
     "Cite each source you use by its bracketed id, e.g. [S1], and no others."
 )
+#: What the offline model says (fixed value).
 FAKE_ANSWER = "Based on the documentation, here is the answer."
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ragloom.functions import folds, generation, ids, text, vectors
 from ragloom.operators import answering, chunking, embedding, indexing, markdown, retrieval
-from ragloom.sources import store
+from ragloom.sources import store, zipdocs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -465,3 +465,30 @@ def context_rejection(load):
 @query()
 def ask(load):
     return answering.ask(_questions(load), _results(load), 4, 1500, 0.3).drop("question")
+
+
+@query(
+    "select concat(source, '/', doc_id, '.md') as path, case when doc_id % 2 = 0 then concat('T ', doc_id) else 'H' end as title, case when doc_id % 4 = 0 then 'xx' else 'en' end as language, "
+    "cast(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) + 2 as integer) as words from documents"
+)
+def front_matter(load):
+    fence = F.concat(F.lit("---\ntitle: T "), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 4 == 0, "\nlang: xx").otherwise("\nlang: 5\nlanguage: yy"), F.lit("\n---\n"))
+    content = F.concat(F.when(F.col("doc_id") % 2 == 0, fence).otherwise(""), F.lit("# H\n\n"), "text")
+    found = zipdocs.structured_documents(load("documents").select(_path().alias("sourcePath"), content.alias("content")))
+    return found.select(F.col("sourcePath").alias("path"), "title", "language", F.col("wordCount").alias("words"))
+
+
+@query("select concat(source, '/../', doc_id) as name, true as safe from documents where doc_id % 3 = 0 union all select concat('../', doc_id), false from documents where doc_id % 3 = 1 union all select concat('a/', doc_id), true from documents where doc_id % 3 = 2")
+def entry_names(load):
+    k, own = F.col("doc_id") % 3, F.col("doc_id").cast("string")
+    name = F.when(k == 0, F.concat("source", F.lit("/../"), own)).when(k == 1, F.concat(F.lit("../"), own)).otherwise(F.concat(F.lit("a/"), own))
+    return load("documents").select(name.alias("name")).withColumn("safe", text.is_safe_entry(F.col("name")))
+
+
+@query("select conv_id, turn, case turn % 5 when 0 then 'rate-limit' when 1 then 'permanent' when 2 then 'transient' when 3 then 'transient' else 'permanent' end as kind, case turn % 5 when 0 then 'quota' when 1 then 'internal' when 2 then 'provider' when 3 then 'timeout' else 'internal' end as class from conversations")
+def failure_classes(load):
+    k = F.col("turn") % 5
+    status = F.when(k == 0, 429).when(k == 1, 403).when(k == 2, 503).when(k == 3, 0).otherwise(400)
+    message = F.when(k == 3, "request timed out").otherwise("refused")
+    kind = generation.provider_error_kind(status, message)
+    return load("conversations").select("conv_id", "turn", kind.alias("kind"), generation.failure_class(kind, message, F.lit(False)).alias("class"))

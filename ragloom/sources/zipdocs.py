@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import datetime
 import io
+import json
 import posixpath
 import re
 import zipfile
@@ -65,8 +67,6 @@ def scan_archives(spark: SparkSession, path: str, glob: str = "**/*.md", max_ent
         yield _batch(rows)
 
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
-        import datetime
-
         kinds = [pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64()]
         times = pa.array([datetime.datetime.strptime(r[5], "%Y-%m-%d %H:%M:%S").replace(tzinfo=datetime.UTC) for r in rows], pa.timestamp("us", "UTC"))
         names = ["archive", "sourcePath", "content", "uncompressedSize", "compressedSize", "lastModified"]
@@ -78,14 +78,12 @@ def scan_archives(spark: SparkSession, path: str, glob: str = "**/*.md", max_ent
 
 def split_front_matter(documents: DataFrame, raw: str = "raw") -> DataFrame:
     """documents with frontMatter (JSON, null without), body and error. Malformed front matter is that document's error alone."""
-    import json
-
     keep = [c for c in documents.columns if c not in ("frontMatter", "body", "error")]
     schema = documents.select(*keep).schema.add("frontMatter", "string").add("body", "string").add("error", "string")
     at = keep.index(raw)
 
     def one(value: str | None) -> tuple[str | None, str | None, str | None]:
-        found = re.match(r"﻿?---[ \t]*\r?\n(.*?)(?:^|\r?\n)---[ \t]*(?:\r?\n|\Z)", value or "", re.DOTALL)
+        found = re.match(r"\ufeff?---[ \t]*\r?\n(.*?)(?:^|\r?\n)---[ \t]*(?:\r?\n|\Z)", value or "", re.DOTALL)
         if not found:
             return None, value, None
         try:

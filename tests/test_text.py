@@ -27,8 +27,7 @@ def test_truncation_keeps_whole_words(spark):
 
 def test_globs(spark):
     cases = [("**/*.md", "a/b/c.md", True), ("**/*.md", "c.md", True), ("*.md", "a/c.md", False), ("a/?.md", "a/b.md", True), ("a/**/b", "a/xb", True), ("a.b", "axb", False), ("**", "a\n", True)]
-    rows = spark.createDataFrame([(p,) for _, p, _ in cases], "p string").collect()
-    for (pattern, path, expected), _ in zip(cases, rows, strict=True):
+    for pattern, path, expected in cases:
         assert one(spark, text.matches_glob(F.col("p"), pattern), p=path) is expected, (pattern, path)
 
 
