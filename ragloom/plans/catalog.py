@@ -379,9 +379,10 @@ def batch_topk(load):
     return retrieval.batch_top_k(_points(load), asked, 10).withColumn("score", F.round("score", 6))
 
 
-def _results(load) -> DataFrame:
+def _results(load, items: int = 40) -> DataFrame:
+    """Whole texts as results of ``items`` queries."""
     k = F.col("doc_id")
-    return load("documents").select((k % 40).alias("queryId"), (k % 97 % 5).cast("string").alias("chunkId"), ((k * 37) % 101 / 100).alias("score"), k.alias("position"), F.substring("text", 1, 700).alias("text"), F.lit(None).cast("string").alias("parentText"), F.col("source").alias("documentTitle"), F.col("lang").alias("headingPath"), _path().alias("sourcePath"))
+    return load("documents").select((k % items).alias("queryId"), (k % 97 % 5).cast("string").alias("chunkId"), ((k * 37) % 101 / 100).alias("score"), k.alias("position"), "text", F.lit(None).cast("string").alias("parentText"), F.col("source").alias("documentTitle"), F.col("lang").alias("headingPath"), _path().alias("sourcePath"))
 
 
 _CONTEXT = """res as (select doc_id % 40 as queryId, cast(doc_id % 97 % 5 as varchar) as chunkId, (doc_id * 37) % 101 / 100.0 as score, doc_id as position, substr(text, 1, 700) as text, source as title, lang as hp from documents),
@@ -392,7 +393,8 @@ _CONTEXT = """res as (select doc_id % 40 as queryId, cast(doc_id % 97 % 5 as var
 
 
 def _context(load) -> DataFrame:
-    return answering.select_context(_results(load), 4, 1500, 0.3)
+    # The SQL's results are cut to 700 characters and those of items from 40 on are left out.
+    return answering.select_context(_results(load).withColumn("text", F.substring("text", 1, 700)), 4, 1500, 0.3)
 
 
 @query(f"with {_CONTEXT} select queryId, chunkId, score from b where rn = 1")
@@ -464,7 +466,9 @@ def context_rejection(load):
 
 @query()
 def ask(load):
-    return answering.ask(_questions(load), _results(load), 4, 1500, 0.3).drop("question")
+    benchmark = load("benchmark")
+    asked = benchmark.select(F.col("item_id").alias("queryId"), F.col("text").alias("question"))
+    return answering.ask(asked, _results(load, max(benchmark.count(), 1)), 4, 1500, 0.3).drop("question")
 
 
 @query(
