@@ -132,28 +132,41 @@ def _chi2_quantile(p: int, q: float) -> float:
     return p * (1 - 2 / (9 * p) + NormalDist().inv_cdf(q) * math.sqrt(2 / (9 * p))) ** 3
 
 
+def _widening(support: float) -> float:
+    """From the scatter of the central share to that of the whole under normality."""
+    p, q = len(FEATURES), _chi2_quantile(len(FEATURES), support)
+    return support / (support - q ** (p / 2) * math.exp(-q / 2) / (2 ** (p / 2) * math.gamma(p / 2 + 1)))
+
+
 def mcd_verdicts(df: DataFrame, steps: int = 4, support: float = 0.75, quantile: float = 0.99999, least_group: int = 50) -> DataFrame:
     """df (with counts) plus distance2 and outlier.
 
-    Groups of fewer than ``least_group`` usable rows share the estimate of their language. Null lang or source form their own
-    group. Rows that fail the base rules take no part in the estimates. Ties at the support's edge all take part.
+    Groups of fewer than ``least_group`` usable rows are judged by the estimate of all usable rows of their language, and those of
+    languages with fewer by that of the whole corpus. Null lang or source form their own group. Rows that fail the base rules take
+    no part in the estimates. Ties at the support's edge all take part.
     """
     df = written(df, "counts")  # the texts are read once
     keys = ["g_lang", "g_source"]
     base = _features(df).withColumns({"g_lang": F.coalesce(F.concat(F.lit("="), "lang"), F.lit("null")), "g_source": F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))})
-    usable = base.where(~base_failed())
-    sizes = usable.groupBy(*keys).agg(F.count("*").alias("size"))
-    sizes = sizes.withColumn("g", F.when(F.col("size") >= least_group, F.concat_ws("/", "g_lang", "g_source")).otherwise(F.concat(F.col("g_lang"), F.lit("/"))))
-    base = base.join(sizes.select(*keys, "g"), keys, "left").withColumn("g", F.coalesce("g", F.concat(F.col("g_lang"), F.lit("/"))))
-    base = written(base.drop("g_lang", "g_source"), "quality")
-    usable = base.where(~base_failed()).select("g", *FEATURES)
-    # Start from the rows inside the quartiles of length: a share that gross outliers cannot fill.
-    medians = usable.groupBy("g").agg(F.percentile_approx("f_length", [0.25, 0.75], 1000).alias("q"))
-    chosen = usable.join(medians, "g").where(F.col("f_length").between(F.col("q")[0], F.col("q")[1]) & (F.col("f_symbol") <= 0.2) & (F.col("f_dup") <= 0.3))
-    estimates = _materialised(_estimates(_moments(chosen, ["g"]), ["g"], 2.0))
-    # The scatter of the central share, widened to that of the whole under normality.
-    p, q = len(FEATURES), _chi2_quantile(len(FEATURES), support)
-    widen = support / (support - q ** (p / 2) * math.exp(-q / 2) / (2 ** (p / 2) * math.gamma(p / 2 + 1)))
+    sizes = base.where(~base_failed()).groupBy(*keys).agg(F.count("*").alias("size"))
+    base = base.join(sizes, keys, "left").join(sizes.groupBy("g_lang").agg(F.sum("size").alias("lang_size")), "g_lang", "left")
+    levels = [F.concat_ws("/", "g_lang", "g_source"), F.concat(F.col("g_lang"), F.lit("/")), F.lit("")]
+    base = base.withColumn("g", F.when(F.col("size") >= least_group, levels[0]).when(F.col("lang_size") >= least_group, levels[1]).otherwise(levels[2]))
+    base = written(base.withColumn("levels", F.array(*levels)).drop(*keys, "size", "lang_size"), "quality")
+    # Every usable row takes part in each estimate that judges some row: of its group, its language and the corpus.
+    usable = base.where(~base_failed()).select(F.explode("levels").alias("g"), *FEATURES).join(base.select("g").distinct(), "g", "left_semi")
+    usable = written(usable, "levels")
+    base = base.drop("levels")
+    # Start from the half of the rows that is closest to the medians, in units of the median absolute deviations.
+    middle = lambda columns: [F.percentile_approx(c, 0.5, 1000).alias(f"m{i}") for i, c in enumerate(columns)]
+    off = [F.abs(F.col(f) - F.col(f"m{i}")).alias(f"o{i}") for i, f in enumerate(FEATURES)]
+    apart = usable.join(usable.groupBy("g").agg(*middle(FEATURES)), "g").select("g", *FEATURES, *off)
+    spread = apart.groupBy("g").agg(*middle([f"o{i}" for i in range(len(FEATURES))]))
+    scaled = [F.col(f"o{i}") / F.greatest(1.4826 * F.col(f"m{i}"), F.lit(floor)) for i, floor in enumerate(FEATURES.values())]
+    apart = apart.join(spread, "g").select("g", *FEATURES, sum((x * x for x in scaled[1:]), scaled[0] * scaled[0]).alias("apart"))
+    chosen = apart.join(apart.groupBy("g").agg(F.percentile_approx("apart", 0.5, 1000).alias("half")), "g").where("apart <= half")
+    estimates = _materialised(_estimates(_moments(chosen, ["g"]), ["g"], _widening(0.5)))
+    p, widen = len(FEATURES), _widening(support)
     for _ in range(steps):
         measured = usable.join(estimates, "g").select("g", *FEATURES, _distance().alias("d2"))
         measured = measured.withColumn("bin", F.floor(F.log1p("d2") * BINS_PER_LOG))

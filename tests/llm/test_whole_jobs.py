@@ -2,7 +2,7 @@
 
 import random
 
-from ragloom.llm import decontamination
+from ragloom.llm import decontamination, quality
 
 
 def prose(rng, n, letters="abcdefgh"):
@@ -31,3 +31,16 @@ def test_decontamination_blocks_hold_no_more_windows_than_the_rank():
     blocks = list(decontamination._blocks(items))
     assert all(0 < len(windows) <= decontamination.RANK for _, windows in blocks)
     assert sum(len(windows) for _, windows in blocks) == len(decontamination._item_windows(items))
+
+
+def test_quality_judges_sources_of_symbols_and_small_sources(spark):
+    rng = random.Random(22)
+    code = lambda words: " ".join(w + rng.choice(["", "", "#", "$"]) for w in prose(rng, words).split())
+    rows = [("en", "prose", prose(rng, rng.randint(80, 300))) for _ in range(120)] + [("en", "code", code(rng.randint(80, 300))) for _ in range(60)]
+    junk = "$$$ ### *** %% " * 40
+    rows += [("en", "code", junk + prose(rng, 100)), ("en", "junk", junk + prose(rng, 100)), ("xx", "lone", junk + prose(rng, 100))]
+    docs = spark.createDataFrame([(i, t, lang, source) for i, (lang, source, t) in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in quality.quality_rules(docs).collect()}
+    assert len(got) == 183 and all(r["distance2"] is not None for r in got.values())
+    assert sum(got[i]["kept"] for i in range(180)) > 170
+    assert not any(got[i]["kept"] for i in (180, 181, 182))
