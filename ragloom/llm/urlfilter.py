@@ -73,12 +73,12 @@ def _resolved(base: Column, target: Column) -> Column:
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """(src, dst): the equivalences that pages declare, by rel=canonical links and by meta refresh redirects."""
-    tag = lambda name, attribute, value: F.regexp_extract("html", rf"(?is)<{name}\b(?=[^>]*\b{attribute}\s*=\s*[\"']?{value}\b)[^>]*>", 0)
+    """(src, dst): the equivalences that pages declare, by all rel=canonical links and meta refresh redirects."""
+    tags = lambda name, attribute, value: F.regexp_extract_all("html", F.lit(rf"(?is)<{name}\b(?=[^>]*\b{attribute}\s*=\s*{value})[^>]*>"), F.lit(0))
     unescaped = lambda c: F.replace(F.trim(c), F.lit("&amp;"), F.lit("&"))
-    canonical = unescaped(F.regexp_extract(tag("link", "rel", "canonical"), r"(?is)\bhref\s*=\s*[\"']?([^\"'>\s]+)", 1))
-    refresh = unescaped(F.regexp_extract(tag("meta", "http-equiv", "refresh"), r"(?is)\bcontent\s*=\s*[\"']?[^\"'>]*?url\s*=\s*[\"']?([^\"'>\s]+)", 1))
-    found = pages.where(F.col("html").contains("anonical") | F.lower("html").contains("refresh")).select("url", F.explode(F.array(canonical, refresh)).alias("target")).where("target != ''")
+    canonical = F.transform(tags("link", "rel", r"(?:\"(?:[^\">]*\s)?canonical[\s\"]|'(?:[^'>]*\s)?canonical[\s']|canonical(?=[\s>/]))"), lambda t: unescaped(F.regexp_extract(t, r"(?is)\bhref\s*=\s*[\"']?([^\"'>\s]+)", 1)))
+    refresh = F.transform(tags("meta", "http-equiv", r"[\"']?refresh\b"), lambda t: unescaped(F.regexp_extract(t, r"(?is)\bcontent\s*=\s*[\"']?[^\"'>]*?url\s*=\s*[\"']?([^\"'>\s]+)", 1)))
+    found = pages.where(F.lower("html").contains("canonical") | F.lower("html").contains("refresh")).select("url", F.explode(F.concat(canonical, refresh)).alias("target")).where("target != ''")
     return found.select(key_of(F.col("url")).alias("src"), key_of(_resolved(F.col("url"), F.col("target"))).alias("dst")).where("src is not null and dst is not null and src != dst").distinct()
 
 

@@ -2,7 +2,7 @@
 
 import random
 
-from ragloom.llm import decontamination, quality
+from ragloom.llm import decontamination, quality, urlfilter
 
 
 def prose(rng, n, letters="abcdefgh"):
@@ -44,3 +44,13 @@ def test_quality_judges_sources_of_symbols_and_small_sources(spark):
     assert len(got) == 183 and all(r["distance2"] is not None for r in got.values())
     assert sum(got[i]["kept"] for i in range(180)) > 170
     assert not any(got[i]["kept"] for i in (180, 181, 182))
+
+
+def test_page_links_reads_every_form_of_a_canonical_tag(spark):
+    html = [
+        '<LINK REL="CANONICAL" HREF="http://x.org/0">', '<link href="http://x.org/1" rel="alternate canonical">', "<link rel='a canonical b' href='http://x.org/2'>",
+        '<link rel=canonical href="http://x.org/3"><link rel="canonical" href="http://y.org/3">', '<link rel="noncanonical" href="http://x.org/4"><link rel="canonical-x" href="/4">', '<link rel=canonical href=http://x.org/5>',
+    ]
+    pages = spark.createDataFrame([(f"http://p.org/{i}p", h) for i, h in enumerate(html)], "url string, html string")
+    found = {(r["src"], r["dst"]) for r in urlfilter.page_links(pages).collect()}
+    assert found == {(f"p.org/{i}p", f"x.org/{i}") for i in (0, 1, 2, 3, 5)} | {("p.org/3p", "y.org/3")}
