@@ -47,8 +47,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def held_out(doc_id: Column) -> Column:
-    """True for the fifth of the documents that no model may learn from."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+    """True for the fifth of the documents that no model may learn from; false for a null doc_id."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def learnable(doc_id: Column) -> Column:
+    """True for documents that models may learn from: those with a doc_id that are not held out."""
+    return doc_id.isNotNull() & ~held_out(doc_id)
 
 
 def append_columns(df: DataFrame, inputs: list[str], fields: list[T.StructField], make: Callable[[], Callable[..., list[list]]], keep: list[str] | None = None) -> DataFrame:

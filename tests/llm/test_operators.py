@@ -71,14 +71,6 @@ def test_toxicity_learns_and_handles_odd_texts(spark):
     assert toxicity.toxicity_scores(docs.limit(0), labels).count() == 0
 
 
-def test_toxicity_scores_all_windows():
-    at = toxicity.windows_of(100)
-    assert set(at.ravel()) - {-1} == set(range(100)) and (at[1:, 0] - at[:-1, 0] == toxicity.STRIDE).all()
-    scorer = toxicity.Scorer(toxicity.initial())
-    texts = ["a b c " * 20, None, "d"]
-    assert np.allclose(scorer.logits(texts)[0], scorer.logits(texts[:1])[0], atol=1e-5)
-
-
 def test_packing_is_a_partition_with_exact_ids(spark):
     from tokenizers import Tokenizer
 
