@@ -46,6 +46,30 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A table of up to so many rows is broadcast by ``lookup``.
+BROADCAST_ROWS = 50_000
+#: A key is heavy if it has over one in so many of the rows that are looked up; so fewer keys than this are heavy.
+HEAVY_SHARE = 1000
+
+
+def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, most: int | None = None) -> DataFrame:
+    """left with the columns of right but ``weight`` (left join on one column; null keys match nothing).
+
+    right is a written table that has each key once; ``weight`` tells how many rows of left have it. Up to ``most`` rows
+    (BROADCAST_ROWS if None) of right are broadcast. A larger one is shuffled, but for the heavy keys, of which there are fewer than
+    HEAVY_SHARE: these are broadcast, so that a hot key is never dealt to one task.
+    """
+    if right.limit((BROADCAST_ROWS if most is None else most) + 1).count() <= (BROADCAST_ROWS if most is None else most):
+        return left.join(F.broadcast(right.drop(weight)), key, "left")
+    total = right.agg(F.sum(weight)).first()[0] or 0
+    names = [c for c in right.columns if c not in (key, weight)]
+    heavy = right.where(F.col(weight) * HEAVY_SHARE > total)
+    marked = left.join(F.broadcast(heavy), key, "left")
+    done = F.col(weight).isNotNull() | F.col(key).isNull()
+    rest = marked.where(~done).drop(weight, *names).join(right.where(F.col(weight) * HEAVY_SHARE <= total).drop(weight), key, "left")
+    return marked.where(done).drop(weight).unionByName(rest)
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fifth of the documents that no model may learn from; false for a null doc_id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))

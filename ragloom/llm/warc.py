@@ -1,7 +1,8 @@
 """WARC archives compressed with Zstandard: one frame a record, and the dictionary in a leading skippable frame.
 
 Writing and reading run inside tasks: a task streams its rows into archives of bounded size, and a task that reads holds one
-archive and one record at a time. An archive is complete under its final name or absent, so repeated tasks do no harm.
+archive at a time. Every attempt of a task writes under names of its own, and the manifest, which Spark commits, lists only those
+of the attempts that counted: what a lost or repeated attempt has left behind is never read.
 """
 
 from __future__ import annotations
@@ -16,11 +17,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ragloom.llm.common import shared_dir, written
+from ragloom.llm.common import lookup, shared_dir, written
 
 #: Magic number of the skippable frame that holds the dictionary, and the marks of a plain frame and of a trained dictionary (fixed values).
 SKIPPABLE, FRAME, DICTIONARY = 0x184D2A5D, 0xFD2FB528, 0xEC30A437
@@ -38,15 +39,18 @@ class WarcError(ValueError):
     """An archive or record that breaks the format."""
 
 
-def record_id(page_id: int | None) -> str:
-    return f"<urn:x-page:{'none' if page_id is None else page_id}>"
+def record_id(page_id: int | None, digest: str) -> str:
+    """Identity of a record: its page and its payload's digest. Rows that repeat both are one record written again."""
+    return f"<urn:x-page:{'none' if page_id is None else page_id}:{digest}>"
 
 
-def _page_of(identifier: str) -> int | None:
-    prefix, _, number = identifier.strip("<>").rpartition(":")
-    if prefix != "urn:x-page":
+def _page_of(identifier: str) -> tuple[int | None, str]:
+    """(page, digest) of a record's identity."""
+    prefix, _, rest = identifier.strip("<>").partition("urn:x-page:")
+    number, _, digest = rest.partition(":")
+    if prefix or not digest:
         raise WarcError(f"not a page's record id: {identifier}")
-    return None if number == "none" else int(number)
+    return None if number == "none" else int(number), digest
 
 
 def payload_digest(payload: bytes) -> str:
@@ -56,14 +60,15 @@ def payload_digest(payload: bytes) -> str:
 
 def make_record(kind: str, page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
     """A response record, or a revisit that keeps the HTTP header (with the payload's length) and leaves the payload out."""
+    digest = payload_digest(payload)
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http + (payload if kind == "response" else b"")
-    header = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {DATE}"]
+    header = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id, digest)}", f"WARC-Date: {DATE}"]
     if url is not None:
         header.append("WARC-Target-URI: " + "".join(c if c > " " else f"%{ord(c):02X}" for c in url))
-    header.append(f"WARC-Payload-Digest: sha1:{payload_digest(payload)}")
+    header.append(f"WARC-Payload-Digest: sha1:{digest}")
     if kind == "revisit":
-        header += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {record_id(refers_to)}"]
+        header += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {record_id(refers_to, digest)}"]
     header += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(header).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -96,6 +101,8 @@ def parse_record(raw: bytes) -> dict:
             raise WarcError("the payload does not match its length or digest")
         if out["record_type"] == "revisit" and (payload or not out["refers_to"]):
             raise WarcError("a revisit has a payload or refers to nothing")
+        if out["record_type"] == "revisit" and _page_of(out["refers_to"])[1] != digest[5:]:
+            raise WarcError("a revisit refers to a record with another payload")
         out |= {"payload": payload if out["record_type"] == "response" else None, "payload_bytes": length, "payload_digest": digest[5:]}
     return out
 
@@ -160,12 +167,13 @@ def record_plan(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """pages (page_id, url, payload) with record_type and refers_to.
 
     Of equal payloads of at least ``least_bytes`` the row with the largest page_id is the response and the others revisit it; rows
-    that repeat that page_id too are responses. Null html is an empty payload; a null page_id is never the largest.
+    that repeat that page_id too are responses. Null html is an empty payload; a null page_id is never the largest. Only digests are
+    shuffled to find equal payloads; a payload itself moves only where more payloads than BROADCAST_ROWS repeat.
     """
     base = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload")).withColumn("same", F.sha2("payload", 256))
-    first = base.groupBy("same").agg(F.max("page_id").alias("first_id")).repartition("first_id")
-    joined = base.join(first, "same")
-    revisit = (F.octet_length("payload") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("first_id"))
+    repeated = base.groupBy("same").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1 and first_id is not null")
+    joined = lookup(base, written(repeated, "warc-repeated"), "same", "n")
+    revisit = F.col("first_id").isNotNull() & (F.octet_length("payload") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     return joined.select("page_id", "url", "payload", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first_id")).alias("refers_to"))
 
 
@@ -182,25 +190,28 @@ def trained_dictionary(pages: DataFrame) -> bytes | None:
         return None
 
 
+def _opened(folder: str):
+    """(file system, path) of a folder that all executors reach."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder.replace("s3a://", "s3://", 1))
+
+
 def write_archives(records: DataFrame, folder: str, dictionary: bytes | None) -> DataFrame:
-    """Writes the planned records as ``*.warc.zst`` below a folder that all executors reach; returns (archive, records, bytes)."""
+    """Writes the planned records as ``*.warc.zst`` below a folder that all executors reach; returns the manifest (archive, records, bytes)."""
     given = records.sparkSession.sparkContext.broadcast(dictionary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(folder)
+        store, root = _opened(folder)
         store.create_dir(root, recursive=True)
-        task = TaskContext.get()
-        part, attempt, count = task.partitionId(), task.taskAttemptId(), 0
+        part, attempt, count = TaskContext.get().partitionId(), uuid.uuid4().hex[:16], 0
 
         def done(archive: ArchiveWriter) -> pa.RecordBatch:
             nonlocal count
-            name = f"{root}/pages-{part:06d}-{count:05d}.warc.zst"
+            name = f"pages-{part:06d}-{count:05d}-{attempt}.warc.zst"
             data, count = archive.out.getvalue(), count + 1
-            with store.open_output_stream(f"{name}.{attempt}.tmp") as out:
+            with store.open_output_stream(f"{root}/{name}") as out:
                 out.write(data)
-            store.move(f"{name}.{attempt}.tmp", name)
             return pa.RecordBatch.from_pydict({"archive": [name], "records": pa.array([archive.records], pa.int64()), "bytes": pa.array([len(data)], pa.int64())})
 
         archive = None
@@ -223,39 +234,71 @@ def write_archives(records: DataFrame, folder: str, dictionary: bytes | None) ->
 _READ = T.StructType([T.StructField(n, t) for n, t in (("archive", T.StringType()), ("offset", T.LongType()), ("page_id", T.LongType()), ("url", T.StringType()), ("record_type", T.StringType()), ("payload_bytes", T.LongType()), ("payload_digest", T.StringType()), ("refers_to", T.LongType()), ("payload", T.BinaryType()))])
 
 
+def _records(name: str, content: bytes, payloads: bool) -> Iterator[pa.RecordBatch]:
+    """Rows of one archive, in batches of bounded size."""
+    rows, held = [], 0
+    for offset, raw in read_frames(content):
+        record = parse_record(raw)
+        if record["record_type"] not in ("response", "revisit"):
+            continue
+        refers_to = _page_of(record["refers_to"])[0] if record["refers_to"] else None
+        rows.append((name, offset, _page_of(record["record_id"])[0], record["url"], record["record_type"], record["payload_bytes"], record["payload_digest"], refers_to, record["payload"] if payloads else None))
+        held += len(raw)
+        if held > 4 << 20:
+            yield _batch(rows)
+            rows, held = [], 0
+    yield _batch(rows)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=_READ.fieldNames())
+
+
 def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
     """One row a response or revisit record of archives given as (path, content), as Spark's binaryFile source reads them."""
-    names = _READ.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column(0), batch.column(1), strict=True):
-                rows, held = [], 0
-                for offset, raw in read_frames(content.as_py()):
-                    record = parse_record(raw)
-                    if record["record_type"] not in ("response", "revisit"):
-                        continue
-                    refers_to = _page_of(record["refers_to"]) if record["refers_to"] else None
-                    rows.append((path.as_py(), offset, _page_of(record["record_id"]), record["url"], record["record_type"], record["payload_bytes"], record["payload_digest"], refers_to, record["payload"] if payloads else None))
-                    held += len(raw)
-                    if held > 4 << 20:
-                        yield _batch(rows)
-                        rows, held = [], 0
-                yield _batch(rows)
-
-    def _batch(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+                yield from _records(path.as_py(), content.as_py(), payloads)
 
     return archives.select("path", "content").mapInArrow(run, _READ)
 
 
+def read_listed(manifest: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
+    """One row a response or revisit record of the archives that a manifest lists; other files in the folder are not looked at."""
+    listed = manifest.count()
+    tasks = max(1, min(listed, 3 * manifest.sparkSession.sparkContext.defaultParallelism), listed // 64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = _opened(folder)
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                with store.open_input_stream(f"{root}/{name}") as file:
+                    content = file.read()
+                yield from _records(name, content, payloads)
+
+    return manifest.select("archive").repartition(tasks, "archive").mapInArrow(run, _READ)
+
+
+def dangling(records: DataFrame) -> DataFrame:
+    """(refers_to, payload_digest) of revisits for which no response with that page and digest was read, each once."""
+    wanted = records.where("record_type = 'revisit'").select("refers_to", "payload_digest").distinct()
+    held = records.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest").distinct()
+    return wanted.join(held, ["refers_to", "payload_digest"], "left_anti")
+
+
 def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
-    """Writes the pages as archives, reads these back: page_id, payload_bytes, payload_digest, record_type, refers_to, archive."""
-    spark = pages.sparkSession
+    """Writes the pages as archives, reads these back: page_id, payload_bytes, payload_digest, record_type, refers_to, archive.
+
+    No pages give no archives and no rows. Raises WarcError where a revisit refers to a response that is not there.
+    """
+    spark: SparkSession = pages.sparkSession
     folder = folder or f"{shared_dir(spark)}/ragloom-warc-{uuid.uuid4().hex}"
     manifest = write_archives(record_plan(pages), folder, trained_dictionary(pages))
-    if manifest.isEmpty():
-        return spark.createDataFrame([], _READ).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "archive")
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
-    return read_archives(files, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "archive")
+    records = written(read_listed(manifest, folder, payloads=False).drop("payload"), "warc-records")
+    lost = dangling(records).first()
+    if lost:
+        raise WarcError(f"no response of page {lost['refers_to']} for its revisits")
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "archive")
