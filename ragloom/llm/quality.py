@@ -1,9 +1,12 @@
 """Quality rules: fixed rules on word statistics, then robust multivariate outlier rejection within language and source.
 
-The minimum-covariance-determinant estimate of each (lang, source) group is found by distributed concentration steps:
-every step measures all rows of a group against its present centre and scatter, takes the closest ``support`` share
-(a histogram of distances, merged before the shuffle) and re-estimates both from that share (sums, merged before the shuffle).
-No group is ever gathered, so a group that holds a third of all rows is no different from the others.
+The minimum-covariance-determinant estimate of each (lang, source) group is found by distributed concentration steps from three
+deterministic starts (robust scales alone; correlations of squashed values; spatial signs). A step measures all rows of a group
+against a centre and scatter, takes the closest ``support`` share (a histogram of distances, merged before the shuffle) and
+re-estimates both from that share (sums, merged before the shuffle). After two steps the start with the least determinant is
+carried on until its determinant no longer falls. A floor on each statistic's spread is added to the scatter (a regularised
+determinant), as most texts have no symbol and no repeated line at all. No group is ever gathered, so a group that holds a
+third of all rows is no different from the others.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ragloom.llm.common import append_columns, written
+from ragloom.llm.common import append_columns, lookup, written
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -24,8 +27,12 @@ _SPACE = " \t\n\x0b\x0c\r"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: Transformed statistics that form the vector of a document, and the least spread each is granted.
 FEATURES = {"f_length": 0.25, "f_word": 0.06, "f_symbol": 0.06, "f_dup": 0.15, "f_repeat": 0.15}
-#: Distances are binned to 1/64 of a natural logarithm.
-BINS_PER_LOG = 64
+#: Distances are binned to 1/1024 of a natural logarithm to find the closest share of a group.
+BINS_PER_LOG = 1024
+#: Starts of the search.
+STARTS = 3
+#: Texts of more words find their repeated windows by sorting numbers, which takes less memory.
+_MANY_WORDS = 2000
 
 
 def text_counts(text: str | None) -> tuple[int, int, int, int, int, int]:
@@ -46,17 +53,33 @@ def text_counts(text: str | None) -> tuple[int, int, int, int, int, int]:
                 seen.add(line)
     else:
         full = int(n > 0)
-    repeat = 0
-    if n > 5:
+    return n, chars, symbols, dup, _in_repeated_windows(words), full
+
+
+def _in_repeated_windows(words: list[bytes]) -> int:
+    """Words that lie in a 5-word window found twice or more."""
+    if len(words) < 6:
+        return 0
+    if len(words) <= _MANY_WORDS:
         windows = list(zip(words, words[1:], words[2:], words[3:], words[4:]))
         found = Counter(windows)
-        if len(found) < len(windows):
-            reach = 0
-            for i, w in enumerate(windows):
-                if found[w] > 1:
-                    repeat += i + 5 - max(i, reach)
-                    reach = i + 5
-    return n, chars, symbols, dup, repeat, full
+        if len(found) == len(windows):
+            return 0
+        again = np.fromiter((found[w] > 1 for w in windows), bool, len(windows))
+    else:
+        # Each window gets a number that equal windows share: numbers of pairs, of pairs of pairs, and of those with a fifth word.
+        known: dict[bytes, int] = {}
+        one = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
+        known.clear()
+        rank = lambda x, y: np.unique(x * (y.max() + 1) + y, return_inverse=True)[1]
+        two = rank(one[:-1], one[1:])
+        four = rank(two[:-2], two[2:])
+        five = rank(four[:-1], one[4:])
+        again = np.bincount(five)[five] > 1
+    inside = np.zeros(len(words) + 1, np.int64)
+    np.add.at(inside, np.flatnonzero(again), 1)
+    np.add.at(inside, np.flatnonzero(again) + 5, -1)
+    return int((np.cumsum(inside) > 0).sum())
 
 
 def statistics(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -83,44 +106,78 @@ def _features(df: DataFrame) -> DataFrame:
     )
 
 
-def _moments(df: DataFrame, keys: list[str]) -> DataFrame:
-    """n, sums and products of the features by group."""
-    names = list(FEATURES)
+def _moments(df: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """n, sums and products of the columns by group."""
     sums = [F.count("*").alias("n"), *[F.sum(f).alias(f"s{i}") for i, f in enumerate(names)]]
     sums += [F.sum(F.col(names[i]) * F.col(names[j])).alias(f"p{i}{j}") for i in range(len(names)) for j in range(i, len(names))]
     return df.groupBy(*keys).agg(*sums)
 
 
-def _estimates(moments: DataFrame, keys: list[str], widen: float) -> DataFrame:
-    """Centre and inverse scatter of each group. One row a group; the floors keep a statistic that never varies from deciding alone."""
-    p, floors, names = len(FEATURES), np.array(list(FEATURES.values())), [f.name for f in moments.select(*keys).schema]
-    schema = T.StructType([*[T.StructField(k, T.StringType()) for k in names], T.StructField("centre", T.ArrayType(T.DoubleType())), T.StructField("inverse", T.ArrayType(T.DoubleType()))])
+def covariance(row, p: int) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, covariance) from a row of ``_moments``."""
+    mean = np.array([getattr(row, f"s{i}") for i in range(p)]) / row.n
+    cov = np.zeros((p, p))
+    for i in range(p):
+        for j in range(i, p):
+            cov[i, j] = cov[j, i] = getattr(row, f"p{i}{j}") / row.n - mean[i] * mean[j]
+    return mean, cov
+
+
+def _correlation(cov: np.ndarray) -> np.ndarray:
+    """Correlations, shrunk a little so that they can be inverted; a column that never varies is uncorrelated."""
+    spread = np.sqrt(np.maximum(np.diag(cov), 1e-12))
+    out = 0.99 * cov / np.outer(spread, spread)
+    np.fill_diagonal(out, 1.0)
+    return out
+
+
+_ESTIMATE = T.StructType([T.StructField("g", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("centre", T.ArrayType(T.DoubleType())), T.StructField("inverse", T.ArrayType(T.DoubleType())), T.StructField("log_det", T.DoubleType())])
+
+
+def _estimate(g: str, start: int, centre: np.ndarray, scatter: np.ndarray) -> list:
+    return [g, start, centre.tolist(), np.linalg.inv(scatter).ravel().tolist(), float(np.linalg.slogdet(scatter)[1])]
+
+
+def _starts(scales: DataFrame) -> DataFrame:
+    """Three estimates a group, all around its medians: uncorrelated, by squashed values (y), by spatial signs (z)."""
+    p, floors = len(FEATURES), np.array(list(FEATURES.values()))
+
+    def run(frames):
+        for pdf in frames:
+            out = []
+            for row in pdf.itertuples(index=False):
+                centre, spread = (np.array([getattr(row, f"{c}{i}") for i in range(p)]) for c in "md")
+                _, both = covariance(row, 2 * p)
+                for start, part in enumerate((np.eye(p), _correlation(both[:p, :p]), _correlation(both[p:, p:]))):
+                    out.append(_estimate(row.g, start, centre, part * np.outer(spread, spread) + np.diag(floors**2)))
+            yield type(pdf)(out, columns=_ESTIMATE.fieldNames())
+
+    return scales.mapInPandas(run, _ESTIMATE)
+
+
+def _estimates(moments: DataFrame, widen: float) -> DataFrame:
+    """Centre, inverse scatter and its log determinant from moments by (g, start); the floors keep a statistic that never varies from deciding alone."""
+    p, floors = len(FEATURES), np.array(list(FEATURES.values()))
 
     def run(frames):
         for pdf in frames:
             out = []
             for row in pdf.itertuples(index=False):
-                n = row.n
-                mean = np.array([getattr(row, f"s{i}") for i in range(p)]) / n
-                cov = np.zeros((p, p))
-                for i in range(p):
-                    for j in range(i, p):
-                        cov[i, j] = cov[j, i] = getattr(row, f"p{i}{j}") / n - mean[i] * mean[j]
-                cov = cov * widen + np.diag(floors**2)
-                out.append([*[getattr(row, k) for k in names], mean.tolist(), np.linalg.inv(cov).ravel().tolist()])
-            yield type(pdf)(out, columns=[f.name for f in schema])
+                mean, cov = covariance(row, p)
+                out.append(_estimate(row.g, row.start, mean, cov * widen + np.diag(floors**2)))
+            yield type(pdf)(out, columns=_ESTIMATE.fieldNames())
 
-    return moments.mapInPandas(run, schema)
+    return moments.mapInPandas(run, _ESTIMATE)
 
 
-def _distance() -> Column:
-    """Squared Mahalanobis distance to the group's estimate."""
+def _distance(centre: Column, inverse: Column) -> Column:
+    """Squared Mahalanobis distance to an estimate."""
     p, names = len(FEATURES), list(FEATURES)
-    d = [F.col(f) - F.col("centre")[i] for i, f in enumerate(names)]
+    d = [F.col(f) - centre[i] for i, f in enumerate(names)]
     total = None
     for i in range(p):
         for j in range(p):
-            term = d[i] * d[j] * F.col("inverse")[i * p + j]
+            term = d[i] * d[j] * inverse[i * p + j]
             total = term if total is None else total + term
     return total
 
@@ -138,49 +195,73 @@ def _widening(support: float) -> float:
     return support / (support - q ** (p / 2) * math.exp(-q / 2) / (2 ** (p / 2) * math.gamma(p / 2 + 1)))
 
 
-def mcd_verdicts(df: DataFrame, steps: int = 4, support: float = 0.75, quantile: float = 0.99999, least_group: int = 50) -> DataFrame:
+def _concentrated(usable: DataFrame, estimates: DataFrame, sizes: DataFrame, support: float) -> DataFrame:
+    """Estimates from the share of each group that is closest to its present ones. Ties at the edge all take part."""
+    by_group = estimates.groupBy("g").agg(F.collect_list(F.struct("start", "centre", "inverse")).alias("e"))  # at most STARTS elements
+    near = lookup(usable, written(by_group.join(sizes, "g"), "estimates"), "g", "size").select("g", *FEATURES, F.explode("e").alias("e"))
+    measured = near.select("g", "e.start", *FEATURES, F.floor(F.log1p(_distance(F.col("e.centre"), F.col("e.inverse"))) * BINS_PER_LOG).alias("bin"))
+    bins = measured.groupBy("g", "start", "bin").agg(F.count("*").alias("c"))
+    up_to = Window.partitionBy("g", "start").orderBy("bin")
+    edge = bins.withColumns({"cum": F.sum("c").over(up_to), "all": F.sum("c").over(Window.partitionBy("g", "start"))}).where(F.col("cum") >= support * F.col("all")).groupBy("g", "start").agg(F.min("bin").alias("edge"))
+    edges = edge.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("start", "edge"))).alias("edges"))
+    chosen = lookup(measured, written(edges.join(sizes, "g"), "edges"), "g", "size").where(F.col("bin") <= F.col("edges")[F.col("start")])
+    return written(_estimates(_moments(chosen, ["g", "start"], list(FEATURES)), _widening(support)), "mcd")
+
+
+def mcd_estimates(usable: DataFrame, support: float = 0.75, most_steps: int = 12, least_fall: float = 1e-3) -> DataFrame:
+    """(g, centre, inverse, log_det): the estimate of each group of usable (g and the features) that has the least determinant."""
+    sizes = written(usable.groupBy("g").agg(F.count("*").alias("size")), "sizes")
+    middle = lambda columns, name: [F.percentile_approx(c, 0.5, 1000).alias(f"{name}{i}") for i, c in enumerate(columns)]
+    medians = written(usable.groupBy("g").agg(*middle(FEATURES, "m")).join(sizes, "g"), "medians")
+    off = lookup(usable, medians, "g", "size").select("g", *[F.abs(F.col(f) - F.col(f"m{i}")).alias(f"o{i}") for i, f in enumerate(FEATURES)])
+    widths = off.groupBy("g").agg(*middle([f"o{i}" for i in range(len(FEATURES))], "o"))
+    scale = [F.greatest(1.4826 * F.col(f"o{i}"), F.lit(floor)).alias(f"d{i}") for i, floor in enumerate(FEATURES.values())]
+    scales = written(medians.join(widths.select("g", *scale), "g"), "scales")
+    scaled = lookup(usable, scales, "g", "size").select("g", *[((F.col(f) - F.col(f"m{i}")) / F.col(f"d{i}")).alias(f"x{i}") for i, f in enumerate(FEATURES)])
+    length = F.sqrt(sum((F.col(f"x{i}") * F.col(f"x{i}") for i in range(1, len(FEATURES))), F.col("x0") * F.col("x0")))
+    named = [F.tanh(f"x{i}").alias(f"y{i}") for i in range(len(FEATURES))] + [(F.col(f"x{i}") / F.greatest("length", F.lit(1e-9))).alias(f"z{i}") for i in range(len(FEATURES))]
+    sums = _moments(scaled.withColumn("length", length).select("g", *named), ["g"], [f"{c}{i}" for c in "yz" for i in range(len(FEATURES))])
+    estimates = written(_starts(scales.join(sums, "g")), "mcd")
+    for _ in range(2):
+        estimates = _concentrated(usable, estimates, sizes, support)
+    best = F.min(F.struct("log_det", "start", "centre", "inverse")).alias("b")
+    estimates = written(estimates.groupBy("g").agg(best).select("g", "b.start", "b.centre", "b.inverse", "b.log_det"), "mcd")
+    for _ in range(most_steps):
+        following = _concentrated(usable, estimates, sizes, support)
+        fallen = following.join(estimates.select("g", F.col("log_det").alias("before")), "g").agg(F.max(F.col("before") - F.col("log_det"))).first()[0]
+        # A step that raises the regularised determinant (by the ties at its edge) is not taken.
+        both = estimates.unionByName(following)
+        estimates = written(both.groupBy("g").agg(best).select("g", "b.start", "b.centre", "b.inverse", "b.log_det"), "mcd")
+        if fallen is None or fallen < least_fall:
+            break
+    return estimates.select("g", "centre", "inverse", "log_det")
+
+
+def mcd_verdicts(df: DataFrame, support: float = 0.75, quantile: float = 0.99999, least_group: int = 50) -> DataFrame:
     """df (with counts) plus distance2 and outlier.
 
     Groups of fewer than ``least_group`` usable rows are judged by the estimate of all usable rows of their language, and those of
-    languages with fewer by that of the whole corpus. Null lang or source form their own group. Rows that fail the base rules take
-    no part in the estimates. Ties at the support's edge all take part.
+    languages with fewer by that of the whole corpus: five spreads and ten correlations cannot be told from a handful of rows.
+    Null lang or source form their own group. Rows that fail the base rules take no part in the estimates. Where no row is usable,
+    distance2 is null and outlier false. ``quantile`` is far out as the statistics have longer tails than a normal distribution.
     """
     df = written(df, "counts")  # the texts are read once
-    keys = ["g_lang", "g_source"]
-    base = _features(df).withColumns({"g_lang": F.coalesce(F.concat(F.lit("="), "lang"), F.lit("null")), "g_source": F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))})
-    sizes = base.where(~base_failed()).groupBy(*keys).agg(F.count("*").alias("size"))
-    base = base.join(sizes, keys, "left").join(sizes.groupBy("g_lang").agg(F.sum("size").alias("lang_size")), "g_lang", "left")
-    levels = [F.concat_ws("/", "g_lang", "g_source"), F.concat(F.col("g_lang"), F.lit("/")), F.lit("")]
-    base = base.withColumn("g", F.when(F.col("size") >= least_group, levels[0]).when(F.col("lang_size") >= least_group, levels[1]).otherwise(levels[2]))
-    base = written(base.withColumn("levels", F.array(*levels)).drop(*keys, "size", "lang_size"), "quality")
+    own = F.concat_ws("/", F.coalesce(F.concat(F.lit("="), "lang"), F.lit("null")), F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")))
+    base = _features(df).withColumns({"g_lang": F.concat(F.coalesce(F.concat(F.lit("="), "lang"), F.lit("null")), F.lit("/")), "g_own": own, "bad": base_failed()})
+    counted = written(base.groupBy("g_own", "g_lang").agg(F.count_if(~F.col("bad")).alias("own_size"), F.count("*").alias("rows")), "group-sizes")
+    languages = counted.groupBy("g_lang").agg(F.sum("own_size").alias("lang_size"))
+    judged_by = F.when(F.col("own_size") >= least_group, F.col("g_own")).when(F.col("lang_size") >= least_group, F.col("g_lang")).otherwise("")
+    groups = written(counted.join(languages, "g_lang").select("g_own", judged_by.alias("g"), "rows"), "groups")
+    base = lookup(base, groups, "g_own", "rows")
     # Every usable row takes part in each estimate that judges some row: of its group, its language and the corpus.
-    usable = base.where(~base_failed()).select(F.explode("levels").alias("g"), *FEATURES).join(base.select("g").distinct(), "g", "left_semi")
-    usable = written(usable, "levels")
-    base = base.drop("levels")
-    # Start from the half of the rows that is closest to the medians, in units of the median absolute deviations.
-    middle = lambda columns: [F.percentile_approx(c, 0.5, 1000).alias(f"m{i}") for i, c in enumerate(columns)]
-    off = [F.abs(F.col(f) - F.col(f"m{i}")).alias(f"o{i}") for i, f in enumerate(FEATURES)]
-    apart = usable.join(usable.groupBy("g").agg(*middle(FEATURES)), "g").select("g", *FEATURES, *off)
-    spread = apart.groupBy("g").agg(*middle([f"o{i}" for i in range(len(FEATURES))]))
-    scaled = [F.col(f"o{i}") / F.greatest(1.4826 * F.col(f"m{i}"), F.lit(floor)) for i, floor in enumerate(FEATURES.values())]
-    apart = apart.join(spread, "g").select("g", *FEATURES, sum((x * x for x in scaled[1:]), scaled[0] * scaled[0]).alias("apart"))
-    chosen = apart.join(apart.groupBy("g").agg(F.percentile_approx("apart", 0.5, 1000).alias("half")), "g").where("apart <= half")
-    estimates = _materialised(_estimates(_moments(chosen, ["g"]), ["g"], _widening(0.5)))
-    p, widen = len(FEATURES), _widening(support)
-    for _ in range(steps):
-        measured = usable.join(estimates, "g").select("g", *FEATURES, _distance().alias("d2"))
-        measured = measured.withColumn("bin", F.floor(F.log1p("d2") * BINS_PER_LOG))
-        bins = measured.groupBy("g", "bin").agg(F.count("*").alias("c"))
-        up_to = Window.partitionBy("g").orderBy("bin")
-        edge = bins.withColumns({"cum": F.sum("c").over(up_to), "all": F.sum("c").over(Window.partitionBy("g"))}).where(F.col("cum") >= support * F.col("all")).groupBy("g").agg(F.min("bin").alias("edge"))
-        estimates = _materialised(_estimates(_moments(measured.join(edge, "g").where(F.col("bin") <= F.col("edge")), ["g"]), ["g"], widen))
-    cut = _chi2_quantile(p, quantile)
-    measured = base.join(estimates, "g", "left").withColumn("distance2", _distance())
-    return measured.withColumn("outlier", F.coalesce(F.col("distance2") > cut, F.lit(False))).drop("g", "centre", "inverse", *FEATURES)
-
-
-def _materialised(estimates: DataFrame) -> DataFrame:
-    return written(estimates.coalesce(1), "mcd")
+    base = written(base.select(*df.columns, *FEATURES, "g", "g_lang", "g_own", "bad"), "quality")
+    wanted = written(groups.groupBy("g").agg(F.sum("rows").alias("rows")).withColumn("wanted", F.lit(True)), "wanted")
+    spread = base.where("not bad").select(F.explode(F.array_distinct(F.array("g_own", "g_lang", F.lit("")))).alias("g"), *FEATURES)
+    usable = written(lookup(spread, wanted, "g", "rows").where("wanted").drop("wanted"), "levels")
+    estimates = written(wanted.select("g", "rows").join(mcd_estimates(usable, support), "g"), "estimates")
+    measured = lookup(base, estimates, "g", "rows").withColumn("distance2", _distance(F.col("centre"), F.col("inverse")))
+    outlier = F.coalesce(F.col("distance2") > _chi2_quantile(len(FEATURES), quantile), F.lit(False))
+    return measured.select(*df.columns, "distance2", outlier.alias("outlier"))
 
 
 def quality_rules(documents: DataFrame, **settings) -> DataFrame:
