@@ -271,13 +271,6 @@ def test_language_held_out_accuracy_and_und(spark):
     assert langid.language_report(docs.limit(0)).count() == 0
 
 
-def test_subwords_do_not_depend_on_pieces(monkeypatch):
-    text = prose(random.Random(11), 300)
-    whole = set(np.concatenate(list(langid.subwords(text))).tolist())
-    monkeypatch.setattr(langid, "_CHUNK", 64)
-    assert whole <= set(np.concatenate(list(langid.subwords(text))).tolist())
-
-
 def brute_quality(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0d]+", text)
