@@ -21,8 +21,10 @@ from ragloom.llm.common import written
 END_ID, WINDOW = 2, 4096
 #: Pieces that one packing group holds on average: groups grow in number, not in size.
 GROUP_PIECES = 20000
-#: Chunks between white space whose ids a task remembers; the memory starts afresh beyond it.
-MEMORY = 600_000
+#: Bytes of chunks between white space, and of their ids, that a task remembers; the memory starts afresh beyond them.
+MEMORY_BYTES = 96 << 20
+#: Longer chunks are not remembered beyond their own text. A remembered chunk takes so many bytes besides.
+LONG_CHUNK, _ENTRY = 256, 160
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -43,29 +45,38 @@ def make_encoder(path: str) -> Callable[[str], np.ndarray]:
 
         _memories[path] = Tokenizer.from_file(path), {}
     tokenizer, memory = _memories[path]
+    held = sum(map(len, memory)) + sum(map(len, memory.values())) + _ENTRY * len(memory)
     tails = {t: np.array(tokenizer.encode(t.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes() for t in (b".", b",")}
 
-    def learn(chunks: list[bytes]) -> None:
+    def learn(chunks: list[bytes], into: dict[bytes, bytes]) -> None:
         words = {c[:-1] if c[-1:] in tails and c[-2:-1].isalnum() else c for c in chunks}
-        words = [w for w in words if w not in memory]
+        words = [w for w in words if w not in into]
         for at in range(0, len(words), 4096):
             part = words[at : at + 4096]
             for word, e in zip(part, tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                memory[word] = np.array(e.ids, dtype="<u4").tobytes()
+                into[word] = np.array(e.ids, dtype="<u4").tobytes()
         for c in chunks:
-            if c not in memory:
-                memory[c] = memory[c[:-1]] + tails[c[-1:]]
+            if c not in into:
+                into[c] = into[c[:-1]] + tails[c[-1:]]
 
     def encode(text: str) -> np.ndarray:
+        nonlocal held
         raw = text.encode()
         chunks = (raw if b"<|" in raw else raw.lower()).split()
         missing = {c for c in chunks if c not in memory}
+        long: dict[bytes, bytes] = {}
         if missing:
-            if len(memory) + len(missing) > MEMORY:
+            learn([c for c in missing if len(c) > LONG_CHUNK], long)
+            new = [c for c in missing if len(c) <= LONG_CHUNK]
+            size = sum(map(len, new))
+            if held + 3 * size + 2 * _ENTRY * len(new) > MEMORY_BYTES:
                 memory.clear()
-                missing = set(chunks)
-            learn(list(missing))
-        return np.frombuffer(b"".join([memory[c] for c in chunks]), dtype="<u4")
+                held, new = 0, [c for c in set(chunks) if len(c) <= LONG_CHUNK]
+                size = sum(map(len, new))
+            learn(new, memory)
+            held += 3 * size + 2 * _ENTRY * len(new)
+        found = b"".join([long[c] if c in long else memory[c] for c in chunks]) if long else b"".join([memory[c] for c in chunks])
+        return np.frombuffer(found, dtype="<u4")
 
     return encode
 
@@ -147,8 +158,9 @@ def best_fit_decreasing(lengths: np.ndarray, window: int = WINDOW) -> tuple[np.n
 def pack(pieces: DataFrame, window: int = WINDOW, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """Pieces with sequence_id, offset and sequence_length (the ids in it), packed by groups.
 
-    The group is a hash of (doc_id, start) over a number of groups in proportion to the pieces, so equal rows, hot sources and long
-    documents spread evenly. sequence_id is group * 2^32 + number. Extra columns stay.
+    The group is a hash of the piece and its place in the table (which is written, so the place is the same whenever a task is
+    repeated), over a number of groups in proportion to the pieces: equal rows, rows without doc_id, hot sources and long documents
+    all spread evenly. sequence_id is group * 2^32 + number. Extra columns stay.
     """
     groups = max(1, -(-pieces.count() // group_pieces))
     names = [f.name for f in pieces.schema]
@@ -162,7 +174,7 @@ def pack(pieces: DataFrame, window: int = WINDOW, group_pieces: int = GROUP_PIEC
         out["sequence_id"], out["offset"], out["sequence_length"] = number + (frame["packing_group"].to_numpy() << 32), offset, filled[number]
         return out
 
-    dealt = pieces.withColumn("packing_group", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)).cast("long"))
+    dealt = pieces.withColumn("packing_group", F.pmod(F.xxhash64("doc_id", "start", F.monotonically_increasing_id()), F.lit(groups)).cast("long"))
     return dealt.groupBy("packing_group").applyInPandas(run, f"{fields}, sequence_id long, offset long, sequence_length long")
 
 
