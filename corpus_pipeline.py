@@ -23,14 +23,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near duplicates the smallest doc_id; a document without doc_id stays."""
-    judged = simhash.near_duplicates(docs)
-    kept = judged.where("doc_id = component_id").select("doc_id", F.lit(True).alias("__kept")).distinct()
-    return docs.join(kept, "doc_id", "left").where("__kept or doc_id is null").select(*docs.columns)
+    """Keeps one row of each group of near duplicates, that with the smallest doc_id; rows without doc_id are judged too."""
+    return simhash.deduplicated(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold benchmark items."""
+    """Drops the rows whose text holds a benchmark item."""
     return decontamination.decontaminated(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
 
 
