@@ -90,14 +90,19 @@ def train(texts: list[str], labels: list[str], epochs: int = 2, rate: float = 0.
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(texts))
     back = set(order[len(order) * 4 // 5 :].tolist()) if len(order) > 4 else set()
-    codes_of = lambda s: np.concatenate(list(subwords(s)))
-    rows = [[(codes_of(s), languages.index(labels[i])) for s in _stretches(texts[i], rng)] for i in range(len(texts))]
-    learn = [r for i, own in enumerate(rows) if i not in back for r in own if len(r[0])]
-    check = [r for i in back for r in rows[i] if len(r[0])] or learn
     seen = np.zeros(_CODES, bool)
-    for codes, _ in learn:
-        seen[codes] = True
-    learn = [(codes >> _SHIFT, y) for codes, y in learn]
+    # Buckets fit 16 bits, so that the sample's subwords take little of the driver's memory.
+    learn: list[tuple[np.ndarray, int]] = []
+    check: list[tuple[np.ndarray, int]] = []
+    for i, text in enumerate(texts):
+        for s in _stretches(text, rng):
+            for codes in subwords(s):
+                if not len(codes):
+                    continue
+                (check if i in back else learn).append(((codes >> _SHIFT).astype(np.uint16), languages.index(labels[i])))
+                if i not in back:
+                    seen[codes] = True
+    check = check or learn
     table = rng.normal(0, 0.1, (_BUCKETS, _DIM)).astype(np.float32)
     weights, bias = np.zeros((_DIM, len(languages)), np.float32), np.zeros(len(languages), np.float32)
     for epoch in range(epochs):
@@ -113,7 +118,7 @@ def train(texts: list[str], labels: list[str], epochs: int = 2, rate: float = 0.
             kinds, counts = np.unique(ids, return_counts=True)
             table[kinds] -= (step * 10 / len(ids)) * counts[:, None].astype(np.float32) * back_step
     logits = (table @ weights).astype(np.float32)
-    scores = np.array([logits[codes >> _SHIFT].mean(axis=0) + bias for codes, _ in check]).reshape(-1, len(languages))
+    scores = np.array([logits[ids].mean(axis=0) + bias for ids, _ in check]).reshape(-1, len(languages))
     truth = np.array([y for _, y in check], np.int64)
     losses = {t: -np.log(np.maximum(_softmax(scores / t)[np.arange(len(truth)), truth], 1e-12)).mean() for t in np.geomspace(0.05, 20, 49)} if len(truth) else {1.0: 0.0}
     model = LanguageModel(languages, logits, bias, float(min(losses, key=losses.get)), seen, 0.0)
