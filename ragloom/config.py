@@ -32,6 +32,8 @@ class Settings:
     embedding_retry_base_ms: int = 500
     embedding_retry_max_ms: int = 30_000
     embedding_max_attempts: int = 5
+    embedding_batch_tokens: int = 64_000
+    embedding_timeout_s: float = 60.0
     input_max_tokens: int = 8000
     include_heading_context: bool = True
     chunk_types: str = "child"

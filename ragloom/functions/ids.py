@@ -34,5 +34,11 @@ def point_id(embedding: Column) -> Column:
     return F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-"), variant, F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12))
 
 
+def collection_names(domain: Column, provider: Column, model: Column, dimensions: Column, version: Column) -> Column:
+    """``collection_name`` of each row."""
+    raw = F.concat(domain, F.lit("__"), provider, F.lit("_"), model, F.lit("_"), dimensions.cast("string"), F.lit("d_v"), version)
+    return F.regexp_replace(F.lower(raw), "[^a-z0-9_]", "_")
+
+
 def collection_name(domain: str, provider: str, model: str, dimensions: int, version: str) -> str:
     return re.sub(r"[^a-z0-9_]", "_", f"{domain}__{provider}_{model}_{dimensions}d_v{version}".lower())

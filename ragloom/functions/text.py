@@ -16,6 +16,15 @@ def utf16_length(text: Column) -> Column:
     return F.floor(F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
 
 
+def utf16_prefix(text: Column, units: Column | int) -> Column:
+    """The first UTF-16 code units of a text. A pair that the cut would part is left out."""
+    units = F.lit(units) if isinstance(units, int) else units
+    raw = F.encode(text, "UTF-16BE")
+    parted = F.hex(F.substring(raw, 2 * units - 1, F.lit(1))).between("D8", "DB")
+    cut = F.decode(F.substring(raw, F.lit(1), 2 * (units - parted.cast("int"))), "UTF-16BE")
+    return F.when(units <= 0, "").when(utf16_length(text) <= units, text).otherwise(cut)
+
+
 def trim(text: Column) -> Column:
     return F.regexp_replace(text, rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
 
@@ -81,13 +90,13 @@ def truncate_words(text: Column, most_tokens: int) -> Column:
 
     Gives a struct (text, truncated). A text without white space stays whole but counts as truncated.
     """
-    limit = 4 * most_tokens
-    head = F.regexp_replace(F.substring(text, 1, limit), rf"[{SPACE}][^{SPACE}]*\z", "")
-    after = F.regexp_instr(F.substring(text, limit + 1, 2**30), F.lit(rf"[{SPACE}]"))
+    first = utf16_prefix(text, 4 * most_tokens)
+    head = F.regexp_replace(first, rf"[{SPACE}][^{SPACE}]*\z", "")
+    after = F.regexp_instr(F.substring(text, F.length(first) + 1, F.lit(2**30)), F.lit(rf"[{SPACE}]"))
     rstrip = lambda c: F.regexp_replace(c, rf"[{SPACE}]+\z", "")
-    short = F.length(text) <= limit
-    found = F.length(head).between(1, limit - 1)
-    cut = F.when(short, text).when(found, rstrip(head)).when(after > 0, rstrip(F.substring(text, F.lit(1), F.lit(limit - 1) + after))).otherwise(text)
+    short = utf16_length(text) <= 4 * most_tokens
+    found = (F.length(head) > 0) & (F.length(head) < F.length(first))
+    cut = F.when(short, text).when(found, rstrip(head)).when(after > 0, rstrip(F.substring(text, F.lit(1), F.length(first) - 1 + after))).otherwise(text)
     return F.struct(cut.alias("text"), (~short).alias("truncated"))
 
 
@@ -110,7 +119,7 @@ def matches_glob(path: Column, pattern: str) -> Column:
 
 
 def is_safe_entry(name: Column) -> Column:
-    """False for absolute names, NUL bytes and names that climb out of the archive's root."""
+    """False for absolute names, NUL bytes and names that climb out of the archive's root. ``zipdocs.is_safe_name`` says the same of one name."""
     parts = F.split(F.replace(name, F.lit("\\"), F.lit("/")), "/")
     depth = F.aggregate(
         parts,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragloom.functions import generation
-from ragloom.functions.text import token_estimate, utf16_length
+from ragloom.functions.text import token_estimate, utf16_length, utf16_prefix
 
 NO_ANSWER = "The documentation holds too little on this question for a reliable answer."
 SYSTEM_PROMPT = (
@@ -19,19 +19,24 @@ SYSTEM_PROMPT = (
 FAKE_ANSWER = "Based on the documentation, here is the answer."
 
 
+def best_of_repeats(results: DataFrame) -> DataFrame:
+    """Each chunk of a query once: its best result, with the place of its first."""
+    chunk = Window.partitionBy("queryId", "chunkId")
+    best = results.withColumns({"place": F.min("position").over(chunk), "rn": F.row_number().over(chunk.orderBy(F.desc("score"), "position"))})
+    return best.where("rn = 1").drop("rn")
+
+
 def select_context(results: DataFrame, max_chunks: int = 5, max_chars: int = 12_000, min_score: float = 0.0) -> DataFrame:
     """(queryId, rank, sourceId, chunkId, text, ...) of the chunks that go into the prompt.
 
     Of repeated chunks the best score counts, at the place of the first; then come the least score, the best ``max_chunks`` in
-    order of score, and the character budget: the last chunk is cut to what is left. Column position gives the order of ties.
+    order of score, and the budget in UTF-16 units: the last chunk is cut to what is left. Column position gives the order of ties.
     """
-    chunk = Window.partitionBy("queryId", "chunkId")
-    best = results.withColumns({"place": F.min("position").over(chunk), "rn": F.row_number().over(chunk.orderBy(F.desc("score"), "position"))}).where("rn = 1")
-    ranked = best.where(F.col("score") >= min_score).withColumn("rank", F.row_number().over(Window.partitionBy("queryId").orderBy(F.desc("score"), "place"))).where(F.col("rank") <= max_chunks)
+    ranked = best_of_repeats(results).where(F.col("score") >= min_score).withColumn("rank", F.row_number().over(Window.partitionBy("queryId").orderBy(F.desc("score"), "place"))).where(F.col("rank") <= max_chunks)
     ranked = ranked.withColumn("full", F.coalesce("parentText", "text"))
     used = F.sum(utf16_length(F.col("full"))).over(Window.partitionBy("queryId").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1))
     left = ranked.withColumn("left", F.lit(max_chars) - F.coalesce(used, F.lit(0))).where("left > 0")
-    return left.withColumns({"text": F.substring("full", F.lit(1), F.col("left").cast("int")), "sourceId": F.concat(F.lit("S"), F.col("rank").cast("string"))}).drop("rn", "full", "left", "place", "position", "parentText")
+    return left.withColumns({"text": utf16_prefix(F.col("full"), F.col("left").cast("int")), "sourceId": F.concat(F.lit("S"), F.col("rank").cast("string"))}).drop("full", "left", "place", "position", "parentText")
 
 
 def rejections(questions: DataFrame, results: DataFrame, context: DataFrame) -> DataFrame:

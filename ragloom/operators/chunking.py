@@ -100,27 +100,41 @@ def ordered_pieces(sections: DataFrame, most: int = 500, least: int = 100, strat
     return both.withColumn("sequenceIndex", F.row_number().over(Window.partitionBy("documentId").orderBy("order")) - 1).drop("prefix", "leader", "order")
 
 
-def child_chunks(pieces: DataFrame, overlap: str = "heading-context", overlap_sentences: int = 1) -> DataFrame:
-    """Pieces with chunkId, contentHash, previous and next, and the overlap text in front."""
-    in_order = Window.partitionBy("documentId").orderBy("sequenceIndex")
-    df = pieces.withColumn("pathKey", text.path_key(F.col("headingPath")))
-    by_path = Window.partitionBy("documentId", "pathKey").orderBy("sequenceIndex").rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("occurrence", F.greatest(F.sum((F.col("localSequenceIndex") == 0).cast("int")).over(by_path) - 1, F.lit(0)))
-    df = df.withColumns({"chunkId": ids.chunk_id(F.col("documentId"), F.lit("child"), F.col("pathKey"), F.col("occurrence"), F.col("localSequenceIndex")), "contentHash": ids.content_hash(F.col("text"))})
+def linked(df: DataFrame, key: str, group: str, order: str) -> DataFrame:
+    """df with previousChunkId and nextChunkId: the neighbours' keys within the group, in order."""
+    w = Window.partitionBy(group).orderBy(order)
+    return df.withColumns({"previousChunkId": F.lag(key).over(w), "nextChunkId": F.lead(key).over(w)})
+
+
+def with_occurrence(df: DataFrame, begins: Column, group: str, path: str, order: str) -> DataFrame:
+    """df with occurrence: how many pieces of the same path have begun before, in order."""
+    w = Window.partitionBy(group, path).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn("occurrence", F.greatest(F.sum(begins.cast("int")).over(w) - 1, F.lit(0)).cast("int"))
+
+
+def overlapped(pieces: DataFrame, overlap: str, overlap_sentences: int = 1) -> Column:
+    """Text of each piece with what continues it from the piece before in front."""
     continued = F.col("wasSplit") & (F.col("localSequenceIndex") > 0)
     if overlap == "heading-context":
-        full = F.when(continued, F.concat(F.lit('_(continued from "'), text.breadcrumb(F.col("headingPath")), F.lit('")_\n\n'), "text")).otherwise(F.col("text"))
-    elif overlap == "sentence-overlap":
+        return F.when(continued, F.concat(F.lit('_(continued from "'), text.breadcrumb(F.col("headingPath")), F.lit('")_\n\n'), "text")).otherwise(F.col("text"))
+    if overlap == "sentence-overlap":
+        in_order = Window.partitionBy("documentId").orderBy("sequenceIndex")
         before, types = F.lag("text").over(in_order), F.lag("contentTypes").over(in_order)
         sentences = F.filter(F.split(before, r"(?<=[.!?])\s+"), lambda s: text.trim(s) != "")
         tail = F.array_join(F.slice(sentences, -F.least(F.lit(overlap_sentences), F.size(sentences)), F.lit(overlap_sentences)), " ")
         fits = continued & (F.element_at(types, -1) == "paragraph") & (F.get("contentTypes", F.lit(0)) == "paragraph") & (F.size(sentences) > 0)
-        full = F.when(fits, F.concat(tail, F.lit(_BLANK), "text")).otherwise(F.col("text"))
-    elif overlap == "none":
-        full = F.col("text")
-    else:
-        raise ValueError(f"unknown overlap strategy: {overlap}")
-    return df.withColumns({"chunkText": full, "previousChunkId": F.lag("chunkId").over(in_order), "nextChunkId": F.lead("chunkId").over(in_order)}).drop("text").withColumnRenamed("chunkText", "text").drop("occurrence", "pathKey")
+        return F.when(fits, F.concat(tail, F.lit(_BLANK), "text")).otherwise(F.col("text"))
+    if overlap == "none":
+        return F.col("text")
+    raise ValueError(f"unknown overlap strategy: {overlap}")
+
+
+def child_chunks(pieces: DataFrame, overlap: str = "heading-context", overlap_sentences: int = 1) -> DataFrame:
+    """Pieces with chunkId, contentHash, previous and next, and the overlap text in front."""
+    df = with_occurrence(pieces.withColumn("pathKey", text.path_key(F.col("headingPath"))), F.col("localSequenceIndex") == 0, "documentId", "pathKey", "sequenceIndex")
+    df = df.withColumns({"chunkId": ids.chunk_id(F.col("documentId"), F.lit("child"), F.col("pathKey"), F.col("occurrence"), F.col("localSequenceIndex")), "contentHash": ids.content_hash(F.col("text"))})
+    df = linked(df.withColumn("chunkText", overlapped(df, overlap, overlap_sentences)), "chunkId", "documentId", "sequenceIndex")
+    return df.drop("text").withColumnRenamed("chunkText", "text").drop("occurrence", "pathKey")
 
 
 def parent_chunks(sections: DataFrame, most: int = 500, strategy: str = "approx-token") -> DataFrame:
@@ -130,10 +144,9 @@ def parent_chunks(sections: DataFrame, most: int = 500, strategy: str = "approx-
     whole = spread.groupBy("documentId", F.col("top").alias("sectionIdx")).agg(F.sort_array(F.collect_list(F.struct("sectionIdx", "part", "types"))).alias("r"))
     df = own.select("documentId", "sectionIdx", "headingPath").join(whole, ["documentId", "sectionIdx"])
     df = df.withColumns({"text": F.array_join(F.transform("r", lambda x: x["part"]), _BLANK), "contentTypes": F.array_distinct(F.flatten(F.transform("r", lambda x: x["types"]))), "pathKey": text.path_key(F.col("headingPath"))})
-    occurrence = F.row_number().over(Window.partitionBy("documentId", "pathKey").orderBy("sectionIdx")) - 1
-    df = df.withColumn("occurrence", occurrence).withColumn("chunkId", ids.chunk_id(F.col("documentId"), F.lit("parent"), F.col("pathKey"), F.col("occurrence"), F.lit(0)))
+    df = with_occurrence(df, F.lit(True), "documentId", "pathKey", "sectionIdx").withColumn("chunkId", ids.chunk_id(F.col("documentId"), F.lit("parent"), F.col("pathKey"), F.col("occurrence"), F.lit(0)))
     size = length_of(F.col("text"), strategy)
-    return df.select("documentId", "sectionIdx", "headingPath", "chunkId", "text", "contentTypes", size.cast("long").alias("length"), (size > most).alias("exceedsMaxSize"), ids.content_hash(F.col("text")).alias("contentHash"))
+    return df.select("documentId", "sectionIdx", "headingPath", "occurrence", "chunkId", "text", "contentTypes", size.cast("long").alias("length"), (size > most).alias("exceedsMaxSize"), ids.content_hash(F.col("text")).alias("contentHash"))
 
 
 def chunks(sections: DataFrame, most: int = 500, least: int = 100, strategy: str = "approx-token", overlap: str = "heading-context", overlap_sentences: int = 1, include_parents: bool = True) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import concurrent.futures
 import random
 import time
 from collections.abc import Callable, Iterator
@@ -42,20 +43,26 @@ def with_embedding_ids(inputs: DataFrame, provider: str, model: str, version: st
 def run_status(candidates: DataFrame, existing: DataFrame, chunk_types: list[str], cap: int = 0, order: list[str] | None = None) -> DataFrame:
     """candidates with status: skippedByType, skippedEmpty, alreadyEmbedded, skippedByCap or pending, tested in this order.
 
-    The cap keeps the first pending rows in the total order given (default documentId, sequenceIndex, chunkId). Their ranks come
-    from a range-partitioned sort, not from one task.
+    The cap keeps the first ``cap`` pending rows in the order given (default documentId, sequenceIndex, chunkId), then of
+    embeddingId; of rows that are equal in all these, as many as fit. The first rows are found by a top-k: each task sends at most
+    ``cap`` keys, never rows, to be merged.
     """
-    order = order or ["documentId", "sequenceIndex", "chunkId"]
+    order = [*(order or ["documentId", "sequenceIndex", "chunkId"]), "embeddingId"]
     known = existing.select("embeddingId").distinct().withColumn("known", F.lit(True))
     df = candidates.join(known, "embeddingId", "left")
     status = F.when(~F.col("chunkType").isin(chunk_types), "skippedByType").when(F.col("input").isNull(), "skippedEmpty").when(F.col("known"), "alreadyEmbedded").otherwise("pending")
     df = df.withColumn("status", status).drop("known")
     if cap <= 0:
         return df
-    first = df.where("status = 'pending'").select(*order).orderBy(*order).limit(cap).withColumn("within", F.lit(True)).distinct()
+    first = df.where("status = 'pending'").select(*order).orderBy(*order).limit(cap).groupBy(*order).agg(F.count("*").alias("within"))
     same = [F.col(f"d.{c}").eqNullSafe(F.col(f"f.{c}")) for c in order]
-    joined = df.alias("d").join(first.alias("f"), same, "left")
-    return joined.select(*[F.col(f"d.{c}") for c in df.columns if c != "status"], F.when((F.col("d.status") == "pending") & F.col("f.within").isNull(), "skippedByCap").otherwise(F.col("d.status")).alias("status"))
+    joined = df.alias("d").join(first.alias("f"), same, "left").select("d.*", "f.within")
+    # Rows that are equal in the whole order are counted; the others need no place.
+    place = F.row_number().over(Window.partitionBy(*order, "status").orderBy(F.lit(1)))
+    inside = joined.where("within is not null and status = 'pending'").withColumn("place", place)
+    kept = F.when(F.col("place") > F.col("within"), "skippedByCap").otherwise(F.col("status"))
+    outside = joined.where("not (within is not null and status = 'pending')").withColumn("status", F.when(F.col("status") == "pending", "skippedByCap").otherwise(F.col("status")))
+    return inside.withColumn("status", kept).select(*df.columns).unionByName(outside.select(*df.columns))
 
 
 def accounting(statuses: DataFrame) -> DataFrame:
@@ -65,7 +72,10 @@ def accounting(statuses: DataFrame) -> DataFrame:
 
 
 def batch_numbers(pending: DataFrame, key: list[str], order: list[str], most_count: int, most_tokens: int) -> DataFrame:
-    """pending with batch: greedy by count and tokens within each key (such as a partition number), in order."""
+    """pending with batch: greedy by count and tokens within each key, in order.
+
+    A key's rows are folded in one row, so keys must have a bounded number of rows: a range of documents, not a language.
+    """
     row = F.struct(*order, F.struct(*pending.columns).alias("r"))
     grouped = pending.groupBy(*key).agg(F.sort_array(F.collect_list(row)).alias("rows"))
     bins = folds.greedy_bins(F.transform("rows", lambda x: x["r"]["tokenCount"]), most_tokens, 0, most_count)
@@ -85,17 +95,40 @@ def with_retry(call: Callable, attempts: int, base_ms: float, most_ms: float, sl
             sleep((own if error.retry_after_ms is None else min(error.retry_after_ms, most_ms)) / 1000)
 
 
-def embed_with(pending: DataFrame, provider: Callable[[list[str]], list[list[float]]], dimensions: int, batch_size: int = 100, batch_tokens: int = 64_000, attempts: int = 5, base_ms: float = 500, most_ms: float = 30_000) -> DataFrame:
+def within(seconds: float, call: Callable):
+    """The call's result; a transient error if it takes longer. The call itself is left to end by itself."""
+    pool = concurrent.futures.ThreadPoolExecutor(1)
+    try:
+        return pool.submit(call).result(seconds)
+    except concurrent.futures.TimeoutError:
+        raise TransientProviderError(f"the request timed out after {seconds} s") from None
+    finally:
+        pool.shutdown(wait=False, cancel_futures=True)
+
+
+def in_order(answer: list) -> list:
+    """Vectors in the order of their index where the answer is made of (index, vector) pairs; indexes must be 0, 1, ... once each."""
+    if not answer or not all(isinstance(x, tuple) and len(x) == 2 for x in answer):
+        return answer
+    by_index = dict(answer)
+    if sorted(by_index) != list(range(len(answer))):
+        raise ValueError("the provider's indexes are not 0, 1, ... once each")
+    return [by_index[i] for i in range(len(answer))]
+
+
+def embed_with(pending: DataFrame, provider: Callable[[list[str]], list[list[float]]], dimensions: int, batch_size: int = 100, batch_tokens: int = 64_000, attempts: int = 5, base_ms: float = 500, most_ms: float = 30_000, timeout_s: float = 60) -> DataFrame:
     """pending with vector and error from a provider function that embeds a list of texts.
 
-    Batches are greedy within a task's rows. A batch that still fails after its retries fails all its rows; the run goes on.
+    The provider gives vectors in order, or (index, vector) pairs in any order. A call that takes longer than ``timeout_s`` counts as
+    a transient error. Batches are greedy within a task's rows. A batch that still fails after its retries fails all its rows; the
+    run goes on.
     """
     schema = T.StructType([*pending.schema.fields, T.StructField("vector", T.ArrayType(T.DoubleType())), T.StructField("error", T.StringType())])
 
     def embedded(rows: pd.DataFrame) -> pd.DataFrame:
         out = rows.copy()
         try:
-            found = with_retry(lambda: provider(rows["input"].tolist()), attempts, base_ms, most_ms)
+            found = in_order(with_retry(lambda: within(timeout_s, lambda: provider(rows["input"].tolist())), attempts, base_ms, most_ms))
             if len(found) != len(rows) or any(len(v) != dimensions or not all(map(_finite, v)) for v in found):
                 raise ValueError("the provider's answer has the wrong count, size or values")
             out["vector"], out["error"] = [list(map(float, v)) for v in found], None
@@ -127,12 +160,23 @@ def fake_embedded(pending: DataFrame, dimensions: int) -> DataFrame:
     return pending.withColumns({"vector": vectors.fake_embedding(F.col("input"), dimensions), "error": F.lit(None).cast("string")})
 
 
+def unembedded(candidates: DataFrame, existing: DataFrame) -> DataFrame:
+    """candidates whose embeddingId is not among the existing ones."""
+    return candidates.join(existing.select("embeddingId"), "embeddingId", "left_anti")
+
+
+def failure_counts(statuses: DataFrame, failed: Column, threshold: float = 0.5, by: tuple[str, ...] = ()) -> DataFrame:
+    """failed, n and aborts (the share of failures is over the threshold), in all or by columns."""
+    n, bad = F.count("*"), F.count_if(failed)
+    return statuses.groupBy(*by).agg(bad.alias("failed"), n.alias("n"), (bad > threshold * n).alias("aborts"))
+
+
 def check_failures(statuses: DataFrame, failed: Column, threshold: float = 0.5) -> tuple[int, int]:
     """(failed, all) rows; raises where the share of failures is over the threshold."""
-    row = statuses.agg(F.count_if(failed).alias("f"), F.count("*").alias("n")).first()
-    if row["n"] and row["f"] / row["n"] > threshold:
-        raise FailureRatioExceeded(f"{row['f']} of {row['n']} rows failed")
-    return row["f"], row["n"]
+    row = failure_counts(statuses, failed, threshold).first()
+    if row["aborts"]:
+        raise FailureRatioExceeded(f"{row['failed']} of {row['n']} rows failed")
+    return row["failed"], row["n"]
 
 
 def fixed_batches(df: DataFrame, size: int, key: str, order: str) -> DataFrame:

@@ -23,7 +23,9 @@ def index_status(records: DataFrame, chunks: DataFrame, reason: Column) -> DataF
     A record without a chunk counts as a mismatch; a missing parent leaves parentText null. Repeated chunk ids count once.
     """
     own = chunks.dropDuplicates(["chunkId"])
-    joined = records.withColumn("reason", reason).join(own.select("chunkId", "parentChunkId", "chunkType", "headingPath", "text", F.lit(True).alias("found")), "chunkId", "left")
+    titles = [F.col(c) if c in chunks.columns else F.lit(None).cast("string").alias(c) for c in ("documentTitle", "sourcePath")]
+    records = records.drop("documentTitle", "sourcePath")  # the chunk's are kept
+    joined = records.withColumn("reason", reason).join(own.select("chunkId", "parentChunkId", "chunkType", "headingPath", "text", *titles, F.lit(True).alias("found")), "chunkId", "left")
     parents = own.select(F.col("chunkId").alias("parentChunkId"), F.col("text").alias("parentText"))
     joined = joined.join(parents, "parentChunkId", "left")
     status = F.when(F.col("reason") == "fakeProvider", "skippedFakeProvider").when(F.col("reason").isNotNull() | F.col("found").isNull(), "skippedByProvenanceMismatch").otherwise("indexed")
@@ -37,5 +39,10 @@ def accounting(statuses: DataFrame, batch_size: int = 200) -> DataFrame:
 
 
 def points(indexed: DataFrame, domain: str) -> DataFrame:
-    """Rows of a collection: id, vector, norm and the payload's columns. The parent's text is kept with the point."""
-    return indexed.select(ids.point_id(F.col("embeddingId")).alias("id"), "vector", norm(F.col("vector")).alias("norm"), "chunkId", "documentId", "parentChunkId", "chunkType", "contentHash", text.breadcrumb(F.col("headingPath")).alias("headingPath"), "text", "parentText", F.lit(domain).alias("domain"), "embeddingId")
+    """Rows of a collection: id, vector, norm and the payload's columns. The parent's text is kept with the point.
+
+    Columns that the input lacks (documentTitle, sourcePath, the model's provenance) are null.
+    """
+    kinds = {"documentTitle": "string", "sourcePath": "string", "provider": "string", "model": "string", "modelVersion": "string", "dimensions": "int"}
+    more = [F.col(c).cast(k).alias(c) if c in indexed.columns else F.lit(None).cast(k).alias(c) for c, k in kinds.items()]
+    return indexed.select(ids.point_id(F.col("embeddingId")).alias("id"), "vector", norm(F.col("vector")).alias("norm"), "chunkId", "documentId", "parentChunkId", "chunkType", "contentHash", text.breadcrumb(F.col("headingPath")).alias("headingPath"), "text", "parentText", F.lit(domain).alias("domain"), "embeddingId", *more)

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ragloom.functions import text as texts
 from ragloom.functions.vectors import cosine, norm
 
 #: Queries that are scored together; more queries are taken block by block.
-QUERY_BLOCK = 256
+QUERY_BLOCK = 4096
 #: Payload columns that a search may filter by.
 FILTERS = ("domain", "documentId", "chunkType", "sourcePath", "label")
 
@@ -67,32 +72,63 @@ def top_k(points: DataFrame, query: list[float], k: int, where: Column | None =
 def batch_top_k(points: DataFrame, queries: DataFrame, k: int, threshold: float | None = None, key: str = "id") -> DataFrame:
     """(queryId, key, score, rank) of the k best points of every query (queryId, queryVector).
 
-    The queries go to the points in blocks of a fixed number of rows, as one array column, so no join of all pairs is planned:
-    each point row scores a block, keeps what passes, and ranks are cut to k before and after the shuffle.
+    Queries go to the points in blocks of at most QUERY_BLOCK. Each task multiplies its vectors with the block's matrix and keeps k
+    points a query, so only these are shuffled and ranked. Scores are rounded to 12 places, so that equal vectors tie (for the
+    smaller key) however they are batched. Vectors of another size than the query's are left out; a zero vector scores 0.
     """
-    numbered = queries.select("queryId", "queryVector").orderBy("queryId")
-    rows = numbered.limit(QUERY_BLOCK + 1).collect()
-    if len(rows) > QUERY_BLOCK:
-        blocks = -(-queries.count() // (QUERY_BLOCK // 2))
-        block_of = F.pmod(F.xxhash64("queryId"), F.lit(blocks))
-        out = None
-        for b in range(blocks):
-            part = _block_top_k(points, queries.where(block_of == b).select("queryId", "queryVector").collect(), k, threshold, key)
-            out = part if out is None else out.unionByName(part)
-        return out
-    return _block_top_k(points, rows, k, threshold, key)
-
-
-def _block_top_k(points: DataFrame, rows: list, k: int, threshold: float | None, key: str) -> DataFrame:
-    spark = points.sparkSession
-    held = spark.createDataFrame([(r["queryId"], [float(x) for x in r["queryVector"]], sum(float(x) ** 2 for x in r["queryVector"]) ** 0.5) for r in rows], "queryId long, queryVector array<double>, queryNorm double")
-    own = points if "norm" in points.columns else points.withColumn("norm", norm(F.col("vector")))
-    pairs = own.select(key, "vector", "norm").crossJoin(F.broadcast(held))  # a block of at most QUERY_BLOCK rows
-    scored = pairs.select("queryId", key, cosine(F.col("vector"), F.col("queryVector"), F.col("norm"), F.col("queryNorm")).alias("score"))
-    if threshold is not None:
-        scored = scored.where(F.col("score") >= threshold)
+    schema = T.StructType([queries.schema["queryId"], points.schema[key], T.StructField("score", T.DoubleType())])
+    out = points.sparkSession.createDataFrame([], schema)
+    count = queries.count()
+    blocks = max(1, -(-count // (QUERY_BLOCK // 2))) if count > QUERY_BLOCK else 1
+    block_of = F.pmod(F.xxhash64("queryId"), F.lit(blocks))
+    for b in range(blocks):
+        rows = (queries if blocks == 1 else queries.where(block_of == b)).select("queryId", "queryVector").collect()
+        for size in sorted({len(r["queryVector"]) for r in rows}):
+            block = [r for r in rows if len(r["queryVector"]) == size]
+            out = out.unionByName(_nearest(points, key, [r["queryId"] for r in block], np.array([r["queryVector"] for r in block], np.float64), k, threshold, schema))
     rank = F.row_number().over(Window.partitionBy("queryId").orderBy(F.desc("score"), key))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    return out.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _nearest(points: DataFrame, key: str, names: list, wanted: np.ndarray, k: int, threshold: float | None, schema: T.StructType) -> DataFrame:
+    """The k nearest points of each query within each task."""
+    size = wanted.shape[1]
+    length = np.sqrt((wanted * wanted).sum(axis=1, keepdims=True))
+    given = points.sparkSession.sparkContext.broadcast(np.divide(wanted, length, out=np.zeros_like(wanted), where=length > 0))  # at most QUERY_BLOCK rows
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        floor, held, size = np.full(len(names), -np.inf if threshold is None else threshold), [], 0
+
+        def best() -> pd.DataFrame:
+            found = pd.concat(held).sort_values(["q", "score", key], ascending=[True, False, True], kind="stable").groupby("q").head(k)
+            full = found.groupby("q")["score"].agg(["size", "min"])
+            full = full[full["size"] == k]
+            floor[full.index] = np.maximum(floor[full.index], full["min"])
+            return found
+
+        for frame in frames:
+            if not len(frame):
+                continue
+            x, keys = np.stack(frame["vector"].to_numpy()).astype(np.float64), frame[key].to_numpy()
+            norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+            x = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+            for at in range(0, len(names), 256):
+                scores = np.round(x @ given.value[at : at + 256].T, 12)
+                least = floor[at : at + 256]
+                if len(x) > k:
+                    least = np.maximum(least, np.partition(scores, len(x) - k, axis=0)[len(x) - k])
+                row, q = np.nonzero(scores >= least)
+                held.append(pd.DataFrame({"q": q + at, key: keys[row], "score": scores[row, q]}))
+                size += len(row)
+            if size > 8 * k * len(names):
+                held = [best()]
+                size = len(held[0])
+        if size:
+            found = best()
+            yield found.assign(queryId=[names[q] for q in found["q"]])[schema.fieldNames()]
+
+    usable = points.where((F.size("vector") == size) & F.col(key).isNotNull()).select(key, F.col("vector").cast("array<double>").alias("vector"))
+    return usable.where(~F.exists("vector", lambda v: v.isNull())).mapInPandas(run, schema)
 
 
 def results(matches: DataFrame, expand_parents: bool = True) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ragloom.functions import folds, generation, ids, text, vectors
 from ragloom.operators import answering, chunking, embedding, indexing, markdown, retrieval
-from ragloom.sources import store, zipdocs
+from ragloom.sources import records, store, zipdocs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -87,9 +87,9 @@ def language_fallback(load):
     return load("documents").select("doc_id", text.resolve_language(F.when(k == 0, "").when(k == 1, F.col("lang")), F.when(k.isin(0, 2), "xx")).alias("language"))
 
 
-@query("select doc_id, regexp_replace(regexp_replace(lower(substr(text, 1, 60)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') as anchor from documents")
+@query("select doc_id, regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') as anchor from documents")
 def slugify(load):
-    return load("documents").select("doc_id", text.slug(F.substring("text", 1, 60)).alias("anchor"))
+    return load("documents").select("doc_id", text.slug(F.col("text")).alias("anchor"))
 
 
 @query("select path from (select concat(source, '/', doc_id % 10, '/', doc_id, '.md') as path from documents) where regexp_matches(path, '^src1[^/]*/.*[^/]5[.]md$')")
@@ -130,7 +130,7 @@ def point_id(load):
 
 @query("select lang, source, regexp_replace(lower(concat(source, '.', lang, '__Fake-X_fake/model 1_8d_v1.0')), '[^a-z0-9_]', '_', 'g') as collection, count(*) as n from documents group by lang, source")
 def collection_name(load):
-    name = F.regexp_replace(F.lower(F.concat("source", F.lit("."), "lang", F.lit("__Fake-X_fake/model 1_8d_v1.0"))), "[^a-z0-9_]", "_")
+    name = ids.collection_names(F.concat("source", F.lit("."), "lang"), F.lit("Fake-X"), F.lit("fake/model 1"), F.lit(8), F.lit("1.0"))
     return load("documents").groupBy("lang", "source").agg(F.count("*").alias("n")).withColumn("collection", name)
 
 
@@ -178,17 +178,14 @@ def sibling_merge(load):
     sha256(concat_ws('::', d.documentId, 'parent', concat('doc-', p.doc_id, '/part-', p.k % 2), cast(row_number() over (partition by p.doc_id, p.k % 2 order by p.k) - 1 as varchar), '0')) as chunkId from parts p join d using (doc_id)""")
 def occurrence_index(load):
     md = _markdown(load("documents"))
-    found = markdown.sections(md).where("level = 2").withColumn("pathKey", text.path_key(F.col("headingPath")))
-    found = found.withColumn("occurrence", F.row_number().over(Window.partitionBy("documentId", "pathKey").orderBy("sectionIdx")) - 1)
-    chunk = ids.chunk_id(F.col("documentId"), F.lit("parent"), F.col("pathKey"), F.col("occurrence"), F.lit(0))
-    return found.join(md.select("documentId", "doc_id"), "documentId").select("doc_id", "occurrence", chunk.alias("chunkId"))
+    found = chunking.parent_chunks(markdown.sections(md)).where(F.size("headingPath") == 2)
+    return found.join(md.select("documentId", "doc_id"), "documentId").select("doc_id", "occurrence", "chunkId")
 
 
 @query(f"with {_LINES}, c as (select doc_id, ln, sha256(concat_ws('::', doc_id, ln)) as id from l) select doc_id, ln, id, lag(id) over w as prev, lead(id) over w as next from c window w as (partition by doc_id order by ln)")
 def prev_next_links(load):
-    w = Window.partitionBy("doc_id").orderBy("ln")
     own = _lines(load("documents")).select("doc_id", "ln", F.sha2(F.concat_ws("::", F.col("doc_id").cast("string"), F.col("ln").cast("string")), 256).alias("id"))
-    return own.withColumns({"prev": F.lag("id").over(w), "next": F.lead("id").over(w)})
+    return chunking.linked(own, "id", "doc_id", "ln").withColumnsRenamed({"previousChunkId": "prev", "nextChunkId": "next"})
 
 
 @query(f"""with {_PARTS}, w as (select doc_id, concat('# Doc ', doc_id, chr(10), chr(10), string_agg(part, concat(chr(10), chr(10)) order by k)) as whole from parts group by doc_id)
@@ -202,14 +199,15 @@ def parent_text(load):
     select doc_id, bin, sha256(concat(case when bin > 0 then concat('_(continued from "Doc ', doc_id, '")_', chr(10), chr(10)) else '' end, string_agg(line, concat(chr(10), chr(10)) order by ln))) as h from r group by doc_id, bin""")
 def overlap_heading_context(load):
     packed = _packed_lines(load("documents"))
-    lead = F.when(F.col("bin") > 0, F.concat(F.lit('_(continued from "Doc '), F.col("doc_id").cast("string"), F.lit('")_\n\n'))).otherwise("")
-    return packed.select("doc_id", "bin", F.sha2(F.concat(lead, "text"), 256).alias("h"))
+    return packed.select("doc_id", "bin", F.sha2(chunking.overlapped(packed, "heading-context"), 256).alias("h"))
 
 
 def _packed_lines(documents: DataFrame) -> DataFrame:
     own = documents.select("doc_id", F.split("text", "\n").alias("lines")).withColumn("bins", folds.greedy_bins(F.transform("lines", lambda x: F.ceil(F.length(x) / 4).cast("int")), 200))
     numbers = own.select("doc_id", "lines", "bins", F.explode(F.array_distinct("bins")).alias("bin"))
-    return numbers.select("doc_id", "bin", F.array_join(F.filter("lines", lambda _, i: F.get("bins", i) == F.col("bin")), "\n\n").alias("text"))
+    packed = numbers.select("doc_id", "bin", F.array_join(F.filter("lines", lambda _, i: F.get("bins", i) == F.col("bin")), "\n\n").alias("text"))
+    title = F.struct(F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("text"))
+    return packed.withColumns({"documentId": F.col("doc_id"), "sequenceIndex": F.col("bin"), "localSequenceIndex": F.col("bin"), "wasSplit": F.lit(True), "headingPath": F.array(title), "contentTypes": F.array(F.lit("paragraph"))})
 
 
 @query(f"""with recursive {_LINES}, r as (select doc_id, ln, line, len, 0 as bin, len as cur from l where ln = 0
@@ -218,9 +216,8 @@ def _packed_lines(documents: DataFrame) -> DataFrame:
     select doc_id, bin, regexp_replace(b, '^(?s:.*)[.!?]\\s+', '') as tail from q where b is not null""")
 def overlap_sentence(load):
     packed = _packed_lines(load("documents"))
-    before = F.lag("text").over(Window.partitionBy("doc_id").orderBy("bin"))
-    sentences = F.filter(F.split(F.col("before"), r"(?<=[.!?])\s+"), lambda s: text.trim(s) != "")
-    return packed.withColumn("before", before).where("before is not null").select("doc_id", "bin", F.element_at(sentences, -1).alias("tail"))
+    full = packed.withColumn("full", chunking.overlapped(packed, "sentence-overlap", 1)).where("bin > 0")
+    return full.select("doc_id", "bin", F.expr("substring(full, 1, length(full) - length(text) - 2)").alias("tail"))
 
 
 @query(f"with {_PARTS} select p.doc_id, count(*) + 1 as sections, cast(min(d.n) as bigint) as lines from parts p join (select doc_id, len(string_split(text, chr(10))) as n from documents) d using (doc_id) group by p.doc_id")
@@ -241,7 +238,7 @@ def chunk_stats(load):
     return chunking.chunk_statistics(found, chunking.ordered_pieces(found))
 
 
-@query()
+@query(f"with {_PARTS} select any_value(d.documentId) as \"documentId\", count(*) + 1 as headings, concat('Doc ', p.doc_id) as \"firstH1\", 0 as codes, 0 as links from parts p join d using (doc_id) group by p.doc_id")
 def markdown_outline(load):
     return markdown.outlines(_markdown(load("documents"))).select("documentId", F.size("headings").alias("headings"), "firstH1", F.size("codeBlocks").alias("codes"), F.size("links").alias("links"))
 
@@ -269,7 +266,7 @@ def type_filter(load):
 @query("select doc_id from documents where doc_id % 5 <> 0")
 def resume_anti_join(load):
     docs = load("documents")
-    return docs.withColumn("embeddingId", _embedding_id()).join(_existing(docs), "embeddingId", "left_anti").select("doc_id")
+    return embedding.unembedded(docs.withColumn("embeddingId", _embedding_id()), _existing(docs)).select("doc_id")
 
 
 @query(f"with {_STATUS}, p as (select doc_id, row_number() over (order by doc_id) as n from s where st = 'pending') select s.doc_id, case when st = 'pending' and p.n > 100 then 'skippedByCap' else st end as status from s left join p using (doc_id)")
@@ -284,13 +281,14 @@ def embed_accounting(load):
     return embedding.accounting(embedding.run_status(_candidates(docs), _existing(docs), ["child"], order=["doc_id"]))
 
 
-@query("""with recursive t as (select doc_id, lang, cast(ceil(length(text) / 4.0) as integer) as tok, row_number() over (partition by lang order by doc_id) as n from documents),
-    r as (select doc_id, lang, n, tok, 0 as batch, 1 as c, tok as cur from t where n = 1 union all
-    select t.doc_id, t.lang, t.n, t.tok, case when r.c >= 20 or r.cur + t.tok > 12000 then r.batch + 1 else r.batch end, case when r.c >= 20 or r.cur + t.tok > 12000 then 1 else r.c + 1 end, case when r.c >= 20 or r.cur + t.tok > 12000 then t.tok else r.cur + t.tok end from r join t on t.lang = r.lang and t.n = r.n + 1)
+@query("""with recursive t as (select doc_id, lang, cast(ceil(length(text) / 4.0) as integer) as tok, lang || doc_id // 2000 as part, row_number() over (partition by lang, doc_id // 2000 order by doc_id) as n from documents),
+    r as (select doc_id, lang, part, n, tok, 0 as batch, 1 as c, tok as cur from t where n = 1 union all
+    select t.doc_id, t.lang, t.part, t.n, t.tok, case when r.c >= 20 or r.cur + t.tok > 12000 then r.batch + 1 else r.batch end, case when r.c >= 20 or r.cur + t.tok > 12000 then 1 else r.c + 1 end, case when r.c >= 20 or r.cur + t.tok > 12000 then t.tok else r.cur + t.tok end from r join t on t.part = r.part and t.n = r.n + 1)
     select doc_id, lang, batch from r""")
 def greedy_batches(load):
-    tokens = load("documents").select("doc_id", "lang", text.token_estimate(F.col("text")).alias("tokenCount"))
-    return embedding.batch_numbers(tokens, ["lang"], ["doc_id"], 20, 12000).select("doc_id", "lang", "batch")
+    # A range of 2,000 documents at a time, so that no group grows with the corpus.
+    tokens = load("documents").select("doc_id", "lang", F.floor(F.col("doc_id") / 2000).alias("range"), text.token_estimate(F.col("text")).alias("tokenCount"))
+    return embedding.batch_numbers(tokens, ["lang", "range"], ["doc_id"], 20, 12000).select("doc_id", "lang", "batch")
 
 
 def _records(load) -> DataFrame:
@@ -342,9 +340,9 @@ def delete_by_filter(load):
     return store.without(load("embeddings"), retrieval.payload_filter(label=3)).select("vec_id", "label")
 
 
-@query("select count(*) as points, cast(max(len(embedding)) as integer) as dimensions, count(distinct label) as labels from embeddings")
+@query("select count(*) as points, cast(max(len(embedding)) as integer) as dimensions from embeddings")
 def collection_info(load):
-    return load("embeddings").agg(F.count("*").alias("points"), F.max(F.size("embedding")).alias("dimensions"), F.count_distinct("label").alias("labels"))
+    return store.describe(load("embeddings"), "embedding")
 
 
 def _points(load) -> DataFrame:
@@ -379,28 +377,47 @@ def batch_topk(load):
     return retrieval.batch_top_k(_points(load), asked, 10).withColumn("score", F.round("score", 6))
 
 
-def _results(load, items: int = 40) -> DataFrame:
-    """Whole texts as results of ``items`` queries."""
+def _queries(load) -> int:
+    """Number of queries that share the documents out as results: every benchmark item, and more as documents grow."""
+    return max(load("benchmark").count(), load("documents").count() // 25, 1)
+
+
+def _results(load) -> DataFrame:
+    """Whole texts as results of all queries."""
     k = F.col("doc_id")
-    return load("documents").select((k % items).alias("queryId"), (k % 97 % 5).cast("string").alias("chunkId"), ((k * 37) % 101 / 100).alias("score"), k.alias("position"), "text", F.lit(None).cast("string").alias("parentText"), F.col("source").alias("documentTitle"), F.col("lang").alias("headingPath"), _path().alias("sourcePath"))
+    return load("documents").select((k % _queries(load)).alias("queryId"), (k % 97 % 5).cast("string").alias("chunkId"), ((k * 37) % 101 / 100).alias("score"), k.alias("position"), "text", F.lit(None).cast("string").alias("parentText"), F.col("source").alias("documentTitle"), F.col("lang").alias("headingPath"), _path().alias("sourcePath"))
+
+
+def _questions(load) -> DataFrame:
+    """A question for every query: the benchmark's items in turn."""
+    benchmark = load("benchmark")
+    numbered = benchmark.sparkSession.range(_queries(load)).select(F.col("id").alias("queryId"), (F.col("id") % benchmark.count()).alias("item_id"))
+    return numbered.join(benchmark, "item_id").select("queryId", F.col("text").alias("question"))
+
+
+_N = "(select greatest((select count(*) from benchmark), (select count(*) from documents) // 25, 1))"
 
 
-_CONTEXT = """res as (select doc_id % 40 as queryId, cast(doc_id % 97 % 5 as varchar) as chunkId, (doc_id * 37) % 101 / 100.0 as score, doc_id as position, substr(text, 1, 700) as text, source as title, lang as hp from documents),
+def _context_sql(results: str, chunks: int, chars: int, least: float) -> str:
+    """CTEs from results to the context. DuckDB counts code points, as the tables hold no astral text."""
+    return f"""{results},
     b as (select *, min(position) over (partition by queryId, chunkId) as place, row_number() over (partition by queryId, chunkId order by score desc, position) as rn from res),
-    k as (select *, row_number() over (partition by queryId order by score desc, place) as rank from b where rn = 1 and score >= 0.3),
-    u as (select *, 1500 - coalesce(sum(length(text)) over (partition by queryId order by rank rows between unbounded preceding and 1 preceding), 0) as rest from k where rank <= 4),
+    k as (select *, row_number() over (partition by queryId order by score desc, place) as rank from b where rn = 1 and score >= {least}),
+    u as (select *, {chars} - coalesce(sum(length(text)) over (partition by queryId order by rank rows between unbounded preceding and 1 preceding), 0) as rest from k where rank <= {chunks}),
     ctx as (select queryId, chunkId, score, title, hp, cast(rank as integer) as rank, substr(text, 1, cast(rest as integer)) as text from u where rest > 0)"""
 
 
+_CONTEXT = _context_sql(f"res as (select doc_id % {_N} as queryId, cast(doc_id % 97 % 5 as varchar) as chunkId, (doc_id * 37) % 101 / 100.0 as score, doc_id as position, text, source as title, lang as hp from documents)", 4, 6000, 0.3)
+_ASKED = f"asked as (select r.q as queryId, b.text as question from range({_N}) r(q) join benchmark b on b.item_id = r.q % (select count(*) from benchmark))"
+
+
 def _context(load) -> DataFrame:
-    # The SQL's results are cut to 700 characters and those of items from 40 on are left out.
-    return answering.select_context(_results(load).withColumn("text", F.substring("text", 1, 700)), 4, 1500, 0.3)
+    return answering.select_context(_results(load), 4, 6000, 0.3)
 
 
 @query(f"with {_CONTEXT} select queryId, chunkId, score from b where rn = 1")
 def context_dedup(load):
-    w = Window.partitionBy("queryId", "chunkId").orderBy(F.desc("score"), "position")
-    return _results(load).withColumn("rn", F.row_number().over(w)).where("rn = 1").select("queryId", "chunkId", "score")
+    return answering.best_of_repeats(_results(load)).select("queryId", "chunkId", "score")
 
 
 @query(f"with {_CONTEXT} select queryId, rank, concat('S', rank) as \"sourceId\", chunkId, text from ctx")
@@ -408,14 +425,17 @@ def context_budget(load):
     return _context(load).select("queryId", "rank", "sourceId", "chunkId", "text")
 
 
-def _questions(load) -> DataFrame:
-    return load("benchmark").where("item_id < 40").select(F.col("item_id").alias("queryId"), F.col("text").alias("question"))
+@query("with m as (select doc_id, doc_id % 7 as m, doc_id % 11 as n, text from documents) select doc_id, case when 2 * m >= n then repeat('😀', cast(n // 2 as integer)) else concat(repeat('😀', cast(m as integer)), substr(text, 1, cast(n - 2 * m as integer))) end as cut, cast(2 * m + length(text) as integer) as units from m")
+def utf16_cut(load):
+    whole = F.concat(F.expr("repeat('😀', cast(doc_id % 7 as int))"), "text")
+    return load("documents").select("doc_id", text.utf16_prefix(whole, (F.col("doc_id") % 11).cast("int")).alias("cut"), text.utf16_length(whole).alias("units"))
 
 
 _SYSTEM = answering.SYSTEM_PROMPT.replace("'", "''").replace("\n", "' || chr(10) || '")
-_PROMPT = f"""{_CONTEXT}, j as (select queryId, string_agg(concat('[S', rank, '] (', title, ' — ', hp, ')', chr(10), text), concat(chr(10), chr(10)) order by rank) as context from ctx group by queryId),
-    pr as (select q.item_id as queryId, concat('QUESTION:', chr(10), q.text, chr(10), chr(10), '<context>', chr(10), context, chr(10), '</context>') as up from benchmark q join j on j.queryId = q.item_id where q.item_id < 40),
+_PROMPTED = f"""j as (select queryId, string_agg(concat('[S', rank, '] (', title, ' — ', hp, ')', chr(10), text), concat(chr(10), chr(10)) order by rank) as context from ctx group by queryId),
+    pr as (select q.queryId, concat('QUESTION:', chr(10), q.question, chr(10), chr(10), '<context>', chr(10), context, chr(10), '</context>') as up from asked q join j using (queryId)),
     pt as (select *, cast(ceil(length(concat('{_SYSTEM}', up)) / 4.0) as integer) as tokens from pr)"""
+_PROMPT = f"{_CONTEXT}, {_ASKED}, {_PROMPTED}"
 
 
 @query(f'with {_PROMPT} select queryId, sha256(up) as "promptHash", tokens as "promptTokens" from pt')
@@ -423,9 +443,9 @@ def prompt_build(load):
     return answering.prompts(_questions(load), _context(load)).select("queryId", F.sha2("userPrompt", 256).alias("promptHash"), "promptTokens")
 
 
-@query(f"with {_PROMPT} select queryId, tokens > 400 as refused from pt")
+@query(f"with {_PROMPT} select queryId, tokens > 1200 as refused from pt")
 def prompt_guard(load):
-    return answering.prompts(_questions(load), _context(load)).select("queryId", (F.col("promptTokens") > 400).alias("refused"))
+    return answering.prompts(_questions(load), _context(load)).select("queryId", (F.col("promptTokens") > 1200).alias("refused"))
 
 
 @query(f"with {_PROMPT} select queryId, concat('{answering.FAKE_ANSWER} ', regexp_extract(up, '\\[S\\d+\\]')) as answer, tokens as \"inputTokens\" from pt")
@@ -449,8 +469,7 @@ def cost(load):
 
 @query("select source, count_if(length(text) > 2000) as failed, count(*) as n, count_if(length(text) > 2000) > 0.5 * count(*) as aborts from documents group by source")
 def failure_ratio(load):
-    failed, n = F.count_if(F.length("text") > 2000), F.count("*")
-    return load("documents").groupBy("source").agg(failed.alias("failed"), n.alias("n"), (failed > 0.5 * n).alias("aborts"))
+    return embedding.failure_counts(load("documents"), F.length("text") > 2000, 0.5, ("source",))
 
 
 @query("select conv_id, turn, case when length(text) > 300 then 'too long' when trim(text) = '' then 'empty' end as reason from conversations")
@@ -458,17 +477,59 @@ def question_validation(load):
     return load("conversations").select("conv_id", "turn", retrieval.question_reason(F.col("text"), 300).alias("reason"))
 
 
-@query(f"with {_CONTEXT} select q.item_id as queryId, case when r.queryId is null then 'no_results' when c.queryId is null then 'below_threshold' end as reason from benchmark q left join (select distinct queryId from res) r on r.queryId = q.item_id left join (select distinct queryId from ctx) c on c.queryId = q.item_id")
+@query(f"with {_CONTEXT}, {_ASKED} select q.queryId, case when r.queryId is null then 'no_results' when c.queryId is null then 'below_threshold' end as reason from asked q left join (select distinct queryId from res) r using (queryId) left join (select distinct queryId from ctx) c using (queryId)")
 def context_rejection(load):
-    asked = load("benchmark").select(F.col("item_id").alias("queryId"), F.col("text").alias("question"))
-    return answering.rejections(asked, _results(load), _context(load)).select("queryId", "reason")
+    return answering.rejections(_questions(load), _results(load), _context(load)).select("queryId", "reason")
 
 
-@query()
+_ANSWERED = f"""an as (select *, concat('{answering.FAKE_ANSWER} ', regexp_extract(up, '\\[S\\d+\\]')) as answer from pt where tokens <= 1500)
+    select q.queryId, coalesce(an.answer, '{answering.NO_ANSWER}') as answer, case when r.queryId is null then 'no_results' when j.queryId is null then 'below_threshold' when an.queryId is null then 'prompt_too_long' end as reason,
+    regexp_extract(an.answer, 'S\\d+') as cited, an.tokens as "inputTokens", cast(ceil(length(an.answer) / 4.0) as integer) as "outputTokens", round(an.tokens / 1e6 * 0.75 + ceil(length(an.answer) / 4.0) / 1e6 * 3.75, 9) as "costUsd"
+    from asked q left join (select distinct queryId from res) r using (queryId) left join j using (queryId) left join an using (queryId)"""
+
+
+def _answered(df: DataFrame) -> DataFrame:
+    return df.select("queryId", "answer", "reason", F.array_join("cited", ",").alias("cited"), "inputTokens", "outputTokens", F.round("costUsd", 9).alias("costUsd"))
+
+
+@query(f"with {_PROMPT}, {_ANSWERED}")
 def ask(load):
-    benchmark = load("benchmark")
-    asked = benchmark.select(F.col("item_id").alias("queryId"), F.col("text").alias("question"))
-    return answering.ask(asked, _results(load, max(benchmark.count(), 1)), 4, 1500, 0.3).drop("question")
+    return _answered(answering.ask(_questions(load), _results(load), 4, 6000, 0.3, 1500))
+
+
+_VECTOR = "list_transform(range(8), lambda i: cast(concat('0x', substr(h, cast(i as integer) * 2 + 1, 2)) as integer) / 255.0::double * 2 - 1)"
+_RAG_RESULTS = f"""inp as (select doc_id, source, lang, text as t from documents), {_cut_sql("(select doc_id, source, lang, trim(concat(lang, ' › ', source, chr(10), chr(10), t), concat(' ', chr(10))) as t, t as body from inp)", 8000)},
+    pts as (select o.doc_id, id, o.source, o.lang, o.body, {_VECTOR.replace("(h,", "(sha256(cut),")} as v from o join (select doc_id, concat(substr(h, 1, 8), '-', substr(h, 9, 4), '-5', substr(h, 14, 3), '-', translate(substr(h, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab'), substr(h, 18, 3), '-', substr(h, 21, 12)) as id from (select doc_id, sha1(concat('{ids.POINT_NAMESPACE}', {_EID})) as h from documents)) using (doc_id)),
+    asked as (select item_id as queryId, text as question from benchmark), qv as (select queryId, {_VECTOR.replace("(h,", "(sha256(question),")} as w from asked),
+    near as (select queryId, pts.*, round(list_cosine_similarity(v, w), 12) as score from qv, pts),
+    res as (select * from (select queryId, sha256(cast(doc_id as varchar)) as chunkId, score, row_number() over (partition by queryId order by score desc, id) as position, body as text, source as title, concat(lang, ' › ', source) as hp from near) where position <= 10)"""
+
+
+@query(f"with {_context_sql(_RAG_RESULTS, 5, 12000, 0.0)}, {_PROMPTED}, {_ANSWERED.replace('<= 1500', '<= 2600')}")
+def rag_end_to_end(load):
+    """Every document as a chunk: input, record, point, the ten nearest of every question, context, answer."""
+    chunks = load("documents").select(
+        F.sha2(F.col("doc_id").cast("string"), 256).alias("chunkId"), ids.document_id(_path()).alias("documentId"), F.lit(None).cast("string").alias("parentChunkId"), F.lit("child").alias("chunkType"), F.array(F.struct(F.col("lang").alias("text")), F.struct(F.col("source").alias("text"))).alias("headingPath"),
+        "text", ids.content_hash(F.col("text")).alias("contentHash"), F.col("source").alias("documentTitle"), _path().alias("sourcePath"),
+    )
+    inputs = embedding.with_embedding_ids(embedding.embedding_inputs(chunks).where("input is not null"), *_MODEL)
+    made = records.embedding_records(embedding.fake_embedded(inputs, _MODEL[3]), *_MODEL)
+    status = indexing.index_status(made, chunks, indexing.rejection(*_MODEL, allow_fake=True)).where("status = 'indexed'")
+    points = indexing.points(status, "docs")
+    questions = load("benchmark").select(F.col("item_id").alias("queryId"), F.col("text").alias("question"))
+    asked = questions.select("queryId", vectors.fake_embedding(F.col("question"), _MODEL[3]).alias("queryVector"))
+    best = retrieval.batch_top_k(points.select("id", "vector"), asked, 10)
+    found = best.join(points.drop("vector", "norm"), "id").withColumn("position", F.col("rank"))
+    return _answered(answering.ask(questions, retrieval.results(found), 5, 12_000, 0.0, 2600))
+
+
+@query("select concat(lang, '/', source) as source, count(*) as n, count(distinct doc_id) as ids, cast(sum(length(text) // 4 + 1) as bigint) as tokens from documents group by all")
+def record_assembly(load):
+    made = records.embedding_records(
+        load("documents").select(F.col("doc_id").alias("embeddingId"), F.lit("c").alias("chunkId"), F.lit("d").alias("documentId"), F.concat_ws("/", "lang", "source").alias("sourcePath"), F.array(F.lit(1.0)).alias("vector"), F.lit("h").alias("contentHash"), F.lit("i").alias("inputHash"), F.floor(F.length("text") / 4 + 1).alias("tokenCount"), F.lit(False).alias("truncated")),
+        *_MODEL,
+    )
+    return made.groupBy(F.col("sourcePath").alias("source")).agg(F.count("*").alias("n"), F.count_distinct("embeddingId").alias("ids"), F.sum(F.col("inputTokenCount").cast("long")).alias("tokens"))
 
 
 @query(
@@ -482,10 +543,10 @@ def front_matter(load):
     return found.select(F.col("sourcePath").alias("path"), "title", "language", F.col("wordCount").alias("words"))
 
 
-@query("select concat(source, '/../', doc_id) as name, true as safe from documents where doc_id % 3 = 0 union all select concat('../', doc_id), false from documents where doc_id % 3 = 1 union all select concat('a/', doc_id), true from documents where doc_id % 3 = 2")
+@query("select concat(source, '/../', doc_id) as name, true as safe from documents where doc_id % 3 = 0 union all select concat('../', doc_id), false from documents where doc_id % 3 = 1 union all select concat('a:b/', doc_id), true from documents where doc_id % 3 = 2")
 def entry_names(load):
     k, own = F.col("doc_id") % 3, F.col("doc_id").cast("string")
-    name = F.when(k == 0, F.concat("source", F.lit("/../"), own)).when(k == 1, F.concat(F.lit("../"), own)).otherwise(F.concat(F.lit("a/"), own))
+    name = F.when(k == 0, F.concat("source", F.lit("/../"), own)).when(k == 1, F.concat(F.lit("../"), own)).otherwise(F.concat(F.lit("a:b/"), own))
     return load("documents").select(name.alias("name")).withColumn("safe", text.is_safe_entry(F.col("name")))
 
 

@@ -16,6 +16,20 @@ def append_records(records: DataFrame, path: str) -> None:
     records.write.mode("append").json(path)
 
 
+def embedding_records(embedded: DataFrame, provider: str, model: str, version: str, dimensions: int) -> DataFrame:
+    """Rows with a vector as records to append (the columns of RECORD); failed rows are left out. A missing sourcePath is null."""
+    path = F.col("sourcePath") if "sourcePath" in embedded.columns else F.lit(None).cast("string")
+    return embedded.where("vector is not null").select(
+        "embeddingId", "chunkId", "documentId", path.alias("sourcePath"), F.col("vector").cast("array<double>").alias("vector"), F.lit(dimensions).alias("dimensions"), F.lit(provider).alias("provider"), F.lit(model).alias("model"),
+        F.lit(version).alias("modelVersion"), "contentHash", "inputHash", F.col("tokenCount").cast("int").alias("inputTokenCount"), "truncated", F.current_timestamp().alias("createdAt"),
+    )
+
+
+def write_documents(documents: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Structured documents as JSON lines, which ``read_json_documents`` reads back."""
+    documents.write.mode(mode).json(path)
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """All records; any line that is no record fails the scan. Blank lines do not count."""
     return spark.read.schema(RECORD).option("mode", "FAILFAST").json(path)
@@ -47,6 +61,6 @@ def write_chunks(chunks: DataFrame, path: str, mode: str = "overwrite") -> None:
     chunks.write.mode(mode).parquet(path)
 
 
-def read_json_documents(spark: SparkSession, path: str, schema: str, glob: str = "*.json") -> DataFrame:
-    """Documents or chunk arrays, one JSON value (object or array of objects) a file."""
-    return spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", glob).json(path)
+def read_json_documents(spark: SparkSession, path: str, schema: str, glob: str = "*.json", whole_files: bool = True) -> DataFrame:
+    """Documents or chunk arrays, one JSON value (object or array of objects) a file; JSON lines without ``whole_files``."""
+    return spark.read.schema(schema).option("multiLine", whole_files).option("pathGlobFilter", glob).json(path)

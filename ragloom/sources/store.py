@@ -25,6 +25,11 @@ def without(points: DataFrame, where: Column) -> DataFrame:
     return points.where(~F.coalesce(where, F.lit(False)))
 
 
+def describe(points: DataFrame, vector: str = "vector") -> DataFrame:
+    """One row: points, and the dimensions of their vectors (null without points)."""
+    return points.agg(F.count("*").alias("points"), F.max(F.size(vector)).alias("dimensions"))
+
+
 class Collections:
     """Collections below a root folder."""
 
@@ -66,7 +71,7 @@ class Collections:
         if not now:
             return None
         points = self.read(name)
-        return {"dimensions": now["dimensions"], "count": points.count() if points is not None else 0}
+        return {"dimensions": now["dimensions"], "count": describe(points).first()["points"] if points is not None else 0}
 
     def _write(self, name: str, points: DataFrame) -> None:
         now = self._pointer(name)

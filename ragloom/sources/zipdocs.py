@@ -5,9 +5,9 @@ from __future__ import annotations
 import datetime
 import io
 import json
-import posixpath
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,12 +27,47 @@ class ArchiveError(ValueError):
     """The archive is corrupt, too large or has unsafe names; none of its entries is used."""
 
 
+def is_safe_name(name: str) -> bool:
+    """False for absolute names, NUL bytes and names that climb out of the archive's root at any step."""
+    plain, depth = name.replace("\\", "/"), 0
+    for part in plain.split("/"):
+        depth += {"": 0, ".": 0, "..": -1}.get(part, 1)
+        if depth < 0:
+            return False
+    return not plain.startswith("/") and "\0" not in name
+
+
 def check_entry_name(name: str) -> None:
-    plain = name.replace("\\", "/")
-    if plain.startswith("/") or "\0" in name or re.match(r"[A-Za-z]:", plain) or posixpath.normpath(plain).split("/")[0] == "..":
+    if not is_safe_name(name):
         raise ArchiveError(f"unsafe entry name: {name!r}")
 
 
+def archive_totals(spark: SparkSession, path: str) -> DataFrame:
+    """(archive, totalEntries) of the archives below ``path``: directories and entries that no glob matches count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = [len(_opened(a, c.as_py()).infolist()) for a, c in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], names=["archive", "totalEntries"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
+    return files.select("path", "content").mapInArrow(run, "archive string, totalEntries long")
+
+
+def ingestion_summary(totals: DataFrame, documents: DataFrame) -> DataFrame:
+    """One row: totalEntries of all archives, and of the documents read from them matched, succeeded and failed (error is set)."""
+    counted = documents.agg(F.count("*").alias("matched"), F.count_if(F.col("error").isNull()).alias("succeeded"), F.count_if(F.col("error").isNotNull()).alias("failed"))
+    all_entries = totals.agg(F.coalesce(F.sum("totalEntries"), F.lit(0)).alias("totalEntries"))
+    return all_entries.withColumn("one", F.lit(1)).join(counted.withColumn("one", F.lit(1)), "one").drop("one")  # a row each
+
+
+def _opened(archive: str, content: bytes) -> zipfile.ZipFile:
+    try:
+        return zipfile.ZipFile(io.BytesIO(content))
+    except zipfile.BadZipFile as error:
+        raise ArchiveError(f"{archive}: {error}") from error
+
+
 def scan_archives(spark: SparkSession, path: str, glob: str = "**/*.md", max_entries: int = 10_000, max_bytes: int = 524_288_000) -> DataFrame:
     """One row a matching file of the archives below ``path``. All entries count against the limits, matching or not."""
     regex = re.compile(text.glob_regex(glob).replace(r"\z", r"\Z"))
@@ -43,23 +78,24 @@ def scan_archives(spark: SparkSession, path: str, glob: str = "**/*.md", max_ent
                 yield from _read(archive, content.as_py())
 
     def _read(archive: str, content: bytes) -> Iterator[pa.RecordBatch]:
-        try:
-            opened = zipfile.ZipFile(io.BytesIO(content))
-        except zipfile.BadZipFile as error:
-            raise ArchiveError(f"{archive}: {error}") from error
+        opened = _opened(archive, content)
         infos = opened.infolist()
         if len(infos) > max_entries:
             raise ArchiveError(f"{archive}: {len(infos)} entries, over {max_entries}")
         total, rows, held = 0, [], 0
         for info in infos:
-            check_entry_name(info.orig_filename)
             if info.is_dir():
                 continue
+            check_entry_name(info.orig_filename)
             total += info.file_size
             if total > max_bytes:
                 raise ArchiveError(f"{archive}: over {max_bytes} bytes uncompressed")
             if regex.match(info.filename):
-                rows.append((archive, info.filename, opened.read(info), info.file_size, info.compress_size, "%04d-%02d-%02d %02d:%02d:%02d" % info.date_time))
+                try:
+                    content = opened.read(info)
+                except (zipfile.BadZipFile, zlib.error) as error:
+                    raise ArchiveError(f"{archive}: {info.filename}: {error}") from error
+                rows.append((archive, info.filename, content, info.file_size, info.compress_size, "%04d-%02d-%02d %02d:%02d:%02d" % info.date_time))
                 held += info.file_size
                 if held > _BATCH_BYTES:
                     yield _batch(rows)
@@ -103,8 +139,8 @@ def split_front_matter(documents: DataFrame, raw: str = "raw") -> DataFrame:
 
 
 def structured_documents(entries: DataFrame, default_language: str = "en") -> DataFrame:
-    """Entries as documents: documentId, title, language, wordCount, contentHash, headings, codeBlocks, body, error."""
-    raw = entries.select("sourcePath", F.decode("content", "UTF-8").alias("raw")) if dict(entries.dtypes)["content"] == "binary" else entries.select("sourcePath", F.col("content").alias("raw"))
+    """Entries as documents (bytes that are no UTF-8 become U+FFFD): documentId, title, language, wordCount, contentHash, headings, codeBlocks, body, error."""
+    raw = entries.select("sourcePath", F.make_valid_utf8(F.col("content").cast("string")).alias("raw")) if dict(entries.dtypes)["content"] == "binary" else entries.select("sourcePath", F.col("content").alias("raw"))
     split = split_front_matter(raw).withColumn("documentId", ids.document_id(F.col("sourcePath"))).withColumn("body", text.clean(F.col("body")))
     outlined = split.join(markdown.outlines(split.select("documentId", "body")), "documentId", "left")
     field = lambda name: _text_field(F.col("frontMatter"), name)

@@ -20,7 +20,7 @@ def embed_batch(chunks: DataFrame, existing: DataFrame, provider: str, model: st
     """New records of a micro-batch: ids that exist already, and repeats within the batch, are left out."""
     inputs = embedding.embedding_inputs(chunks).where("input is not null")
     new = embedding.with_embedding_ids(inputs, provider, model, version, dimensions).dropDuplicates(["embeddingId"])
-    return embedding.fake_embedded(new.join(existing.select("embeddingId"), "embeddingId", "left_anti"), dimensions)
+    return embedding.fake_embedded(embedding.unembedded(new, existing), dimensions)
 
 
 def start(stream: DataFrame, store: Collections, name: str, checkpoint: str, to_points: Callable[[DataFrame], DataFrame], dimensions: int, provider: str = "fake", model: str = "fake-model", version: str = "1") -> StreamingQuery:
