@@ -9,12 +9,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows of one Arrow batch that are worked on at a time, so that long texts stay bounded in memory.
-SLICE_ROWS = 1024
+#: Rows of one Arrow batch that are worked on at a time, and about how many bytes of input (one longer row stands alone).
+SLICE_ROWS, SLICE_BYTES = 1024, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode a temporary one where that is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors reach")
         path = "file://" + tempfile.mkdtemp(prefix="spark-ragloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -97,8 +100,8 @@ def append_columns(df: DataFrame, inputs: list[str], fields: list[T.StructField]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for whole in batches:
-            for at in range(0, whole.num_rows, SLICE_ROWS):
-                batch = whole.slice(at, SLICE_ROWS)
+            for at, end in row_slices(whole.columns[n_keep:]):
+                batch = whole.slice(at, end - at)
                 out = work(*[batch.column(n_keep + i).to_pylist() for i in range(len(inputs))])
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns[:n_keep], *[x if isinstance(x, pa.Array) else pa.array(x, type=t) for x, t in zip(out, arrow_types, strict=True)]], names=names
@@ -107,6 +110,21 @@ def append_columns(df: DataFrame, inputs: list[str], fields: list[T.StructField]
     return source.mapInArrow(run, schema)
 
 
+def row_slices(columns: list[pa.Array]) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of bounded number and bytes."""
+    n = len(columns[0]) if columns else 0
+    sizes = np.ones(n, np.int64)
+    for column in columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+            sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    total, at = np.cumsum(sizes), 0
+    while at < n:
+        before = total[at - 1] if at else 0
+        end = min(at + SLICE_ROWS, max(at + 1, int(np.searchsorted(total, before + SLICE_BYTES, side="right"))), n)
+        yield at, end
+        at = end
+
+
 def _arrow_type(kind: T.DataType) -> pa.DataType:
     if isinstance(kind, T.ArrayType):
         return pa.list_(_arrow_type(kind.elementType))

@@ -64,3 +64,15 @@ def test_lookup_of_null_and_missing_keys(spark, monkeypatch):
     for most, share in ((10, 1000), (0, 1000), (0, 2), (0, 1)):
         monkeypatch.setattr(common, "HEAVY_SHARE", share)
         assert sorted((r["v"], r["w"]) for r in common.lookup(left, right, "k", "n", most).collect()) == expected
+
+
+def test_row_slices_are_bounded_and_complete(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(common, "SLICE_ROWS", 5)
+    monkeypatch.setattr(common, "SLICE_BYTES", 20)
+    column = pa.array(["a" * n for n in (1, 50, 2, 3, 4, 0, 0, 0, 0, 0, 0, 19, 19, 7)] + [None] * 3)
+    ranges = list(common.row_slices([column]))
+    assert [i for a, b in ranges for i in range(a, b)] == list(range(len(column)))
+    assert all(b - a == 1 or (b - a <= 5 and sum(len(x or "") + 1 for x in column[a:b].to_pylist()) <= 20) for a, b in ranges)
+    assert list(common.row_slices([])) == [] and list(common.row_slices([column[:0]])) == []
