@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 
 
 def fake_embedding(text: Column, dimensions: int) -> Column:
-    """Vector whose values are the bytes of the text's SHA-256, in -1..1, repeated to the dimensions asked for."""
+    """Vector whose values are the bytes of the text's SHA-256, in -1..1, repeated to the dimensions asked for.
+
+    Each of the 32 bytes is read once.
+    """
     digest = F.sha2(text, 256)
     byte = lambda i: F.conv(F.substring(digest, i % 32 * 2 + 1, F.lit(2)), 16, 10).cast("double")
-    return F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: byte(i) / 255 * 2 - 1)
+    values = F.transform(F.sequence(F.lit(0), F.lit(min(dimensions, 32) - 1)), lambda i: byte(i) / 255 * 2 - 1)
+    return values if dimensions <= 32 else F.slice(F.flatten(F.array_repeat(values, -(-dimensions // 32))), 1, dimensions)
 
 
 def dot(a: Column, b: Column) -> Column:

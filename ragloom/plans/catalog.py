@@ -108,6 +108,12 @@ def fake_embedding(load):
     return load("documents").select("doc_id", F.posexplode(vectors.fake_embedding(F.col("text"), 8)).alias("pos", "value")).withColumn("value", F.round("value", 6))
 
 
+@query("select doc_id, 1024 as dimensions, round(32 * list_sum(list_transform(range(32), lambda i: cast(concat('0x', substr(sha256(text), cast(i as integer) * 2 + 1, 2)) as integer) / 255.0::double * 2 - 1)), 6) as total from documents")
+def fake_embedding_1024(load):
+    made = load("documents").select("doc_id", vectors.fake_embedding(F.col("text"), 1024).alias("v"))
+    return made.select("doc_id", F.size("v").alias("dimensions"), F.round(F.aggregate("v", F.lit(0.0), lambda a, b: a + b), 6).alias("total"))
+
+
 _EID = "sha256(concat_ws('::', sha256(cast(doc_id as varchar)), sha256(text), 'fake', 'fake-model', '1', '8'))"
 
 
