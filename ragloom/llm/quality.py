@@ -208,7 +208,7 @@ def _concentrated(usable: DataFrame, estimates: DataFrame, sizes: DataFrame, sup
     return written(_estimates(_moments(chosen, ["g", "start"], list(FEATURES)), _widening(support)), "mcd")
 
 
-def mcd_estimates(usable: DataFrame, support: float = 0.75, most_steps: int = 12, least_fall: float = 1e-3) -> DataFrame:
+def mcd_estimates(usable: DataFrame, support: float = 0.75, most_steps: int = 8, least_fall: float = 5e-3) -> DataFrame:
     """(g, centre, inverse, log_det): the estimate of each group of usable (g and the features) that has the least determinant."""
     sizes = written(usable.groupBy("g").agg(F.count("*").alias("size")), "sizes")
     middle = lambda columns, name: [F.percentile_approx(c, 0.5, 1000).alias(f"{name}{i}") for i, c in enumerate(columns)]
