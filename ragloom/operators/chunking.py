@@ -66,13 +66,19 @@ def own_pieces(sections: DataFrame, most: int, strategy: str = "approx-token") -
     return df.withColumn("pieces", F.transform(numbers, piece)).drop("headingLine", "headingLength", "plain", "units", "bins", "over", "ownLength")
 
 
+def with_pieces(sections: DataFrame, most: int = 500, strategy: str = "approx-token") -> DataFrame:
+    """Sections under a heading with their pieces, kept so that the documents are parsed once."""
+    return own_pieces(sections.where("level > 0"), most, strategy).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def ordered_pieces(sections: DataFrame, most: int = 500, least: int = 100, strategy: str = "approx-token") -> DataFrame:
     """Pieces of all sections under a heading, small siblings merged, in reading order (column sequenceIndex).
 
     The sections' pieces and places are read by several joins, so both are kept (memory, then disk; lost blocks are made anew).
-    Release them with ``spark.catalog.clearCache()`` when the result is written.
+    Release them with ``spark.catalog.clearCache()`` when the result is written. Sections that have pieces already are taken as
+    they are.
     """
-    df = own_pieces(sections.where("level > 0"), most, strategy).persist(StorageLevel.MEMORY_AND_DISK)
+    df = sections if "pieces" in sections.columns else with_pieces(sections, most, strategy)
     only = F.get("pieces", F.lit(0))
     df = df.withColumn("eligible", (F.size("pieces") == 1) & ~F.coalesce(only["wasSplit"], F.lit(True)) & F.coalesce(only["length"] < least, F.lit(False)))
     member = F.struct("sectionIdx", "eligible", F.coalesce(only["length"], F.lit(0)).alias("length"))
@@ -138,19 +144,28 @@ def child_chunks(pieces: DataFrame, overlap: str = "heading-context", overlap_se
 
 
 def parent_chunks(sections: DataFrame, most: int = 500, strategy: str = "approx-token") -> DataFrame:
-    """A chunk for every section under a heading with the text of its whole subtree, in pre-order."""
-    own = sections.where("level > 0").withColumn("part", F.concat_ws(_BLANK, text.heading_line(F.col("level"), F.col("heading")), F.when(F.size("blocks") > 0, F.array_join(F.transform("blocks", lambda b: b["text"]), _BLANK))))
-    spread = own.select("documentId", F.explode(F.concat("ancestors", F.array("sectionIdx"))).alias("top"), "sectionIdx", "part", F.transform("blocks", lambda b: b["type"]).alias("types"))
-    whole = spread.groupBy("documentId", F.col("top").alias("sectionIdx")).agg(F.sort_array(F.collect_list(F.struct("sectionIdx", "part", "types"))).alias("r"))
-    df = own.select("documentId", "sectionIdx", "headingPath").join(whole, ["documentId", "sectionIdx"])
-    df = df.withColumns({"text": F.array_join(F.transform("r", lambda x: x["part"]), _BLANK), "contentTypes": F.array_distinct(F.flatten(F.transform("r", lambda x: x["types"]))), "pathKey": text.path_key(F.col("headingPath"))})
-    df = with_occurrence(df, F.lit(True), "documentId", "pathKey", "sectionIdx").withColumn("chunkId", ids.chunk_id(F.col("documentId"), F.lit("parent"), F.col("pathKey"), F.col("occurrence"), F.lit(0)))
+    """A chunk for every section under a heading with the text of its whole subtree, in pre-order.
+
+    Sections are dealt by document once; a subtree is a stretch of the document's sections.
+    """
+    own = sections.where("level > 0").select(
+        "documentId", "sectionIdx", "subtree", "headingPath", text.path_key(F.col("headingPath")).alias("pathKey"), F.transform("blocks", lambda b: b["type"]).alias("types"),
+        F.concat_ws(_BLANK, text.heading_line(F.col("level"), F.col("heading")), F.when(F.size("blocks") > 0, F.array_join(F.transform("blocks", lambda b: b["text"]), _BLANK))).alias("part"),
+    )
+    own = with_occurrence(own.repartition("documentId"), F.lit(True), "documentId", "pathKey", "sectionIdx")
+    whole = own.groupBy("documentId").agg(F.sort_array(F.collect_list(F.struct("sectionIdx", "subtree", "headingPath", "pathKey", "occurrence", "part", "types"))).alias("r"))
+    below = lambda name: F.transform(F.slice("r", F.col("at") + 1, F.col("s.subtree")), lambda x: x[name])
+    df = whole.select("documentId", "r", F.posexplode("r").alias("at", "s")).select(
+        "documentId", "s.sectionIdx", "s.headingPath", "s.pathKey", "s.occurrence", F.array_join(below("part"), _BLANK).alias("text"), F.array_distinct(F.flatten(below("types"))).alias("contentTypes")
+    )
+    df = df.withColumn("chunkId", ids.chunk_id(F.col("documentId"), F.lit("parent"), F.col("pathKey"), F.col("occurrence"), F.lit(0)))
     size = length_of(F.col("text"), strategy)
     return df.select("documentId", "sectionIdx", "headingPath", "occurrence", "chunkId", "text", "contentTypes", size.cast("long").alias("length"), (size > most).alias("exceedsMaxSize"), ids.content_hash(F.col("text")).alias("contentHash"))
 
 
 def chunks(sections: DataFrame, most: int = 500, least: int = 100, strategy: str = "approx-token", overlap: str = "heading-context", overlap_sentences: int = 1, include_parents: bool = True) -> DataFrame:
     """All chunks of the sections: parents (sequenceIndex -1) and children, linked both ways."""
+    sections = with_pieces(sections, most, strategy)
     children = child_chunks(ordered_pieces(sections, most, least, strategy), overlap, overlap_sentences)
     names = ["chunkId", "documentId", "chunkType", "headingPath", "contentTypes", "text", "length", "sequenceIndex", "localSequenceIndex", "wasSplit", "wasMerged", "mergedHeadings", "exceedsMaxSize", "contentHash", "parentChunkId", "childChunkIds", "previousChunkId", "nextChunkId"]
     none, nobody = F.lit(None).cast("string"), F.array().cast("array<string>")

@@ -127,7 +127,8 @@ def _list(lines: list[str], i: int) -> tuple[int, list[tuple[int, int, list[str]
 
 
 def section_tree(body: str) -> list[dict]:
-    """Sections in pre-order, the root (level 0, text before the first heading) first, each with parent, path and blocks."""
+    """Sections in pre-order, the root (level 0, text before the first heading) first, each with parent, path, blocks and subtree:
+    how many sections from it on are itself and what lies below it."""
     lines = body.split("\n")
     sections = [{"idx": 0, "parent": -1, "level": 0, "text": "", "path": [], "ancestors": [], "blocks": []}]
     stack = [sections[0]]
@@ -157,6 +158,11 @@ def section_tree(body: str) -> list[dict]:
             out["type"] = "paragraph"
         if out["type"]:
             stack[-1]["blocks"].append(out)
+    for section in reversed(sections):
+        section["subtree"] = section.get("subtree", 0) + 1
+        if section["idx"]:
+            up = sections[section["parent"]]
+            up["subtree"] = up.get("subtree", 0) + section["subtree"]
     return sections
 
 
@@ -195,7 +201,7 @@ def outline(body: str) -> dict:
 _SEGMENT = pa.struct([("level", pa.int32()), ("text", pa.string()), ("anchor", pa.string())])
 _BLOCK = pa.struct([("type", pa.string()), ("text", pa.string()), ("language", pa.string()), ("items", pa.list_(pa.string())), ("header", pa.string()), ("rows", pa.list_(pa.string()))])
 SECTIONS = (
-    "documentId string, sectionIdx int, parentIdx int, level int, heading string, headingPath array<struct<level:int,text:string,anchor:string>>, ancestors array<int>, "
+    "documentId string, sectionIdx int, parentIdx int, level int, heading string, headingPath array<struct<level:int,text:string,anchor:string>>, ancestors array<int>, subtree int, "
     "blocks array<struct<type:string,text:string,language:string,items:array<string>,header:string,rows:array<string>>>"
 )
 OUTLINES = "documentId string, headings array<struct<idx:int,parentIdx:int,level:int,text:string,anchor:string>>, firstH1 string, codeBlocks array<struct<language:string,content:string,position:int>>, links array<string>"
@@ -209,8 +215,8 @@ def sections(documents: DataFrame) -> DataFrame:
             rows = [(d, s) for d, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if body and body.strip() for s in section_tree(body)]
             pick = lambda key, kind: pa.array([s[key] for _, s in rows], kind)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([d for d, _ in rows], pa.string()), pick("idx", pa.int32()), pick("parent", pa.int32()), pick("level", pa.int32()), pick("text", pa.string()), pick("path", pa.list_(_SEGMENT)), pick("ancestors", pa.list_(pa.int32())), pick("blocks", pa.list_(_BLOCK))],
-                names=["documentId", "sectionIdx", "parentIdx", "level", "heading", "headingPath", "ancestors", "blocks"],
+                [pa.array([d for d, _ in rows], pa.string()), pick("idx", pa.int32()), pick("parent", pa.int32()), pick("level", pa.int32()), pick("text", pa.string()), pick("path", pa.list_(_SEGMENT)), pick("ancestors", pa.list_(pa.int32())), pick("subtree", pa.int32()), pick("blocks", pa.list_(_BLOCK))],
+                names=["documentId", "sectionIdx", "parentIdx", "level", "heading", "headingPath", "ancestors", "subtree", "blocks"],
             )
 
     return documents.select("documentId", F.col("body").cast("string")).mapInArrow(run, SECTIONS)

@@ -238,7 +238,16 @@ def chunk_documents(load):
     return chunking.chunks(markdown.sections(_markdown(load("documents")))).drop("headingPath")
 
 
-@query()
+#: A part is a heading of 3 tokens and up to three lines; over 500 tokens it is split, under 100 merged with its neighbours.
+_STATS = f"""with recursive {_LINES}, q as (select doc_id, ln // 3 as k, list(len order by ln) as ls, cast(sum(len) as integer) + 3 as total from l group by doc_id, ln // 3),
+    b as (select *, 3 + ls[1] + coalesce(ls[2], 0) > 500 and len(ls) > 1 as j2, case when 3 + ls[1] + coalesce(ls[2], 0) > 500 then 3 + coalesce(ls[2], 0) else 3 + ls[1] + coalesce(ls[2], 0) end + coalesce(ls[3], 0) > 500 and len(ls) > 2 as j3 from q),
+    r as (select doc_id, k, total < 100 as run, total as size, 0 as merged from b where k = 0
+        union all select b.doc_id, b.k, b.total < 100, case when b.total < 100 and r.run and r.size + b.total <= 500 then r.size + b.total else b.total end, case when b.total < 100 and r.run and r.size + b.total <= 500 then 1 else 0 end from r join b on b.doc_id = r.doc_id and b.k = r.k + 1)
+    select sha256({_PATH}) as "documentId", count(*) + 1 as sections, cast(1 + sum(case when r.merged = 1 then 0 when b.total > 500 then 1 + cast(j2 as integer) + cast(j3 as integer) else 1 end) as bigint) as pieces, cast(count_if(b.total > 500) as bigint) as "splitSections", cast(sum(r.merged) as bigint) as "mergedSections"
+    from b join r using (doc_id, k) join documents using (doc_id) group by doc_id, source"""
+
+
+@query(_STATS)
 def chunk_stats(load):
     found = markdown.sections(_markdown(load("documents")))
     return chunking.chunk_statistics(found, chunking.ordered_pieces(found))
@@ -467,6 +476,18 @@ def citations(load):
     return load("conversations").select("conv_id", "turn", F.array_join(generation.cited_ids(answer), ",").alias("cited"))
 
 
+@query(f"""with {_CONTEXT} select queryId, case rank when 3 then 0 else 1 end as pos, concat('S', rank) as "sourceId", chunkId, coalesce(nullif(title, ''), '(untitled)') as title, hp as "headingPath", score from ctx where rank in (1, 3)""")
+def citation_join(load):
+    answers = _questions(load).select("queryId", F.lit("see [S3, S1], not S2, and [S9] [S1]").alias("answer"))
+    return answering.citations(answers, _context(load)).select("queryId", "pos", "sourceId", "chunkId", "title", "headingPath", "score")
+
+
+@query("select doc_id, (row_number() over (partition by lang, doc_id // 2000 order by doc_id) - 1) // 7 as batch from documents")
+def fixed_batches(load):
+    ranges = F.concat_ws(":", F.col("lang"), F.floor(F.col("doc_id") / 2000).cast("string"))
+    return embedding.fixed_batches(load("documents").withColumn("range", ranges), 7, "range", "doc_id").select("doc_id", "batch")
+
+
 @query("select conv_id, turn, round(length(text) / 1e6 * 0.75 + (length(text) % 300) / 1e6 * 3.75, 9) as cost from conversations")
 def cost(load):
     n = F.length("text")
