@@ -22,7 +22,7 @@ END_ID, WINDOW = 2, 4096
 #: Pieces that one packing group holds on average: groups grow in number, not in size.
 GROUP_PIECES = 20000
 #: Bytes of chunks between white space, and of their ids, that a task remembers; the memory starts afresh beyond them.
-MEMORY_BYTES = 96 << 20
+MEMORY_BYTES = 128 << 20
 #: Longer chunks are not remembered beyond their own text. A remembered chunk takes so many bytes besides.
 LONG_CHUNK, _ENTRY = 256, 160
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -69,12 +69,12 @@ def make_encoder(path: str) -> Callable[[str], np.ndarray]:
             learn([c for c in missing if len(c) > LONG_CHUNK], long)
             new = [c for c in missing if len(c) <= LONG_CHUNK]
             size = sum(map(len, new))
-            if held + 3 * size + 2 * _ENTRY * len(new) > MEMORY_BYTES:
+            if held + 3 * size + _ENTRY * len(new) > MEMORY_BYTES:
                 memory.clear()
                 held, new = 0, [c for c in set(chunks) if len(c) <= LONG_CHUNK]
                 size = sum(map(len, new))
             learn(new, memory)
-            held += 3 * size + 2 * _ENTRY * len(new)
+            held += 3 * size + _ENTRY * len(new)
         found = b"".join([long[c] if c in long else memory[c] for c in chunks]) if long else b"".join([memory[c] for c in chunks])
         return np.frombuffer(found, dtype="<u4")
 

@@ -12,7 +12,7 @@ def test_ids_do_not_depend_on_the_memory(monkeypatch):
 
     tokenizer = Tokenizer.from_file(TOKENIZER)
     texts = ["some words, again. " * 9, "x" * 3000 + " y", "abc " * 50 + "z" * 300 + ".", "Ünï çødé \U0001f600", "<|endoftext|> it's", "a,b;c d.e " * 20, "w1 w2 w3 w4 w5 " * 30]
-    for size in (0, 2000, 96 << 20):
+    for size in (0, 2000, 128 << 20):
         monkeypatch.setattr(packing, "MEMORY_BYTES", size)
         packing._memories.clear()
         encode = packing.make_encoder(TOKENIZER)
