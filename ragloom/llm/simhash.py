@@ -57,7 +57,7 @@ _BLOCKS, _BLOCK = 8, 8
 #: Work of one probe row against one verified candidate, for the choice of parts and thresholds.
 _PROBE_COST, _CANDIDATE_COST = 4.0, 1.0
 #: Pairs of buckets with more comparisons than this are compared in tiles, which give only linking edges.
-BUCKET_COMPARISONS, TILE = 1 << 16, 1024
+BUCKET_COMPARISONS, TILE = 1 << 8, 1024
 
 
 def _bits(fps: np.ndarray) -> np.ndarray:
