@@ -24,7 +24,7 @@ WINDOW, STRIDE = 24, 6
 #: Labelled documents that training takes at most, half of each label where there are enough. Their texts are taken whole.
 SAMPLE_DOCUMENTS = 2400
 _LETTERS = 1024
-_CHAR_DIM, _CHAR_STATE, _WORD_DIM, _STATE = 8, 10, 6, 8
+_CHAR_DIM, _CHAR_STATE, _WORD_DIM, _STATE = 8, 10, 6, 6
 _WORD_BUCKETS = 1 << 14
 #: Letters of a word that are read (a longer word is read in pieces of this size, and the pieces' states are averaged).
 _PIECE = 24
@@ -33,7 +33,7 @@ _MEMORY, _MEMORY_LETTERS = 400_000, 8_000_000
 #: Windows that are read together.
 _TOGETHER = 640
 #: Input of the update gate that leaves a state as it is: what stands for padding.
-_SHUT = np.float32(60)
+_SHUT = np.float32(30)
 #: Scorers of this Python worker by their network's checksum, so that tasks share what is remembered; only the last is kept.
 _scorers: dict[int, Scorer] = {}
 _WORD = re.compile(r"\w+|[^\w\s]+")
@@ -71,16 +71,16 @@ def squash(x: np.ndarray) -> np.ndarray:
 
 
 def gru(inputs: Iterable[np.ndarray], n: int, u: np.ndarray, keep: bool = False, into: Iterable[np.ndarray] | None = None) -> tuple[np.ndarray, list]:
-    """Runs a gated recurrent unit over projected inputs, one array (3h, n) a step: (last state (h, n), what the way back needs if ``keep``).
+    """Runs a gated recurrent unit over projected inputs, one array (3h, n) a step, those of the gates halved: (last state (h, n), what the way back needs if ``keep``).
 
     The state of every step is written to ``into`` if given.
     """
     h, half, across = u.shape[0], np.float32(0.5), np.ascontiguousarray(u.T)
+    across[: 2 * h] *= half
     state, saved = np.zeros((h, n), np.float32), []
     for x, out in zip(inputs, into if into is not None else repeat(None)):
         r_u = across @ state
         zr = r_u[: 2 * h] + x[: 2 * h]
-        zr *= half
         squash(zr)
         zr *= half
         zr += half
@@ -115,10 +115,12 @@ def gru_back(d_states: list[np.ndarray | None], saved: list, u: np.ndarray) -> t
 
 
 def _with_padding(projected: np.ndarray) -> np.ndarray:
-    """Projected inputs (n, 3h) as columns, and a last column for padding."""
+    """Projected inputs (n, 3h) as columns, the gates' halved for ``gru``, and a last column for padding."""
     out = np.zeros((projected.shape[1], len(projected) + 1), np.float32)
+    gates = projected.shape[1] // 3 * 2
     out[:, :-1] = projected.T
-    out[: projected.shape[1] // 3, -1] = _SHUT
+    out[:gates] *= np.float32(0.5)
+    out[: gates // 2, -1] = _SHUT
     return out
 
 
