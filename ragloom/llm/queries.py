@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ragloom.llm import packing, urlfilter, warc
+from ragloom.llm import completion, fim, packing, runs, urlfilter, warc
 from ragloom.llm.chat import parsed_conversations
 from ragloom.llm.common import table
 from ragloom.llm.decontamination import contaminated
@@ -58,8 +58,20 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed_conversations(table(spark, sf_dir, "conversations"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.periodic_runs(table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.transformed(table(spark, sf_dir, "documents"))
+
+
+def op13_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return completion.packed_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_packing, op3_url_filters, op4_warc, op5_simhash, op6_secret_scans, op7_language_id, op8_quality_rules, op9_decontamination, op10_chat_formatting)}
+    return {f.__name__: f for f in (op1_toxicity, op2_packing, op3_url_filters, op4_warc, op5_simhash, op6_secret_scans, op7_language_id, op8_quality_rules, op9_decontamination, op10_chat_formatting, op11_periodic_runs, op12_fill_in_middle, op13_bin_completion)}
 
 
-ORACLE_SQL: dict[str, str] = {"op3_url_filters": urlfilter.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {"op3_url_filters": urlfilter.oracle_sql(), "op11_periodic_runs": runs.ORACLE_SQL, "op12_fill_in_middle": fim.ORACLE_SQL}
