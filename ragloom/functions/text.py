@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,9 +13,23 @@ SPACE = r"\t-\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 CRUMB = " › "
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
+
+
+def _has_astral(text: Column) -> Column:
+    """Does the text hold characters of two UTF-16 units? Most texts are told by their lengths alone."""
+    return ~_is_ascii(text) & text.rlike(r"[\x{10000}-\x{10FFFF}]")
+
+
 def utf16_length(text: Column) -> Column:
     """Length in UTF-16 code units."""
-    return F.floor(F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
+    return F.when(_has_astral(text), F.floor(F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")).otherwise(F.length(text))
 
 
 def utf16_prefix(text: Column, units: Column | int) -> Column:
@@ -22,7 +38,8 @@ def utf16_prefix(text: Column, units: Column | int) -> Column:
     raw = F.encode(text, "UTF-16BE")
     parted = F.hex(F.substring(raw, 2 * units - 1, F.lit(1))).between("D8", "DB")
     cut = F.decode(F.substring(raw, F.lit(1), 2 * (units - parted.cast("int"))), "UTF-16BE")
-    return F.when(units <= 0, "").when(utf16_length(text) <= units, text).otherwise(cut)
+    # A text has no more units than bytes, and one without astral characters as many as characters.
+    return F.when(units <= 0, F.when(text.isNotNull(), "")).when(F.octet_length(text) <= units, text).when(_has_astral(text), F.when(utf16_length(text) <= units, text).otherwise(cut)).otherwise(F.substring(text, F.lit(1), units))
 
 
 def trim(text: Column) -> Column:
@@ -88,16 +105,25 @@ def normalise_input(text: Column) -> Column:
 def truncate_words(text: Column, most_tokens: int) -> Column:
     """At most about ``most_tokens`` tokens, cut at white space: at the last in the allowed stretch, else at the next beyond it.
 
-    Gives a struct (text, truncated). A text without white space stays whole but counts as truncated.
+    Gives a struct (text, truncated). A text without white space stays whole but counts as truncated. Each step is computed once.
     """
-    first = utf16_prefix(text, 4 * most_tokens)
-    head = F.regexp_replace(first, rf"[{SPACE}][^{SPACE}]*\z", "")
-    after = F.regexp_instr(F.substring(text, F.length(first) + 1, F.lit(2**30)), F.lit(rf"[{SPACE}]"))
+    most = 4 * most_tokens
     rstrip = lambda c: F.regexp_replace(c, rf"[{SPACE}]+\z", "")
-    short = utf16_length(text) <= 4 * most_tokens
-    found = (F.length(head) > 0) & (F.length(head) < F.length(first))
-    cut = F.when(short, text).when(found, rstrip(head)).when(after > 0, rstrip(F.substring(text, F.lit(1), F.length(first) - 1 + after))).otherwise(text)
-    return F.struct(cut.alias("text"), (~short).alias("truncated"))
+
+    def beyond(t: Column, size: Column) -> Column:
+        after = F.regexp_instr(F.substring(t, size + 1, F.lit(2**30)), F.lit(rf"[{SPACE}]"))
+        return let(after, lambda a: F.when(a > 0, rstrip(F.substring(t, F.lit(1), size - 1 + a))).otherwise(t))
+
+    def inside(t: Column, first: Column) -> Column:
+        head = F.regexp_replace(first, rf"[{SPACE}][^{SPACE}]*\z", "")
+        return let(head, lambda h: F.when((F.length(h) > 0) & (F.length(h) < F.length(first)), rstrip(h)).otherwise(beyond(t, F.length(first))))
+
+    def cut(t: Column) -> Column:
+        long = utf16_length(t) > most
+        whole = F.struct(t.alias("text"), F.when(t.isNotNull(), F.lit(False)).alias("truncated"))
+        return F.when(long, let(utf16_prefix(t, most), lambda first: F.struct(inside(t, first).alias("text"), F.lit(True).alias("truncated")))).otherwise(whole)
+
+    return let(text, cut)
 
 
 def glob_regex(pattern: str) -> str:

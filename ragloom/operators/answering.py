@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragloom.functions import generation
@@ -26,17 +26,25 @@ def best_of_repeats(results: DataFrame) -> DataFrame:
     return best.where("rn = 1").drop("rn")
 
 
-def select_context(results: DataFrame, max_chunks: int = 5, max_chars: int = 12_000, min_score: float = 0.0) -> DataFrame:
-    """(queryId, rank, sourceId, chunkId, text, ...) of the chunks that go into the prompt.
+def placed_results(results: DataFrame, max_chunks: int = 5, max_chars: int = 12_000, min_score: float = 0.0) -> DataFrame:
+    """Each chunk of a query once, with rank, sourceId and, of the chunks that go into the prompt only, their text.
 
     Of repeated chunks the best score counts, at the place of the first; then come the least score, the best ``max_chunks`` in
     order of score, and the budget in UTF-16 units: the last chunk is cut to what is left. Column position gives the order of ties.
     """
-    ranked = best_of_repeats(results).where(F.col("score") >= min_score).withColumn("rank", F.row_number().over(Window.partitionBy("queryId").orderBy(F.desc("score"), "place"))).where(F.col("rank") <= max_chunks)
-    ranked = ranked.withColumn("full", F.coalesce("parentText", "text"))
+    fits = F.col("score") >= min_score
+    in_order = Window.partitionBy("queryId").orderBy(F.desc_nulls_last(F.when(fits, F.col("score"))), "place")
+    ranked = best_of_repeats(results).withColumn("rank", F.row_number().over(in_order))
+    ranked = ranked.withColumn("full", F.when(F.coalesce(fits, F.lit(False)) & (F.col("rank") <= max_chunks), F.coalesce("parentText", "text")))
     used = F.sum(utf16_length(F.col("full"))).over(Window.partitionBy("queryId").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1))
-    left = ranked.withColumn("left", F.lit(max_chars) - F.coalesce(used, F.lit(0))).where("left > 0")
-    return left.withColumns({"text": utf16_prefix(F.col("full"), F.col("left").cast("int")), "sourceId": F.concat(F.lit("S"), F.col("rank").cast("string"))}).drop("full", "left", "place", "position", "parentText")
+    left = ranked.withColumn("left", (F.lit(max_chars) - F.coalesce(used, F.lit(0))).cast("int"))
+    chosen = F.when(F.col("left") > 0, utf16_prefix(F.col("full"), F.col("left")))
+    return left.withColumns({"text": chosen, "sourceId": F.concat(F.lit("S"), F.col("rank").cast("string"))}).drop("full", "left", "place", "position", "parentText")
+
+
+def select_context(results: DataFrame, max_chunks: int = 5, max_chars: int = 12_000, min_score: float = 0.0) -> DataFrame:
+    """(queryId, rank, sourceId, chunkId, text, ...) of the chunks that go into the prompt, as ``placed_results`` has them."""
+    return placed_results(results, max_chunks, max_chars, min_score).where("text is not null")
 
 
 def rejections(questions: DataFrame, results: DataFrame, context: DataFrame) -> DataFrame:
@@ -47,12 +55,24 @@ def rejections(questions: DataFrame, results: DataFrame, context: DataFrame) ->
     return joined.withColumn("reason", F.when(F.col("has_results").isNull(), "no_results").when(F.col("has_context").isNull(), "below_threshold")).drop("has_results", "has_context")
 
 
+def _excerpt() -> Column:
+    return F.concat(F.lit("["), "sourceId", F.lit("] ("), F.coalesce("documentTitle", F.lit("")), F.lit(" — "), F.coalesce("headingPath", F.lit("")), F.lit(")\n"), "text")
+
+
+def _context_text(where: Column | None = None) -> Column:
+    """The excerpts of a group (at most ``max_chunks`` a query) in order."""
+    one = F.struct("rank", _excerpt().alias("e"))
+    return F.array_join(F.transform(F.sort_array(F.collect_list(one if where is None else F.when(where, one))), lambda x: x["e"]), "\n\n")
+
+
+def _with_prompt(joined: DataFrame) -> DataFrame:
+    user = F.concat(F.lit("QUESTION:\n"), "question", F.lit("\n\n<context>\n"), "context", F.lit("\n</context>"))
+    return joined.withColumn("userPrompt", user).withColumn("promptTokens", token_estimate(F.concat(F.lit(SYSTEM_PROMPT), "userPrompt"))).drop("context")
+
+
 def prompts(questions: DataFrame, context: DataFrame) -> DataFrame:
     """questions (queryId, question) that have context, with userPrompt and promptTokens."""
-    excerpt = F.concat(F.lit("["), "sourceId", F.lit("] ("), F.coalesce("documentTitle", F.lit("")), F.lit(" — "), F.coalesce("headingPath", F.lit("")), F.lit(")\n"), "text")
-    joined = context.groupBy("queryId").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", excerpt.alias("e")))), lambda x: x["e"]), "\n\n").alias("context"))
-    user = F.concat(F.lit("QUESTION:\n"), "question", F.lit("\n\n<context>\n"), "context", F.lit("\n</context>"))
-    return questions.join(joined, "queryId").withColumn("userPrompt", user).withColumn("promptTokens", token_estimate(F.concat(F.lit(SYSTEM_PROMPT), "userPrompt"))).drop("context")
+    return _with_prompt(questions.join(context.groupBy("queryId").agg(_context_text().alias("context")), "queryId"))
 
 
 def fake_answers(prompted: DataFrame) -> DataFrame:
@@ -70,10 +90,16 @@ def citations(answers: DataFrame, context: DataFrame) -> DataFrame:
 
 
 def ask(questions: DataFrame, results: DataFrame, max_chunks: int = 5, max_chars: int = 12_000, min_score: float = 0.0, max_prompt_tokens: int = 8000, input_price: float = 0.75, output_price: float = 3.75) -> DataFrame:
-    """One row a question: queryId, answer, reason, cited, inputTokens, outputTokens, costUsd; refused questions have no usage."""
-    context = select_context(results, max_chunks, max_chars, min_score)
-    answered = fake_answers(prompts(questions, context).where(F.col("promptTokens") <= max_prompt_tokens))
-    priced = answered.withColumns({"cited": generation.cited_ids(F.col("answer")), "costUsd": generation.cost_usd(F.col("inputTokens"), F.col("outputTokens"), input_price, output_price)})
-    judged = rejections(questions, results, context).join(priced.select("queryId", "answer", "cited", "inputTokens", "outputTokens", "costUsd"), "queryId", "left")
-    reason = F.coalesce("reason", F.when(F.col("answer").isNull(), "prompt_too_long"))
-    return judged.withColumn("reason", reason).withColumn("answer", F.coalesce("answer", F.lit(NO_ANSWER)))
+    """One row a question: queryId, answer, reason, cited, inputTokens, outputTokens, costUsd; refused questions have no usage.
+
+    The results are read once: a query's context, and whether it has any, come out of the same group, and one join brings them to
+    the questions.
+    """
+    inside = F.col("text").isNotNull()
+    grouped = placed_results(results, max_chunks, max_chars, min_score).groupBy("queryId").agg(F.lit(True).alias("found"), F.count_if(inside).alias("chosen"), _context_text(inside).alias("context"))
+    asked = questions.join(grouped, "queryId", "left").withColumn("context", F.when(F.col("chosen") > 0, F.col("context")))
+    reason = F.when(F.col("found").isNull(), "no_results").when(F.col("chosen") == 0, "below_threshold").when(F.col("promptTokens") > max_prompt_tokens, "prompt_too_long")
+    judged = fake_answers(_with_prompt(asked).withColumn("reason", reason))
+    fine = lambda c: F.when(F.col("reason").isNull(), c)
+    priced = judged.withColumns({"cited": fine(generation.cited_ids(F.col("answer"))), "costUsd": fine(generation.cost_usd(F.col("inputTokens"), F.col("outputTokens"), input_price, output_price)), "inputTokens": fine(F.col("inputTokens")), "outputTokens": fine(F.col("outputTokens"))})
+    return priced.withColumn("answer", F.coalesce(fine(F.col("answer")), F.lit(NO_ANSWER))).drop("found", "chosen", "userPrompt", "promptTokens")

@@ -31,9 +31,13 @@ def embedding_inputs(chunks: DataFrame, most_tokens: int = 8000, heading_context
     """chunks with input, inputHash, tokenCount, truncated; input is null where nothing is left to embed."""
     crumb = text.breadcrumb(F.col("headingPath"))
     raw = F.when(crumb != "", F.concat(crumb, F.lit("\n\n"), "text")).otherwise(F.col("text")) if heading_context else F.col("text")
-    df = chunks.withColumn("cut", text.truncate_words(text.normalise_input(raw), most_tokens))
-    filled = F.nullif(F.col("cut.text"), F.lit(""))
-    return df.withColumns({"input": filled, "truncated": F.col("cut.truncated"), "inputHash": ids.content_hash(filled), "tokenCount": text.token_estimate(filled)}).drop("cut")
+
+    def described(cut: Column) -> Column:
+        filled = F.nullif(cut["text"], F.lit(""))
+        return F.struct(filled.alias("input"), cut["truncated"].alias("truncated"), ids.content_hash(filled).alias("inputHash"), text.token_estimate(filled).alias("tokenCount"))
+
+    made = chunks.withColumn("made", text.let(text.truncate_words(text.normalise_input(raw), most_tokens), described))
+    return made.withColumns({c: F.col(f"made.{c}") for c in ("input", "truncated", "inputHash", "tokenCount")}).drop("made")
 
 
 def with_embedding_ids(inputs: DataFrame, provider: str, model: str, version: str, dimensions: int) -> DataFrame:
@@ -50,8 +54,8 @@ def run_status(candidates: DataFrame, existing: DataFrame, chunk_types: list[str
     order = [*(order or ["documentId", "sequenceIndex", "chunkId"]), "embeddingId"]
     known = existing.select("embeddingId").distinct().withColumn("known", F.lit(True))
     df = candidates.join(known, "embeddingId", "left")
-    status = F.when(~F.col("chunkType").isin(chunk_types), "skippedByType").when(F.col("input").isNull(), "skippedEmpty").when(F.col("known"), "alreadyEmbedded").otherwise("pending")
-    df = df.withColumn("status", status).drop("known")
+    status = F.when(~F.col("chunkType").isin(chunk_types), "skippedByType").when(F.col("input").isNull(), "skippedEmpty").when(F.col("known") | (F.col("repeated") if "repeated" in df.columns else F.lit(False)), "alreadyEmbedded").otherwise("pending")
+    df = df.withColumn("status", status).drop("known", "repeated")
     if cap <= 0:
         return df
     first = df.where("status = 'pending'").select(*order).orderBy(*order).limit(cap).groupBy(*order).agg(F.count("*").alias("within"))
@@ -65,10 +69,22 @@ def run_status(candidates: DataFrame, existing: DataFrame, chunk_types: list[str
     return inside.withColumn("status", kept).select(*df.columns).unionByName(outside.select(*df.columns))
 
 
+def once(candidates: DataFrame, chunk_types: list[str]) -> DataFrame:
+    """candidates with repeated: true for all but one row of each embeddingId among those of the chunk types with an input."""
+    may = F.coalesce(F.col("chunkType").isin(chunk_types) & F.col("input").isNotNull(), F.lit(False))
+    place = F.row_number().over(Window.partitionBy("embeddingId").orderBy(may.desc()))
+    return candidates.withColumn("repeated", may & (place > 1))
+
+
+def counts(status: Column) -> list[Column]:
+    """Counts of a run's statuses; scanned is their sum."""
+    kinds = ["skippedByType", "skippedEmpty", "alreadyEmbedded", "skippedByCap", "pending"]
+    return [F.count(F.lit(1)).alias("scanned"), *[F.count_if(status == k).alias("attempted" if k == "pending" else k) for k in kinds]]
+
+
 def accounting(statuses: DataFrame) -> DataFrame:
     """One row of counts; scanned is their sum."""
-    kinds = ["skippedByType", "skippedEmpty", "alreadyEmbedded", "skippedByCap", "pending"]
-    return statuses.agg(F.count("*").alias("scanned"), *[F.count_if(F.col("status") == k).alias("attempted" if k == "pending" else k) for k in kinds])
+    return statuses.agg(*counts(F.col("status")))
 
 
 def batch_numbers(pending: DataFrame, key: list[str], order: list[str], most_count: int, most_tokens: int) -> DataFrame:

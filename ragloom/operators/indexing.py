@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragloom.functions import ids, text
@@ -32,10 +32,20 @@ def index_status(records: DataFrame, chunks: DataFrame, reason: Column) -> DataF
     return joined.withColumn("status", status).drop("found")
 
 
+def counts(status: Column, batch_size: int = 200) -> list[Column]:
+    """Counts of an indexing run's statuses."""
+    done = F.count_if(status == "indexed")
+    return [F.count(F.lit(1)).alias("scanned"), *[F.count_if(status == k).alias(k) for k in ("skippedFakeProvider", "skippedByProvenanceMismatch")], done.alias("attempted"), F.ceil(done / batch_size).alias("batches")]
+
+
 def accounting(statuses: DataFrame, batch_size: int = 200) -> DataFrame:
     """One row of counts."""
-    done = F.count_if(F.col("status") == "indexed")
-    return statuses.agg(F.count("*").alias("scanned"), F.count_if(F.col("status") == "skippedFakeProvider").alias("skippedFakeProvider"), F.count_if(F.col("status") == "skippedByProvenanceMismatch").alias("skippedByProvenanceMismatch"), done.alias("attempted"), F.ceil(done / batch_size).alias("batches"))
+    return statuses.agg(*counts(F.col("status"), batch_size))
+
+
+def no_points(spark: SparkSession) -> DataFrame:
+    """No rows, with the columns of a collection's points."""
+    return spark.createDataFrame([], "id string, vector array<double>, norm double, chunkId string, documentId string, parentChunkId string, chunkType string, contentHash string, headingPath string, text string, parentText string, domain string, embeddingId string, documentTitle string, sourcePath string, provider string, model string, modelVersion string, dimensions int")
 
 
 def points(indexed: DataFrame, domain: str) -> DataFrame:

@@ -20,6 +20,8 @@ _REFERENCE = re.compile(r" {0,3}\[[^\]]+\]:[ \t]*\S+")
 _LINK = re.compile(r"(?<!!)\[[^\]]*\]\(\s*<?([^)\s>]+)>?[^)]*\)")
 _NOTE = re.compile(r"\s*(?:\[!(?:note|warning|important|caution|tip)\]|\*{0,2}(?:note|warning|important|caution|tip)\b)", re.IGNORECASE)
 _SLUG = re.compile(r"[^a-z0-9]+")
+#: Quotes and lists nested deeper are not looked into.
+MOST_NESTED = 100
 
 
 def anchor_of(text: str) -> str:
@@ -167,14 +169,17 @@ def section_tree(body: str) -> list[dict]:
 
 
 def outline(body: str) -> dict:
-    """Headings (with parents), first level-1 heading, fenced code and links, nested blocks included."""
+    """Headings (with parents), first level-1 heading, fenced code and links, nested blocks included.
+
+    Blocks nested more than MOST_NESTED deep count as text.
+    """
     headings: list[dict] = []
     codes: list[dict] = []
     links: list[str] = []
     stack: list[dict] = []
 
-    def walk(lines: list[str]) -> None:
-        for block in blocks(lines):
+    def walk(lines: list[str], depth: int = 0) -> None:
+        for block in blocks(lines) if depth <= MOST_NESTED else ():
             kind = block["kind"]
             if kind == "heading":
                 while stack and stack[-1]["level"] >= block["level"]:
@@ -185,10 +190,10 @@ def outline(body: str) -> dict:
             elif kind == "fence":
                 codes.append({"language": block["info"].split(" ")[0], "content": block["content"], "position": len(codes)})
             elif kind == "quote":
-                walk(block["inner"])
+                walk(block["inner"], depth + 1)
             elif kind == "list":
                 for _, _, inner in block["items"]:
-                    walk(inner)
+                    walk(inner, depth + 1)
             if kind in ("heading", "paragraph"):
                 links.extend(_LINK.findall(block["text"]))
             elif kind == "table":
@@ -204,7 +209,7 @@ SECTIONS = (
     "documentId string, sectionIdx int, parentIdx int, level int, heading string, headingPath array<struct<level:int,text:string,anchor:string>>, ancestors array<int>, subtree int, "
     "blocks array<struct<type:string,text:string,language:string,items:array<string>,header:string,rows:array<string>>>"
 )
-OUTLINES = "documentId string, headings array<struct<idx:int,parentIdx:int,level:int,text:string,anchor:string>>, firstH1 string, codeBlocks array<struct<language:string,content:string,position:int>>, links array<string>"
+OUTLINES = "headings array<struct<idx:int,parentIdx:int,level:int,text:string,anchor:string>>, firstH1 string, codeBlocks array<struct<language:string,content:string,position:int>>, links array<string>"
 
 
 def sections(documents: DataFrame) -> DataFrame:
@@ -223,16 +228,26 @@ def sections(documents: DataFrame) -> DataFrame:
 
 
 def outlines(documents: DataFrame) -> DataFrame:
-    """One row a document of (documentId, body) with headings, code blocks and links."""
+    """documents (with a column body) with headings, firstH1, codeBlocks, links and outlineError. Their own columns stay.
+
+    A document that cannot be parsed has an error and no outline; the others are not touched by it.
+    """
     heading = pa.struct([("idx", pa.int32()), ("parentIdx", pa.int32()), *list(_SEGMENT)])
     code = pa.struct([("language", pa.string()), ("content", pa.string()), ("position", pa.int32())])
+    keep = [c for c in documents.columns if c not in ("headings", "firstH1", "codeBlocks", "links", "outlineError")]
+    schema = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in keep)
+    at = keep.index("body")
+
+    def one(body: str | None) -> tuple[dict, str | None]:
+        try:
+            return outline(body or ""), None
+        except Exception as error:  # noqa: BLE001 - whatever a document does to the parser fails that document only
+            return {"headings": [], "first_h1": None, "codeBlocks": [], "links": []}, f"{type(error).__name__}: {error}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [outline(body or "") for body in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([x["headings"] for x in found], pa.list_(heading)), pa.array([x["first_h1"] for x in found], pa.string()), pa.array([x["codeBlocks"] for x in found], pa.list_(code)), pa.array([x["links"] for x in found], pa.list_(pa.string()))],
-                names=["documentId", "headings", "firstH1", "codeBlocks", "links"],
-            )
+            found = [one(body) for body in batch.column(at).to_pylist()]
+            made = [pa.array([x["headings"] for x, _ in found], pa.list_(heading)), pa.array([x["first_h1"] for x, _ in found], pa.string()), pa.array([x["codeBlocks"] for x, _ in found], pa.list_(code)), pa.array([x["links"] for x, _ in found], pa.list_(pa.string())), pa.array([e for _, e in found], pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*keep, "headings", "firstH1", "codeBlocks", "links", "outlineError"])
 
-    return documents.select("documentId", F.col("body").cast("string")).mapInArrow(run, OUTLINES)
+    return documents.select(*keep).mapInArrow(run, f"{schema}, {OUTLINES}, outlineError string")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -13,8 +11,8 @@ from pyspark.sql import types as T
 from ragloom.functions import text as texts
 from ragloom.functions.vectors import cosine, norm
 
-#: Queries that are scored together; more queries are taken block by block.
-QUERY_BLOCK = 4096
+#: Bytes of the vectors of one block, of points or of queries.
+BLOCK_BYTES = 16 << 20
 #: Payload columns that a search may filter by.
 FILTERS = ("domain", "documentId", "chunkType", "sourcePath", "label")
 
@@ -72,63 +70,63 @@ def top_k(points: DataFrame, query: list[float], k: int, where: Column | None =
 def batch_top_k(points: DataFrame, queries: DataFrame, k: int, threshold: float | None = None, key: str = "id") -> DataFrame:
     """(queryId, key, score, rank) of the k best points of every query (queryId, queryVector).
 
-    Queries go to the points in blocks of at most QUERY_BLOCK. Each task multiplies its vectors with the block's matrix and keeps k
-    points a query, so only these are shuffled and ranked. Scores are rounded to 12 places, so that equal vectors tie (for the
-    smaller key) however they are batched. Vectors of another size than the query's are left out; a zero vector scores 0.
+    A blocked product of two tables: points and queries are both dealt to blocks of bounded bytes, each block of the one meets each of
+    the other in a cell of its own (points travel once a query block, queries once a point block), a cell is one matrix product that
+    keeps k points a query, and only these are merged. Neither side is collected or broadcast. Scores are rounded to 12 places, so that
+    equal vectors tie (for the smaller key) however they are dealt. Vectors of another size than the query's never meet it; rows
+    without key or queryId, and vectors with nulls, are left out; a zero vector scores 0.
     """
+    left = _usable(points, key, "vector", "point")
+    right = _usable(queries, "queryId", "queryVector", "query")
+    rows, columns = _blocks(left, "point"), _blocks(right, "query")
+    block_of = lambda name, blocks: F.pmod(F.xxhash64(name), F.lit(blocks)).cast("int")
+    left = left.withColumns({"row": block_of(key, rows), "column": F.explode(F.sequence(F.lit(0), F.lit(columns - 1)))})
+    right = right.withColumns({"column": block_of("queryId", columns), "row": F.explode(F.sequence(F.lit(0), F.lit(rows - 1)))})
     schema = T.StructType([queries.schema["queryId"], points.schema[key], T.StructField("score", T.DoubleType())])
-    out = points.sparkSession.createDataFrame([], schema)
-    count = queries.count()
-    blocks = max(1, -(-count // (QUERY_BLOCK // 2))) if count > QUERY_BLOCK else 1
-    block_of = F.pmod(F.xxhash64("queryId"), F.lit(blocks))
-    for b in range(blocks):
-        rows = (queries if blocks == 1 else queries.where(block_of == b)).select("queryId", "queryVector").collect()
-        for size in sorted({len(r["queryVector"]) for r in rows}):
-            block = [r for r in rows if len(r["queryVector"]) == size]
-            out = out.unionByName(_nearest(points, key, [r["queryId"] for r in block], np.array([r["queryVector"] for r in block], np.float64), k, threshold, schema))
+    cells = left.groupBy("size", "row", "column").cogroup(right.groupBy("size", "row", "column")).applyInPandas(lambda p, q: nearest(p, q, k, threshold, key)[schema.fieldNames()], schema)
+    return ranked(cells, k, key)
+
+
+def ranked(candidates: DataFrame, k: int, key: str = "id") -> DataFrame:
+    """The k best of each query's candidates with rank. Spark cuts each task's rows to k a query before they are shuffled."""
     rank = F.row_number().over(Window.partitionBy("queryId").orderBy(F.desc("score"), key))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
-def _nearest(points: DataFrame, key: str, names: list, wanted: np.ndarray, k: int, threshold: float | None, schema: T.StructType) -> DataFrame:
-    """The k nearest points of each query within each task."""
-    size = wanted.shape[1]
-    length = np.sqrt((wanted * wanted).sum(axis=1, keepdims=True))
-    given = points.sparkSession.sparkContext.broadcast(np.divide(wanted, length, out=np.zeros_like(wanted), where=length > 0))  # at most QUERY_BLOCK rows
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        floor, held, size = np.full(len(names), -np.inf if threshold is None else threshold), [], 0
-
-        def best() -> pd.DataFrame:
-            found = pd.concat(held).sort_values(["q", "score", key], ascending=[True, False, True], kind="stable").groupby("q").head(k)
-            full = found.groupby("q")["score"].agg(["size", "min"])
-            full = full[full["size"] == k]
-            floor[full.index] = np.maximum(floor[full.index], full["min"])
-            return found
-
-        for frame in frames:
-            if not len(frame):
-                continue
-            x, keys = np.stack(frame["vector"].to_numpy()).astype(np.float64), frame[key].to_numpy()
-            norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
-            x = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
-            for at in range(0, len(names), 256):
-                scores = np.round(x @ given.value[at : at + 256].T, 12)
-                least = floor[at : at + 256]
-                if len(x) > k:
-                    least = np.maximum(least, np.partition(scores, len(x) - k, axis=0)[len(x) - k])
-                row, q = np.nonzero(scores >= least)
-                held.append(pd.DataFrame({"q": q + at, key: keys[row], "score": scores[row, q]}))
-                size += len(row)
-            if size > 8 * k * len(names):
-                held = [best()]
-                size = len(held[0])
-        if size:
-            found = best()
-            yield found.assign(queryId=[names[q] for q in found["q"]])[schema.fieldNames()]
-
-    usable = points.where((F.size("vector") == size) & F.col(key).isNotNull()).select(key, F.col("vector").cast("array<double>").alias("vector"))
-    return usable.where(~F.exists("vector", lambda v: v.isNull())).mapInPandas(run, schema)
+    return candidates.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _usable(df: DataFrame, key: str, vector: str, name: str, more: list[str] | None = None) -> DataFrame:
+    """(key, name, more columns, size) with the vector as doubles, of rows that have a key and a whole vector."""
+    made = df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(key, F.col(vector).cast("array<double>").alias(name), *(more or []))
+    return made.where(~F.exists(name, lambda v: v.isNull())).withColumn("size", F.size(name))
+
+
+def _blocks(df: DataFrame, name: str) -> int:
+    """Number of blocks of about BLOCK_BYTES that hold the table's vectors."""
+    numbers = df.agg(F.coalesce(F.sum(F.col("size").cast("long")), F.lit(0))).first()[0]
+    return max(1, -(-8 * numbers // BLOCK_BYTES))
+
+
+def nearest(points: pd.DataFrame, queries: pd.DataFrame, k: int, threshold: float | None, key: str) -> pd.DataFrame:
+    """(queryId, key, score) of the k best points of each query within one cell, by matrix products of at most 256 queries."""
+    found = []
+    if len(points) and len(queries):
+        points = points.sort_values(key, kind="stable")  # so that ties go to the smaller key
+        x, keys = _unit_rows(points["point"]), points[key].to_numpy()
+        for at in range(0, len(queries), 256):
+            part = queries.iloc[at : at + 256]
+            scores = np.round(_unit_rows(part["query"]) @ x.T, 12)
+            least = np.partition(scores, len(x) - k, axis=1)[:, len(x) - k] if len(x) > k else np.full(len(part), -np.inf)
+            q, row = np.nonzero(scores >= (least if threshold is None else np.maximum(least, threshold))[:, None])
+            best = pd.DataFrame({"q": q, key: keys[row], "score": scores[q, row]}).sort_values(["q", "score"], ascending=[True, False], kind="stable").groupby("q").head(k)
+            found.append(best.assign(queryId=part["queryId"].to_numpy()[best["q"].to_numpy()]))
+    if not found:
+        return pd.DataFrame({"queryId": queries["queryId"].iloc[:0], key: points[key].iloc[:0], "score": np.zeros(0)})
+    return pd.concat(found)
+
+
+def _unit_rows(vectors: pd.Series) -> np.ndarray:
+    x = np.stack(vectors.to_numpy()).astype(np.float64)
+    length = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return np.divide(x, length, out=np.zeros_like(x), where=length > 0)
 
 
 def results(matches: DataFrame, expand_parents: bool = True) -> DataFrame:

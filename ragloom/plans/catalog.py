@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragloom.functions import folds, generation, ids, text, vectors
-from ragloom.operators import answering, chunking, embedding, indexing, markdown, retrieval
-from ragloom.sources import records, store, zipdocs
+from ragloom.operators import ann, answering, chunking, embedding, indexing, markdown, narrow, retrieval
+from ragloom.sources import records, scratch, store, zipdocs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -233,11 +233,6 @@ def section_stats(load):
     return found.join(md.select("documentId", "doc_id"), "documentId").select("doc_id", "sections", "lines")
 
 
-@query()
-def chunk_documents(load):
-    return chunking.chunks(markdown.sections(_markdown(load("documents")))).drop("headingPath")
-
-
 #: A part is a heading of 3 tokens and up to three lines; over 500 tokens it is split, under 100 merged with its neighbours.
 _STATS = f"""with recursive {_LINES}, q as (select doc_id, ln // 3 as k, list(len order by ln) as ls, cast(sum(len) as integer) + 3 as total from l group by doc_id, ln // 3),
     b as (select *, 3 + ls[1] + coalesce(ls[2], 0) > 500 and len(ls) > 1 as j2, case when 3 + ls[1] + coalesce(ls[2], 0) > 500 then 3 + coalesce(ls[2], 0) else 3 + ls[1] + coalesce(ls[2], 0) end + coalesce(ls[3], 0) > 500 and len(ls) > 2 as j3 from q),
@@ -247,6 +242,37 @@ _STATS = f"""with recursive {_LINES}, q as (select doc_id, ln // 3 as k, list(le
     from b join r using (doc_id, k) join documents using (doc_id) group by doc_id, source"""
 
 
+#: Every chunk of a document with a heading of level 1 and parts of up to three paragraphs: split, merged, numbered and linked.
+_CHUNKS = f"""with recursive {_LINES}, d as (select doc_id, sha256({_PATH}) as documentId, concat('Doc ', doc_id) as title, concat('# Doc ', doc_id) as head, concat('doc-', doc_id) as slug from documents),
+    q as (select doc_id, ln // 3 as k, list(len order by ln) as ls, list(line order by ln) as ts, cast(sum(len) as bigint) + 3 as total, concat('## Part ', (ln // 3) % 2) as head from l group by doc_id, ln // 3),
+    b as (select *, total > 500 as over, 3 + ls[1] + coalesce(ls[2], 0) > 500 and len(ls) > 1 as j2, case when 3 + ls[1] + coalesce(ls[2], 0) > 500 then 3 + coalesce(ls[2], 0) else 3 + ls[1] + coalesce(ls[2], 0) end + coalesce(ls[3], 0) > 500 and len(ls) > 2 as j3 from q),
+    r as (select doc_id, k, total < 100 as run, total as size, 0 as merged from b where k = 0
+        union all select b.doc_id, b.k, b.total < 100, case when b.total < 100 and r.run and r.size + b.total <= 500 then r.size + b.total else b.total end, case when b.total < 100 and r.run and r.size + b.total <= 500 then 1 else 0 end from r join b on b.doc_id = r.doc_id and b.k = r.k + 1),
+    g as (select b.*, sum(1 - r.merged) over (partition by b.doc_id order by b.k) as g from b join r using (doc_id, k)),
+    u as (select doc_id, k, g, over, head, total, unnest(ls) as len, unnest(ts) as line, unnest(case when over then [0, cast(j2 as integer), cast(j2 as integer) + cast(j3 as integer)][1:len(ls)] else [0, 0, 0][1:len(ls)] end) as bin, generate_subscripts(ls, 1) as pos from g),
+    pc as (select doc_id, k, g, bin, over, concat(head, chr(10), chr(10), string_agg(line, concat(chr(10), chr(10)) order by pos)) as text, 3 + sum(len) as length, over and count(*) = 1 and max(len) > 500 as exceeds from u group by doc_id, k, g, bin, over, head),
+    c0 as (select doc_id, min(k) + 1 as sec, bin as seq, string_agg(text, concat(chr(10), chr(10)) order by k) as text, cast(sum(length) as bigint) as length, bool_or(over) as split, count(*) > 1 as merged, bool_or(exceeds) as exceeds, concat('part-', min(k) % 2) as part from pc group by doc_id, g, bin
+        union all select doc_id, 0, 0, head, cast(ceil(length(head) / 4.0) as bigint), false, false, false, '' from d),
+    c1 as (select c0.*, d.documentId, d.title, d.slug, concat(d.slug, case when part = '' then '' else '/' end, part) as path, row_number() over (partition by doc_id order by sec, seq) - 1 as ord from c0 join d using (doc_id)),
+    c2 as (select *, sum(case when seq = 0 then 1 else 0 end) over (partition by doc_id, path order by ord) - 1 as occ from c1),
+    c3 as (select *, sha256(concat_ws('::', documentId, 'child', path, cast(occ as varchar), cast(seq as varchar))) as id, case when split and seq > 0 then concat('_(continued from "', title, ' › Part ', right(part, 1), '")_', chr(10), chr(10), text) else text end as full_text from c2),
+    p0 as (select doc_id, k + 1 as sec, concat(head, chr(10), chr(10), array_to_string(ts, concat(chr(10), chr(10)))) as text, concat('/part-', k % 2) as part from q),
+    p1 as (select * from p0 union all select p0.doc_id, 0, concat(any_value(d.head), chr(10), chr(10), string_agg(text, concat(chr(10), chr(10)) order by sec)), '' from p0 join d using (doc_id) group by p0.doc_id),
+    p2 as (select p1.*, d.documentId, concat(d.slug, part) as path, row_number() over (partition by doc_id, part order by sec) - 1 as occ from p1 join d using (doc_id)),
+    p3 as (select *, sha256(concat_ws('::', documentId, 'parent', path, cast(occ as varchar), '0')) as id from p2)
+    select c.doc_id, c.id as "chunkId", 'child' as "chunkType", cast(c.ord as integer) as "sequenceIndex", cast(c.seq as integer) as "localSequenceIndex", c.length, c.split as "wasSplit", c.merged as "wasMerged", c.exceeds as "exceedsMaxSize", sha256(c.text) as "contentHash", sha256(c.full_text) as "textHash", p.id as "parentChunkId", '' as "childChunkIds",
+        lag(c.id) over w as "previousChunkId", lead(c.id) over w as "nextChunkId" from c3 c join p3 p using (doc_id, sec) window w as (partition by c.doc_id order by c.ord)
+    union all select p.doc_id, p.id, 'parent', -1, 0, cast(ceil(length(p.text) / 4.0) as bigint), false, false, ceil(length(p.text) / 4.0) > 500, sha256(p.text), sha256(p.text), null, coalesce((select string_agg(c.id, ',' order by c.ord) from c3 c where c.doc_id = p.doc_id and c.sec = p.sec), ''), null, null from p3 p"""
+
+
+@query(_CHUNKS)
+def chunk_documents(load):
+    made = narrow.document_chunks(_markdown(load("documents")), keep=("doc_id",))
+    return made.select(
+        "doc_id", "chunkId", "chunkType", "sequenceIndex", "localSequenceIndex", "length", "wasSplit", "wasMerged", "exceedsMaxSize", "contentHash", F.sha2("text", 256).alias("textHash"), "parentChunkId", F.array_join("childChunkIds", ",").alias("childChunkIds"), "previousChunkId", "nextChunkId"
+    )
+
+
 @query(_STATS)
 def chunk_stats(load):
     found = markdown.sections(_markdown(load("documents")))
@@ -392,6 +418,64 @@ def batch_topk(load):
     return retrieval.batch_top_k(_points(load), asked, 10).withColumn("score", F.round("score", 6))
 
 
+def _index(load) -> ann.Index:
+    """An index of all points in the shared folder, with as many lists as the root of their number."""
+    points = _points(load)
+    return ann.build(points.sparkSession, points, scratch.new_folder(points.sparkSession, "lists"))
+
+
+def _asked(load) -> DataFrame:
+    return load("embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("queryId"), F.col("embedding").alias("queryVector"))
+
+
+@query()
+def indexed_topk(load):
+    """The ten nearest of every hundredth vector in the lists probed; how many of the exact ten are found is measured in the tests."""
+    return _index(load).search(_asked(load), 10).withColumn("score", F.round("score", 6))
+
+
+@query(ORACLE_SQL["batch_topk"])
+def indexed_topk_exact(load):
+    """The same index searched in full: every point is in exactly one list."""
+    return _index(load).search(_asked(load), 10, exact=True).withColumn("score", F.round("score", 6))
+
+
+def _collection(load, name: str) -> tuple[store.Collections, DataFrame]:
+    """A stored collection of all vectors (its column id), and the same as a table."""
+    own = load("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+    made = store.Collections(own.sparkSession, scratch.new_folder(own.sparkSession, "collections"))
+    made.ensure(name, 64)
+    made.upsert(name, own.withColumn("seq", F.lit(0)))
+    return made, own
+
+
+_STORED = "select vec_id as id, case when vec_id % 3 = 0 then label + 100 when vec_id % 2 = 0 then label + 10 else label end as label from embeddings where not (vec_id % 3 <> 0 and vec_id % 2 <> 0 and coalesce(label, 0) = 3) union all select vec_id + 1000000, label from embeddings where vec_id % 50 = 0"
+
+
+@query(_STORED)
+def stored_merge(load):
+    """Upserts, new points and a delete over a stored collection, merged when read."""
+    made, own = _collection(load, "points")
+    made.upsert("points", own.where("id % 2 = 0").selectExpr("id", "vector", "label + 10 as label", "1 as seq"))
+    made.upsert("points", own.where("id % 3 = 0").selectExpr("id", "vector", "label + 100 as label", "1 as seq").unionByName(own.where("id % 3 = 0").selectExpr("id", "vector", "-1L as label", "0 as seq")))
+    made.delete("points", retrieval.payload_filter(label=3))
+    made.upsert("points", own.where("id % 50 = 0").selectExpr("id + 1000000 as id", "vector", "label", "3 as seq"))
+    return made.read("points").select("id", "label")
+
+
+@query(_STORED)
+def stored_compaction(load):
+    """The same with a compaction between and after."""
+    made, own = _collection(load, "points")
+    made.upsert("points", own.where("id % 2 = 0").selectExpr("id", "vector", "label + 10 as label", "1 as seq"))
+    made.compact("points")
+    made.upsert("points", own.where("id % 3 = 0").selectExpr("id", "vector", "label + 100 as label", "1 as seq"))
+    made.delete("points", retrieval.payload_filter(label=3))
+    made.compact("points")
+    made.upsert("points", own.where("id % 50 = 0").selectExpr("id + 1000000 as id", "vector", "label", "3 as seq"))
+    return made.read("points").select("id", "label")
+
+
 def _queries(load) -> int:
     """Number of queries that share the documents out as results: every benchmark item, and more as documents grow."""
     return max(load("benchmark").count(), load("documents").count() // 25, 1)
@@ -542,7 +626,7 @@ def rag_end_to_end(load):
     inputs = embedding.with_embedding_ids(embedding.embedding_inputs(chunks).where("input is not null"), *_MODEL)
     made = records.embedding_records(embedding.fake_embedded(inputs, _MODEL[3]), *_MODEL)
     status = indexing.index_status(made, chunks, indexing.rejection(*_MODEL, allow_fake=True)).where("status = 'indexed'")
-    points = indexing.points(status, "docs")
+    points = scratch.written(indexing.points(status, "docs"), "points")  # as Engine.index: stored before they are searched
     questions = load("benchmark").select(F.col("item_id").alias("queryId"), F.col("text").alias("question"))
     asked = questions.select("queryId", vectors.fake_embedding(F.col("question"), _MODEL[3]).alias("queryVector"))
     best = retrieval.batch_top_k(points.select("id", "vector"), asked, 10)
@@ -584,3 +668,42 @@ def failure_classes(load):
     message = F.when(k == 3, "request timed out").otherwise("refused")
     kind = generation.provider_error_kind(status, message)
     return load("conversations").select("conv_id", "turn", kind.alias("kind"), generation.failure_class(kind, message, F.lit(False)).alias("class"))
+
+
+def _archives(load) -> str:
+    """The pages as files of ZIP archives in the shared folder: two in three are Markdown, and each lies in one of 13 folders."""
+    k = F.col("page_id")
+    name = F.concat(F.lit("p"), (k % 13).cast("string"), F.lit("/"), k.cast("string"), F.when(k % 3 == 0, ".txt").otherwise(".md"))
+    pages = load("pages").select(name.alias("sourcePath"), F.coalesce("html", F.lit("")).cast("binary").alias("content"))
+    folder = scratch.new_folder(pages.sparkSession, "archives")
+    zipdocs.write_archives(pages, folder, 4 << 20)
+    return folder
+
+
+_PAGES = "(select page_id, coalesce(html, '') as html, concat('p', page_id % 13, '/', page_id, case when page_id % 3 = 0 then '.txt' else '.md' end) as path from pages)"
+
+
+@query(f"select path, cast(strlen(html) as bigint) as bytes, sha256(html) as hash from {_PAGES} where path like '%.md'")
+def zip_scan(load):
+    """The Markdown files of archives that are read in parts of a quarter of a megabyte."""
+    pages = load("pages")
+    found = zipdocs.scan_archives(pages.sparkSession, _archives(load), max_entries=2**31 - 1, max_bytes=2**62, partition_bytes=1 << 18)
+    return found.select(F.col("sourcePath").alias("path"), F.col("uncompressedSize").alias("bytes"), F.sha2("content", 256).alias("hash"))
+
+
+@query(f"select count(*) as entries, count_if(path like '%.md') as matched, cast(sum(strlen(html)) as bigint) as bytes from {_PAGES}")
+def zip_listing(load):
+    """What the central directories say, without a byte of content."""
+    pages = load("pages")
+    listed = zipdocs.list_archives(pages.sparkSession, _archives(load), max_entries=2**31 - 1, max_bytes=2**62)
+    return listed.agg(F.count("*").alias("entries"), F.count_if(text.matches_glob(F.col("sourcePath"), "**/*.md")).alias("matched"), F.sum("uncompressedSize").alias("bytes"))
+
+
+@query("select doc_id from documents where doc_id % 5 <> 0")
+def resume_from_records(load):
+    """What the stored records of a fifth of the documents leave to embed, by the id index beside them."""
+    docs = load("documents").withColumn("embeddingId", _embedding_id())
+    folder = scratch.new_folder(docs.sparkSession, "records")
+    done = docs.where("doc_id % 5 = 0").select("embeddingId", F.lit("c").alias("chunkId"), F.lit("d").alias("documentId"), vectors.fake_embedding(F.col("text"), _MODEL[3]).alias("vector"), F.lit("h").alias("contentHash"), F.lit("i").alias("inputHash"), F.lit(1).alias("tokenCount"), F.lit(False).alias("truncated"))
+    records.append_records(records.embedding_records(done, *_MODEL), folder)
+    return embedding.unembedded(docs, records.existing_ids(docs.sparkSession, folder, *_MODEL)).select("doc_id")

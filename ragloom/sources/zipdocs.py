@@ -1,115 +1,107 @@
-"""ZIP archives of documents: a guarded scan whose path filter is applied before anything is decompressed."""
+"""ZIP archives to documents: the guarded scan, entries that replace others, front matter and structure."""
 
 from __future__ import annotations
 
-import datetime
-import io
 import json
 import re
+import uuid
 import zipfile
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 import yaml
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ragloom.functions import ids, text
 from ragloom.operators import markdown
+from ragloom.sources import zipsource
+from ragloom.sources.zipsource import ArchiveError, check_entry_name, is_safe_name  # noqa: F401 - the archive's rules
 
-_ENTRIES = "archive string, sourcePath string, content binary, uncompressedSize long, compressedSize long, lastModified timestamp"
-#: Bytes of entries that one batch holds at most.
-_BATCH_BYTES = 8 << 20
+def _load(spark: SparkSession, path: str, **options) -> DataFrame:
+    zipsource.register(spark)
+    return spark.read.format("zipdocs").options(path=path, **options).load()
 
 
-class ArchiveError(ValueError):
-    """The archive is corrupt, too large or has unsafe names; none of its entries is used."""
+def list_archives(spark: SparkSession, path: str, max_entries: int = 10_000, max_bytes: int = 524_288_000) -> DataFrame:
+    """Every entry of the archives below ``path``, directories too, from the central directories alone; content is null."""
+    return _load(spark, path, content="false", maxEntries=max_entries, maxBytes=max_bytes)
 
 
-def is_safe_name(name: str) -> bool:
-    """False for absolute names, NUL bytes and names that climb out of the archive's root at any step."""
-    plain, depth = name.replace("\\", "/"), 0
-    for part in plain.split("/"):
-        depth += {"": 0, ".": 0, "..": -1}.get(part, 1)
-        if depth < 0:
-            return False
-    return not plain.startswith("/") and "\0" not in name
+def write_archives(files: DataFrame, folder: str, archive_bytes: int = 256 << 20) -> None:
+    """Files (sourcePath, content) as ZIP archives of about so many bytes in a folder; each task writes its own.
 
+    A task that is run again writes its files once more: ``latest_entries`` takes each path once.
+    """
 
-def check_entry_name(name: str) -> None:
-    if not is_safe_name(name):
-        raise ArchiveError(f"unsafe entry name: {name!r}")
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, inner = zipsource.filesystem(folder)
+        system.create_dir(inner, recursive=True)
+        made, held, archive, out, begun = [], 0, None, None, ""
 
-def archive_totals(spark: SparkSession, path: str) -> DataFrame:
-    """(archive, totalEntries) of the archives below ``path``: directories and entries that no glob matches count."""
+        def finish() -> None:
+            archive.close()
+            out.close()
+            system.move(begun, made[-1])  # only a whole archive has an archive's name
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = [len(_opened(a, c.as_py()).infolist()) for a, c in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], names=["archive", "totalEntries"])
+            for name, content in zip(batch.column(0), batch.column(1), strict=True):
+                if archive is None or held > archive_bytes:
+                    if archive is not None:
+                        finish()
+                    made.append(f"{inner}/{uuid.uuid4().hex}.zip")
+                    begun, held = made[-1] + ".part", 0
+                    out = system.open_output_stream(begun)
+                    archive = zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED)
+                archive.writestr(name.as_py(), content.as_py())
+                held += len(content.as_py())
+        if archive is not None:
+            finish()
+        yield pa.RecordBatch.from_arrays([pa.array(made, pa.string())], names=["archive"])
+
+    files.select("sourcePath", "content").mapInArrow(run, "archive string").write.format("noop").mode("overwrite").save()
+
+
+def archive_totals(spark: SparkSession, path: str, max_entries: int = 10_000, max_bytes: int = 524_288_000) -> DataFrame:
+    """(archive, totalEntries) of the archives below ``path``: directories and entries that no glob matches count.
+
+    Only central directories are read.
+    """
+    return list_archives(spark, path, max_entries, max_bytes).groupBy("archive").agg(F.count("*").alias("totalEntries"))
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
-    return files.select("path", "content").mapInArrow(run, "archive string, totalEntries long")
+
+#: Failures that a summary names; all are counted.
+FAILURES_NAMED = 1000
 
 
 def ingestion_summary(totals: DataFrame, documents: DataFrame) -> DataFrame:
-    """One row: totalEntries of all archives, and of the documents read from them matched, succeeded and failed (error is set)."""
+    """One row: totalEntries of all archives, and of the documents read from them matched, succeeded, failed (error is set) and failures.
+
+    failures names the first FAILURES_NAMED (sourcePath, error), by path; each task sends no more than these.
+    """
+    failed = documents.where("error is not null").select("sourcePath", "error").orderBy("sourcePath").limit(FAILURES_NAMED)
+    named = failed.agg(F.sort_array(F.collect_list(F.struct("sourcePath", "error"))).alias("failures"))
     counted = documents.agg(F.count("*").alias("matched"), F.count_if(F.col("error").isNull()).alias("succeeded"), F.count_if(F.col("error").isNotNull()).alias("failed"))
     all_entries = totals.agg(F.coalesce(F.sum("totalEntries"), F.lit(0)).alias("totalEntries"))
-    return all_entries.withColumn("one", F.lit(1)).join(counted.withColumn("one", F.lit(1)), "one").drop("one")  # a row each
+    one = lambda df: df.withColumn("one", F.lit(1))  # noqa: E731 - a row each
+    return one(all_entries).join(one(counted), "one").join(one(named), "one").drop("one")
 
 
-def _opened(archive: str, content: bytes) -> zipfile.ZipFile:
-    try:
-        return zipfile.ZipFile(io.BytesIO(content))
-    except zipfile.BadZipFile as error:
-        raise ArchiveError(f"{archive}: {error}") from error
+def scan_archives(spark: SparkSession, path: str, glob: str = "**/*.md", max_entries: int = 10_000, max_bytes: int = 524_288_000, partition_bytes: int = zipsource.PARTITION_BYTES) -> DataFrame:
+    """One row a matching file of the archives below ``path``. All entries count against the limits, matching or not."""
+    return _load(spark, path, glob=glob, maxEntries=max_entries, maxBytes=max_bytes, partitionBytes=partition_bytes).drop("directory")
 
 
-def scan_archives(spark: SparkSession, path: str, glob: str = "**/*.md", max_entries: int = 10_000, max_bytes: int = 524_288_000) -> DataFrame:
-    """One row a matching file of the archives below ``path``. All entries count against the limits, matching or not."""
-    regex = re.compile(text.glob_regex(glob).replace(r"\z", r"\Z"))
+def latest_entries(entries: DataFrame, path: str) -> DataFrame:
+    """entries of the archives below ``path`` without those that a later one with the same sourcePath replaces.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for archive, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                yield from _read(archive, content.as_py())
-
-    def _read(archive: str, content: bytes) -> Iterator[pa.RecordBatch]:
-        opened = _opened(archive, content)
-        infos = opened.infolist()
-        if len(infos) > max_entries:
-            raise ArchiveError(f"{archive}: {len(infos)} entries, over {max_entries}")
-        total, rows, held = 0, [], 0
-        for info in infos:
-            if info.is_dir():
-                continue
-            check_entry_name(info.orig_filename)
-            total += info.file_size
-            if total > max_bytes:
-                raise ArchiveError(f"{archive}: over {max_bytes} bytes uncompressed")
-            if regex.match(info.filename):
-                try:
-                    content = opened.read(info)
-                except (zipfile.BadZipFile, zlib.error) as error:
-                    raise ArchiveError(f"{archive}: {info.filename}: {error}") from error
-                rows.append((archive, info.filename, content, info.file_size, info.compress_size, "%04d-%02d-%02d %02d:%02d:%02d" % info.date_time))
-                held += info.file_size
-                if held > _BATCH_BYTES:
-                    yield _batch(rows)
-                    rows, held = [], 0
-        yield _batch(rows)
-
-    def _batch(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64()]
-        times = pa.array([datetime.datetime.strptime(r[5], "%Y-%m-%d %H:%M:%S").replace(tzinfo=datetime.UTC) for r in rows], pa.timestamp("us", "UTC"))
-        names = ["archive", "sourcePath", "content", "uncompressedSize", "compressedSize", "lastModified"]
-        return pa.RecordBatch.from_arrays([*[pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], times], names=names)
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
-    return files.select("path", "content").mapInArrow(run, _ENTRIES)
+    Later is: in an archive whose name comes later, or further on in the same archive. The replaced ones are found from the
+    central directories alone; there are few, so contents are not shuffled for them.
+    """
+    listed = list_archives(entries.sparkSession, path, 2**31 - 1, 2**62).where("not directory").select("sourcePath", "archive", "position")
+    last = Window.partitionBy("sourcePath").orderBy(F.desc("archive"), F.desc("position"))
+    replaced = listed.withColumn("rn", F.row_number().over(last)).where("rn > 1").drop("rn")
+    return entries.join(replaced, ["sourcePath", "archive", "position"], "left_anti")
 
 
 def split_front_matter(documents: DataFrame, raw: str = "raw") -> DataFrame:
@@ -142,11 +134,11 @@ def structured_documents(entries: DataFrame, default_language: str = "en") -> Da
     """Entries as documents (bytes that are no UTF-8 become U+FFFD): documentId, title, language, wordCount, contentHash, headings, codeBlocks, body, error."""
     raw = entries.select("sourcePath", F.make_valid_utf8(F.col("content").cast("string")).alias("raw")) if dict(entries.dtypes)["content"] == "binary" else entries.select("sourcePath", F.col("content").alias("raw"))
     split = split_front_matter(raw).withColumn("documentId", ids.document_id(F.col("sourcePath"))).withColumn("body", text.clean(F.col("body")))
-    outlined = split.join(markdown.outlines(split.select("documentId", "body")), "documentId", "left")
+    outlined = markdown.outlines(split)
     field = lambda name: _text_field(F.col("frontMatter"), name)
     return outlined.select(
         "documentId", "sourcePath", text.resolve_title(field("title"), F.col("firstH1"), F.col("sourcePath")).alias("title"), text.resolve_language(field("lang"), field("language"), default_language).alias("language"),
-        text.word_count(F.col("body")).alias("wordCount"), ids.content_hash(F.col("body")).alias("contentHash"), "headings", "codeBlocks", "frontMatter", "body", "error",
+        text.word_count(F.col("body")).alias("wordCount"), ids.content_hash(F.col("body")).alias("contentHash"), "headings", "codeBlocks", "frontMatter", "body", F.coalesce("error", "outlineError").alias("error"),
     )
 
 

@@ -96,6 +96,7 @@ def test_names_directories_and_bad_bytes(spark, tmp_path):
     docs = zipdocs.structured_documents(zipdocs.scan_archives(spark, str(tmp_path)))
     assert {r["sourcePath"]: r["title"] for r in docs.collect()}["a:b.md"] == "Caf�"
     summary = zipdocs.ingestion_summary(zipdocs.archive_totals(spark, str(tmp_path)), docs).first().asDict()
+    assert [f["sourcePath"] for f in summary.pop("failures")] == ["bad.md"]
     assert summary == {"totalEntries": 4, "matched": 2, "succeeded": 1, "failed": 1}
     records.write_documents(docs.select("documentId", "title"), str(tmp_path / "out"))
     assert records.read_json_documents(spark, str(tmp_path / "out"), "documentId string, title string", whole_files=False).count() == 2

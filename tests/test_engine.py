@@ -33,7 +33,7 @@ def test_archives_to_answers(spark, archives, tmp_path):
     settings = Settings(embedding_provider="words", embedding_model="m", embedding_dimensions=4, expand_parents=True)
     engine = Engine(spark, Collections(spark, str(tmp_path / "store")), settings, make_provider())
     documents = engine.documents(archives)
-    assert engine.summary(archives, documents).first().asDict() == {"totalEntries": 4, "matched": 3, "succeeded": 3, "failed": 0}
+    assert engine.summary(archives, documents).first().asDict() == {"totalEntries": 4, "matched": 3, "succeeded": 3, "failed": 0, "failures": []}
     chunks, path = engine.chunks(documents), str(tmp_path / "records")
     first = engine.embed(chunks, path).first()
     assert first["succeeded"] == first["attempted"] > 2 and first["failed"] == 0
