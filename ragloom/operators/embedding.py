@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import concurrent.futures
+import inspect
 import random
+import threading
 import time
 from collections.abc import Callable, Iterator
 
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ragloom.functions import folds, ids, text, vectors
+from ragloom.sources import scratch
 
 
 class FailureRatioExceeded(RuntimeError):
@@ -48,8 +51,8 @@ def run_status(candidates: DataFrame, existing: DataFrame, chunk_types: list[str
     """candidates with status: skippedByType, skippedEmpty, alreadyEmbedded, skippedByCap or pending, tested in this order.
 
     The cap keeps the first ``cap`` pending rows in the order given (default documentId, sequenceIndex, chunkId), then of
-    embeddingId; of rows that are equal in all these, as many as fit. The first rows are found by a top-k: each task sends at most
-    ``cap`` keys, never rows, to be merged.
+    embeddingId; of rows that are equal in all these, as many as fit. With a cap the candidates are written once; the rows that it
+    keeps are found by ranges (``first_rows``), whatever its size.
     """
     order = [*(order or ["documentId", "sequenceIndex", "chunkId"]), "embeddingId"]
     known = existing.select("embeddingId").distinct().withColumn("known", F.lit(True))
@@ -58,7 +61,8 @@ def run_status(candidates: DataFrame, existing: DataFrame, chunk_types: list[str
     df = df.withColumn("status", status).drop("known", "repeated")
     if cap <= 0:
         return df
-    first = df.where("status = 'pending'").select(*order).orderBy(*order).limit(cap).groupBy(*order).agg(F.count("*").alias("within"))
+    df = scratch.written(df, "candidates")
+    first = first_rows(df.where("status = 'pending'").select(*order), order, cap).groupBy(*order).agg(F.count("*").alias("within"))
     same = [F.col(f"d.{c}").eqNullSafe(F.col(f"f.{c}")) for c in order]
     joined = df.alias("d").join(first.alias("f"), same, "left").select("d.*", "f.within")
     # Rows that are equal in the whole order are counted; the others need no place.
@@ -69,6 +73,24 @@ def run_status(candidates: DataFrame, existing: DataFrame, chunk_types: list[str
     return inside.withColumn("status", kept).select(*df.columns).unionByName(outside.select(*df.columns))
 
 
+def first_rows(keys: DataFrame, order: list[str], cap: int) -> DataFrame:
+    """The first ``cap`` rows in the order: whole ranges as long as they fit, and of the range that holds the last row its first rows.
+
+    Rows are dealt by ranges from sampled borders and counted; only the counts, a number a range, come to the driver. No more than
+    one range is ever sorted in one place.
+    """
+    ranged = scratch.written(keys.repartitionByRange(*order).withColumn("split", F.spark_partition_id()), "ranges")
+    counts = sorted((r["split"], r["n"]) for r in ranged.groupBy("split").agg(F.count("*").alias("n")).collect())
+    before = 0
+    for split, n in counts:
+        if before + n >= cap:
+            place = F.row_number().over(Window.partitionBy("split").orderBy(*order))
+            last = ranged.where(F.col("split") == split).withColumn("place", place).where(F.col("place") <= cap - before).drop("place")
+            return ranged.where(F.col("split") < split).unionByName(last).drop("split")
+        before += n
+    return ranged.drop("split")
+
+
 def once(candidates: DataFrame, chunk_types: list[str]) -> DataFrame:
     """candidates with repeated: true for all but one row of each embeddingId among those of the chunk types with an input."""
     may = F.coalesce(F.col("chunkType").isin(chunk_types) & F.col("input").isNotNull(), F.lit(False))
@@ -111,17 +133,71 @@ def with_retry(call: Callable, attempts: int, base_ms: float, most_ms: float, sl
             sleep((own if error.retry_after_ms is None else min(error.retry_after_ms, most_ms)) / 1000)
 
 
-def within(seconds: float, call: Callable):
-    """The call's result; a transient error if it takes longer. The call itself is left to end by itself."""
-    pool = concurrent.futures.ThreadPoolExecutor(1)
+class Cancelled(TransientProviderError):
+    """The call was told to stop."""
+
+
+class CancelToken:
+    """Tells a running call that nobody waits for it any more. A provider that takes ``cancel`` should look at it, or wait on it,
+    between its steps, and hand it to what it calls."""
+
+    def __init__(self) -> None:
+        self._stop, self._closers = threading.Event(), []
+
+    @property
+    def cancelled(self) -> bool:
+        return self._stop.is_set()
+
+    def check(self) -> None:
+        """Raises where the call was told to stop."""
+        if self.cancelled:
+            raise Cancelled("the call was cancelled")
+
+    def wait(self, seconds: float) -> None:
+        """Sleeps, but raises at once where the call is told to stop."""
+        if self._stop.wait(seconds):
+            self.check()
+
+    def on_cancel(self, close: Callable[[], None]) -> None:
+        """Something to close, such as a connection that a read blocks on, when the call is told to stop."""
+        self._closers.append(close)
+        if self.cancelled:
+            close()
+
+    def cancel(self) -> None:
+        self._stop.set()
+        for close in self._closers:
+            close()
+
+
+def within(seconds: float, call: Callable, grace_s: float = 5.0):
+    """The call's result; a transient error if it takes longer. A call with a parameter gets a token, which is then cancelled.
+
+    The call is waited for up to ``grace_s`` after that, so that a provider which heeds its token leaves no thread behind.
+    """
+    token, pool = CancelToken(), concurrent.futures.ThreadPoolExecutor(1)
     try:
-        return pool.submit(call).result(seconds)
-    except concurrent.futures.TimeoutError:
-        raise TransientProviderError(f"the request timed out after {seconds} s") from None
+        running = pool.submit(call, token) if inspect.signature(call).parameters else pool.submit(call)
+        try:
+            return running.result(seconds)
+        except concurrent.futures.TimeoutError:
+            if not running.done():
+                token.cancel()
+                concurrent.futures.wait([running], grace_s)
+                raise TransientProviderError(f"the request timed out after {seconds} s") from None
+            raise  # the call's own
     finally:
         pool.shutdown(wait=False, cancel_futures=True)
 
 
+def takes_token(provider: Callable) -> bool:
+    """Does a provider have a parameter ``cancel``?"""
+    try:
+        return "cancel" in inspect.signature(provider).parameters
+    except (TypeError, ValueError):
+        return False
+
+
 def in_order(answer: list) -> list:
     """Vectors in the order of their index where the answer is made of (index, vector) pairs; indexes must be 0, 1, ... once each."""
     if not answer or not all(isinstance(x, tuple) and len(x) == 2 for x in answer):
@@ -136,15 +212,18 @@ def embed_with(pending: DataFrame, provider: Callable[[list[str]], list[list[flo
     """pending with vector and error from a provider function that embeds a list of texts.
 
     The provider gives vectors in order, or (index, vector) pairs in any order. A call that takes longer than ``timeout_s`` counts as
-    a transient error. Batches are greedy within a task's rows. A batch that still fails after its retries fails all its rows; the
+    a transient error; a provider with a parameter ``cancel`` is told through it to stop. Batches are greedy within a task's rows. A batch that still fails after its retries fails all its rows; the
     run goes on.
     """
     schema = T.StructType([*pending.schema.fields, T.StructField("vector", T.ArrayType(T.DoubleType())), T.StructField("error", T.StringType())])
 
+    def call(texts: list[str]) -> Callable:
+        return (lambda token: provider(texts, cancel=token)) if takes_token(provider) else (lambda: provider(texts))
+
     def embedded(rows: pd.DataFrame) -> pd.DataFrame:
         out = rows.copy()
         try:
-            found = in_order(with_retry(lambda: within(timeout_s, lambda: provider(rows["input"].tolist())), attempts, base_ms, most_ms))
+            found = in_order(with_retry(lambda: within(timeout_s, call(rows["input"].tolist())), attempts, base_ms, most_ms))
             if len(found) != len(rows) or any(len(v) != dimensions or not all(map(_finite, v)) for v in found):
                 raise ValueError("the provider's answer has the wrong count, size or values")
             out["vector"], out["error"] = [list(map(float, v)) for v in found], None
