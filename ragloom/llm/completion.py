@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from itertools import combinations
 
@@ -25,16 +26,17 @@ from ragloom.llm.packing import best_fit_decreasing
 END_ID, WINDOW = 2, 1024
 #: Pieces that one group holds on average: groups grow in number, not in size.
 GROUP_PIECES = 20_000
-#: Nodes of the search a piece of the group. The incumbent stands when they are used up.
-NODES_A_PIECE = 4
+#: Windows that are searched together, steps of one search, and searches of a group. The incumbent stands when they are used up.
+SEARCHED, STEPS, TRIES = 300, 20_000, 6
 #: Bytes of chunks and of their ids that a task remembers (the memory starts afresh beyond them); longer chunks are not remembered.
-MEMORY_BYTES, LONG_CHUNK, _ENTRY = 128 << 20, 256, 200
+MEMORY_BYTES, LONG_CHUNK, _ENTRY = 256 << 20, 256, 200
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 #: White space as the tokenizer's own pattern has it (fixed values).
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Stretches that the tokenizer never joins to their neighbours: a word with the space before it, or white space.
 _CHUNK = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
+_PLAIN = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 _SPACES = re.compile(f"[{_WHITE}]+")
 _SPECIAL = "<|endoftext|>"
 #: Characters of texts that are tokenised together (a longer text stands alone).
@@ -44,11 +46,7 @@ _memories: dict[str, tuple] = {}
 
 
 def make_encoder(path: str) -> Callable[[list[str]], Iterator[np.ndarray]]:
-    """Texts to ids (uint32) of a byte-level tokenizer. Ids of chunks are remembered for the life of the Python worker.
-
-    What the memory lacks of a part of the texts is tokenised together: words parted by a line end, which is a token of its own
-    there and so tells where each word's ids end.
-    """
+    """Texts to ids (uint32) of a byte-level tokenizer. Ids of chunks are remembered for the life of the Python worker."""
     if path not in _memories:
         import os
 
@@ -57,24 +55,32 @@ def make_encoder(path: str) -> Callable[[list[str]], Iterator[np.ndarray]]:
 
         _memories[path] = Tokenizer.from_file(path), {}, [0]
     tokenizer, memory, held = _memories[path]
-    ids_of = lambda t: np.array(tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4")
-    tails = {t: ids_of(t).tobytes() for t in (".", ",")}
-    line_end = int(ids_of("\n")[0])
+    model, letters = tokenizer.model, _letters(tokenizer)
+    packed = lambda ids: array("I", ids).tobytes()
+    ids_of = lambda t: packed(tokenizer.encode(t, add_special_tokens=False).ids)
+    tails = {t: ids_of(t) for t in (".", ",")}
+    line_end = ids_of("\n")
 
     def learn(chunks: set[str], into: dict[str, bytes]) -> None:
         # A full stop or comma after a letter or digit is a stretch of its own, so the word's ids serve with and without it.
         plain = lambda c: c[:-1] if c[-1] in tails and c[-2:-1].isalnum() else c
-        words = [w for w in {plain(c) for c in chunks} if w not in into]
-        for w in words:
-            if _SPACES.fullmatch(w):
-                into[w] = ids_of(w).tobytes()
-        words = [w for w in words if w not in into]
-        for at in range(0, len(words), 1024):
-            part = words[at : at + 1024]
-            ids = np.array(tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.append(np.flatnonzero(ids == line_end), len(ids)).tolist()
-            raw, begin = ids.tobytes(), 0
-            for word, end in zip(part, ends, strict=True):
+        rest = []
+        for w in {plain(c) for c in chunks}:
+            if w in into:
+                continue
+            if _PLAIN.fullmatch(w):  # one stretch for the tokenizer: its model takes it as it is
+                into[w] = packed([t.id for t in model.tokenize(w.translate(letters))])
+            elif _SPACES.fullmatch(w):
+                into[w] = ids_of(w)
+            else:
+                rest.append(w)
+        for at in range(0, len(rest), 1024):
+            # Parted by a line end, which is a token of its own there and so tells where each word's ids end.
+            part = rest[at : at + 1024]
+            raw = packed(tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids)
+            ids = np.frombuffer(raw, "<u4")
+            begin = 0
+            for word, end in zip(part, np.append(np.flatnonzero(ids == int.from_bytes(line_end, "little")), len(ids)).tolist(), strict=True):
                 into[word] = raw[begin : 4 * end]
                 begin = 4 * end + 4
         for c in chunks:
@@ -108,7 +114,7 @@ def make_encoder(path: str) -> Callable[[list[str]], Iterator[np.ndarray]]:
             learn(new, memory)
         for text, chunks, ids, empty in zip(texts, chunked, found, gaps):
             if chunks is None:
-                yield ids_of(text)
+                yield np.frombuffer(ids_of(text), dtype="<u4")
             else:
                 for i in empty:
                     ids[i] = own[chunks[i]] if chunks[i] in own else memory[chunks[i]]
@@ -117,6 +123,14 @@ def make_encoder(path: str) -> Callable[[list[str]], Iterator[np.ndarray]]:
     return encode
 
 
+def _letters(tokenizer) -> dict[int, str]:
+    """What the tokenizer's alphabet of bytes makes of the characters that _PLAIN allows."""
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    alphabet = ByteLevel(add_prefix_space=False, use_regex=False)
+    return {i: alphabet.pre_tokenize_str(chr(i))[0][0] for i in range(0x20, 0x250) if chr(i) == " " or _PLAIN.fullmatch(chr(i))}
+
+
 def _gaps(values: list) -> list[int]:
     """Places of None."""
     out, at = [], -1
@@ -184,9 +198,9 @@ def fillings(counts: np.ndarray, room: int, least: int, steps: _Steps) -> Iterat
         yield (room,)
         return
     counts = counts.copy()
-    have = np.flatnonzero(counts)
-    # so many pieces fit at most: the smallest ones
-    fitting = int((np.cumsum(np.repeat(have, np.minimum(counts[have], room // np.maximum(have, 1) + 1))) <= room).sum())
+    sums = np.cumsum(counts * np.arange(len(counts)))
+    whole = int(np.searchsorted(sums, room, side="right"))  # so many pieces fit at most: the smallest ones
+    fitting = int(counts[:whole].sum()) + (room - int(sums[whole - 1]) if whole else room) // max(whole, 1)
     for total in range(room, max(least, 1) - 1, -1):
         if counts[total]:  # one piece of this length dominates every other filling with this sum
             if not counts[total + 1 : room + 1].any():
@@ -203,18 +217,17 @@ def fillings(counts: np.ndarray, room: int, least: int, steps: _Steps) -> Iterat
 
 
 def _multisets(counts: np.ndarray, total: int, size: int, most: int, steps: _Steps) -> Iterator[tuple[int, ...]]:
-    """Multisets of ``size`` (2 at least) lengths up to ``most`` with exactly this sum, the most even first, so that small pieces are left
-    for the windows that are completed last."""
+    """Multisets of ``size`` (2 at least) lengths up to ``most`` with exactly this sum, largest first."""
     steps.left -= 1
     if size == 2:
         low = np.arange(max(1, total - most), total // 2 + 1)
         fits = (counts[low] > 0) & (counts[total - low] > 0)
         if len(low) and 2 * low[-1] == total and counts[low[-1]] < 2:
             fits[-1] = False
-        yield from ((total - a, a) for a in low[fits][::-1].tolist())
+        yield from ((total - a, a) for a in low[fits].tolist())
         return
     least, high = -(-total // size), min(most, total - size + 1)  # the largest is at least its share, the others at least 1
-    for a in (np.flatnonzero(counts[least : high + 1]) + least).tolist():
+    for a in (np.flatnonzero(counts[least : high + 1])[::-1] + least).tolist():
         if steps.left <= 0:
             return
         counts[a] -= 1
@@ -280,27 +293,46 @@ def search(counts: np.ndarray, window: int, best: int, steps: int) -> list[tuple
     return found
 
 
-def bin_completion(lengths: np.ndarray, window: int = WINDOW, steps: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def bin_completion(lengths: np.ndarray, window: int = WINDOW, steps: int = STEPS, tries: int = TRIES) -> tuple[np.ndarray, np.ndarray]:
     """(window number, offset) of each piece, in the order given: best fit first, then the search for fewer windows.
 
-    The search is left out where best fit meets the lower bound. It takes ``steps`` steps at most (NODES_A_PIECE a piece if None) and
-    never gives a worse packing than best fit.
+    Up to SEARCHED windows are searched together. Of more, the search takes the windows that best fit leaves with the most waste and
+    some that hold several pieces, drawn anew for each of the ``tries``, and replaces them where it finds fewer. It ends where the
+    lower bound is met. Each search has ``steps`` steps, so the time does not grow faster than the pieces, and the packing is never
+    worse than best fit.
     """
     numbers, offsets = best_fit_decreasing(lengths, window)
     if not len(lengths):
         return numbers, offsets
-    counts, best = np.bincount(lengths, minlength=window + 1), int(numbers.max()) + 1
-    better = search(counts, window, best, NODES_A_PIECE * len(lengths) if steps is None else steps) if best > lower_bound(counts, window) else None
-    if better is not None:
-        order = np.argsort(lengths, kind="stable")
-        ends = np.cumsum(counts)
-        for number, filling in enumerate(better):
-            at = 0
-            for length in filling:
-                ends[length] -= 1
-                piece = order[ends[length]]
-                numbers[piece], offsets[piece] = number, at
-                at += length
+    used, bound = int(numbers.max()) + 1, lower_bound(np.bincount(lengths, minlength=window + 1), window)
+    for attempt in range(tries if used > SEARCHED else 1):
+        if used == bound:
+            break
+        ids, own = np.unique(numbers, return_inverse=True)
+        waste, pieces = window - np.bincount(own, weights=lengths).astype(np.int64), np.bincount(own)
+        draw = np.random.default_rng(attempt)
+        worst = np.argsort(-waste, kind="stable")[: SEARCHED // 4]
+        several = np.setdiff1d(np.flatnonzero(pieces > 2), worst)
+        chosen = np.concatenate([worst, draw.permutation(several)[: SEARCHED * (attempt % 3 + 1) // 3]]) if used > SEARCHED else np.arange(used)
+        inside = np.flatnonzero(np.isin(own, chosen))
+        better = search(np.bincount(lengths[inside], minlength=window + 1), window, len(chosen), steps)
+        if better is not None:
+            numbers[inside], offsets[inside] = _placed(lengths[inside], better, ids[chosen])
+            used -= len(chosen) - len(better)
+    return numbers, offsets
+
+
+def _placed(lengths: np.ndarray, packing: list[tuple[int, ...]], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(window number, offset) of each piece of a packing whose windows get the first of these numbers."""
+    order, ends = np.argsort(lengths, kind="stable"), np.cumsum(np.bincount(lengths))
+    numbers, offsets = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+    for number, filling in zip(ids.tolist(), packing):
+        at = 0
+        for length in filling:
+            ends[length] -= 1
+            piece = order[ends[length]]
+            numbers[piece], offsets[piece] = number, at
+            at += length
     return numbers, offsets
 
 
