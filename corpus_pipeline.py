@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragloom.llm import decontamination, langid, packing, secrets, simhash
+from ragloom.llm import decontamination, langid, neardup, packing, secrets
 from ragloom.llm.common import table, written
 
 #: SQL cannot express the stages: models, tokenizer, XXH64.
@@ -23,8 +23,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each group of near duplicates, that with the smallest doc_id; rows without doc_id are judged too."""
-    return simhash.deduplicated(docs)
+    """Keeps one row of each verified group of near duplicates, that with the smallest doc_id; rows without doc_id are judged too."""
+    return neardup.deduplicated(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

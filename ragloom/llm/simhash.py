@@ -168,8 +168,8 @@ def allocate(block_shares: np.ndarray, rows: int, distance: int) -> list[tuple[i
     return best[1]
 
 
-def _with_keys(fps: DataFrame, order: list[int], parts: list[tuple[int, int, int]]) -> DataFrame:
-    """(part, key, fp): the value of each part that has a threshold, made of its bits in order."""
+def _with_keys(fps: DataFrame, order: list[int], parts: list[tuple[int, int, int]], more: list[str] | None = None) -> DataFrame:
+    """(part, key, fp) and more columns: the value of each part that has a threshold, made of its bits in order."""
 
     def key(first: int, blocks: int) -> Column:
         total = F.lit(0).cast("long")
@@ -178,7 +178,7 @@ def _with_keys(fps: DataFrame, order: list[int], parts: list[tuple[int, int, int
         return total
 
     listed = F.array(*[F.struct(F.lit(i).alias("part"), key(a, n).alias("key")) for i, (a, n, _) in enumerate(parts)])
-    return fps.select("fp", F.explode(listed).alias("k")).select("k.part", "k.key", "fp")
+    return fps.select("fp", *(more or []), F.explode(listed).alias("k")).select("k.part", "k.key", "fp", *(more or []))
 
 
 def _masks(width: int, threshold: int) -> list[int]:
@@ -259,20 +259,3 @@ def near_duplicates(documents: DataFrame, distance: int = 4, shingle: int = 4) -
     by_fp = written(joined.join(least, "component").select("fp", "component_id"), "fingerprint-components")
     return docs.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
-
-def deduplicated(documents: DataFrame, distance: int = 6, shingle: int = 1, distinct: bool = True) -> DataFrame:
-    """documents with one row of each group of near duplicates: that with the smallest doc_id (null last), of equals the first read.
-
-    Rows are told apart by their place, not by doc_id: repeated rows and rows without doc_id are judged like any other. The
-    default fingerprints are of a document's distinct words, which small edits change least: within 6 bits lie 97 in 100 pairs
-    whose five-word shingles have a similarity of 0.8 or more (fingerprints of the shingles themselves would need 13). Null and
-    empty texts have fingerprint zero and form one group.
-    """
-    names = documents.columns
-    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "doc_id", "text").withColumn("place", F.monotonically_increasing_id())
-    docs = written(with_fingerprints(rows, ["row", "doc_id", "place"], shingle, distinct), "fingerprints")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place")
-    fps = written(docs.groupBy("fp").agg(F.min(order).alias("first")), "distinct-fingerprints")
-    members = connected_components(links(fps.select("fp"), distance))
-    heads = fps.join(members.withColumnRenamed("node", "fp"), "fp", "left").groupBy(F.coalesce("component", "fp").alias("component")).agg(F.min("first").alias("first"))
-    return docs.join(heads.select("first.place"), "place", "left_semi").select("row.*")
