@@ -42,13 +42,25 @@ def utf16_prefix(text: Column, units: Column | int) -> Column:
     return F.when(units <= 0, F.when(text.isNotNull(), "")).when(F.octet_length(text) <= units, text).when(_has_astral(text), F.when(utf16_length(text) <= units, text).otherwise(cut)).otherwise(F.substring(text, F.lit(1), units))
 
 
+#: The same characters one by one.
+_SPACES = "".join(chr(i) for i in [*range(9, 14), 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF])
+
+
 def trim(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
+    return F.btrim(text, F.lit(_SPACES))
+
+
+def _rstrip(text: Column) -> Column:
+    return F.rtrim(text, F.lit(_SPACES))
+
+
+def _one_blank_line(text: Column) -> Column:
+    return F.when(F.contains(text, F.lit("\n\n\n")), F.regexp_replace(text, r"\n{3,}", "\n\n")).otherwise(text)
 
 
 def clean(text: Column) -> Column:
     """Unix line ends, at most one blank line in a row, no white space around."""
-    return trim(F.regexp_replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), r"\n{3,}", "\n\n"))
+    return let(F.replace(text, F.lit("\r\n"), F.lit("\n")), lambda t: trim(_one_blank_line(t)))
 
 
 def word_count(text: Column) -> Column:
@@ -99,7 +111,13 @@ def path_key(path: Column) -> Column:
 
 def normalise_input(text: Column) -> Column:
     """No white space at line ends, at most one blank line, none around."""
-    return trim(F.regexp_replace(F.regexp_replace(text, r"[ \t]+(?=\n|\z)", ""), r"\n{3,}", "\n\n"))
+
+    def ends(t: Column) -> Column:
+        last = F.right(t, F.lit(1))
+        some = F.contains(t, F.lit(" \n")) | F.contains(t, F.lit("\t\n")) | last.isin(" ", "\t")
+        return F.when(some, F.regexp_replace(t, r"[ \t]+(?=\n|\z)", "")).otherwise(t)
+
+    return let(text, lambda t: let(ends(t), lambda u: trim(_one_blank_line(u))))
 
 
 def truncate_words(text: Column, most_tokens: int) -> Column:
@@ -108,15 +126,13 @@ def truncate_words(text: Column, most_tokens: int) -> Column:
     Gives a struct (text, truncated). A text without white space stays whole but counts as truncated. Each step is computed once.
     """
     most = 4 * most_tokens
-    rstrip = lambda c: F.regexp_replace(c, rf"[{SPACE}]+\z", "")
-
     def beyond(t: Column, size: Column) -> Column:
         after = F.regexp_instr(F.substring(t, size + 1, F.lit(2**30)), F.lit(rf"[{SPACE}]"))
-        return let(after, lambda a: F.when(a > 0, rstrip(F.substring(t, F.lit(1), size - 1 + a))).otherwise(t))
+        return let(after, lambda a: F.when(a > 0, _rstrip(F.substring(t, F.lit(1), size - 1 + a))).otherwise(t))
 
     def inside(t: Column, first: Column) -> Column:
         head = F.regexp_replace(first, rf"[{SPACE}][^{SPACE}]*\z", "")
-        return let(head, lambda h: F.when((F.length(h) > 0) & (F.length(h) < F.length(first)), rstrip(h)).otherwise(beyond(t, F.length(first))))
+        return let(head, lambda h: F.when((F.length(h) > 0) & (F.length(h) < F.length(first)), _rstrip(h)).otherwise(beyond(t, F.length(first))))
 
     def cut(t: Column) -> Column:
         long = utf16_length(t) > most

@@ -39,8 +39,9 @@ def embedding_inputs(chunks: DataFrame, most_tokens: int = 8000, heading_context
         filled = F.nullif(cut["text"], F.lit(""))
         return F.struct(filled.alias("input"), cut["truncated"].alias("truncated"), ids.content_hash(filled).alias("inputHash"), text.token_estimate(filled).alias("tokenCount"))
 
-    made = chunks.withColumn("made", text.let(text.truncate_words(text.normalise_input(raw), most_tokens), described))
-    return made.withColumns({c: F.col(f"made.{c}") for c in ("input", "truncated", "inputHash", "tokenCount")}).drop("made")
+    made = text.let(text.truncate_words(text.normalise_input(raw), most_tokens), described)
+    # A generator of one row: what follows (filters too) uses its columns and never computes them again.
+    return chunks.drop("input", "truncated", "inputHash", "tokenCount").select("*", F.inline(F.array(made)))
 
 
 def with_embedding_ids(inputs: DataFrame, provider: str, model: str, version: str, dimensions: int) -> DataFrame:
@@ -215,6 +216,7 @@ def embed_with(pending: DataFrame, provider: Callable[[list[str]], list[list[flo
     a transient error; a provider with a parameter ``cancel`` is told through it to stop. Batches are greedy within a task's rows. A batch that still fails after its retries fails all its rows; the
     run goes on.
     """
+    pending = pending.drop("vector", "error")
     schema = T.StructType([*pending.schema.fields, T.StructField("vector", T.ArrayType(T.DoubleType())), T.StructField("error", T.StringType())])
 
     def call(texts: list[str]) -> Callable:
