@@ -233,6 +233,42 @@ def section_stats(load):
     return found.join(md.select("documentId", "doc_id"), "documentId").select("doc_id", "sections", "lines")
 
 
+def _split_sql(row: str, header: str) -> str:
+    """Pieces of a section whose only block is a table or list over the limit of 100 tokens: rows go into parts, parts into pieces."""
+    size = lambda text: f"cast(ceil(length({text}) / 4.0) as bigint)"
+    head = f"concat({header}, chr(10), " if header else "("
+    first = f"(select {size(header)})" if header else "0"
+    return f"""with recursive {_LINES}, t as (select doc_id, ln, {row} as r from l), z as (select *, {size("r")} as n from t),
+    b as (select doc_id, {head}string_agg(r, chr(10) order by ln)) as text from t group by doc_id), f as (select doc_id, text, {size("text")} as n from b),
+    r1 as (select doc_id, ln, r, n, 0 as bin, {first} + n as cur from z where ln = 0 union all
+        select z.doc_id, z.ln, z.r, z.n, case when r1.cur + z.n > 100 then r1.bin + 1 else r1.bin end, case when r1.cur + z.n > 100 then {first} + z.n else r1.cur + z.n end from r1 join z on z.doc_id = r1.doc_id and z.ln = r1.ln + 1),
+    p as (select doc_id, bin, {head}string_agg(r, chr(10) order by ln)) as text from r1 group by doc_id, bin having (select n from f where f.doc_id = r1.doc_id) > 100 union all select doc_id, 0, text from f where n <= 100),
+    q as (select *, {size("text")} as n from p),
+    r2 as (select doc_id, bin, text, n, 0 as seq, 1 + n as cur from q where bin = 0 union all
+        select q.doc_id, q.bin, q.text, q.n, case when r2.cur + q.n > 100 then r2.seq + 1 else r2.seq end, case when r2.cur + q.n > 100 then 1 + q.n else r2.cur + q.n end from r2 join q on q.doc_id = r2.doc_id and q.bin = r2.bin + 1)
+    select r2.doc_id, cast(seq as integer) as seq, cast(1 + sum(r2.n) as bigint) as length, any_value(f.n) + 1 > 100 as split, any_value(f.n) + 1 > 100 and count(*) = 1 and max(r2.n) > 100 as exceeds, sha256(concat('# T', chr(10), chr(10), string_agg(r2.text, concat(chr(10), chr(10)) order by bin))) as hash
+    from r2 join f using (doc_id) group by r2.doc_id, seq"""
+
+
+def _split(load, row: Column, header: str) -> DataFrame:
+    rows = _lines(load("documents")).withColumn("row", row).groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ln", "row"))), lambda x: x["row"]), "\n").alias("rows"))
+    body = rows.select("doc_id", F.col("doc_id").cast("string").alias("documentId"), F.concat(F.lit("# T\n\n" + header), "rows").alias("body"))
+    made = narrow.document_chunks(body, 100, 1, overlap="none", include_parents=False, keep=("doc_id",))
+    return made.select("doc_id", F.col("localSequenceIndex").alias("seq"), "length", F.col("wasSplit").alias("split"), F.col("exceedsMaxSize").alias("exceeds"), F.col("contentHash").alias("hash"))
+
+
+@query(_split_sql("concat('| ', ln, ' | ', repeat('x', len), ' |')", "concat('| n | x |', chr(10), '|---|---|')"))
+def table_chunks(load):
+    """A table with a row for every line of a document."""
+    return _split(load, F.concat(F.lit("| "), F.col("ln").cast("string"), F.lit(" | "), F.expr("repeat('x', len)"), F.lit(" |")), "| n | x |\n|---|---|\n")
+
+
+@query(_split_sql("concat('- ', ln, ' ', repeat('x', len))", ""))
+def list_chunks(load):
+    """A list with an item for every line of a document."""
+    return _split(load, F.concat(F.lit("- "), F.col("ln").cast("string"), F.lit(" "), F.expr("repeat('x', len)")), "")
+
+
 #: A part is a heading of 3 tokens and up to three lines; over 500 tokens it is split, under 100 merged with its neighbours.
 _STATS = f"""with recursive {_LINES}, q as (select doc_id, ln // 3 as k, list(len order by ln) as ls, cast(sum(len) as integer) + 3 as total from l group by doc_id, ln // 3),
     b as (select *, 3 + ls[1] + coalesce(ls[2], 0) > 500 and len(ls) > 1 as j2, case when 3 + ls[1] + coalesce(ls[2], 0) > 500 then 3 + coalesce(ls[2], 0) else 3 + ls[1] + coalesce(ls[2], 0) end + coalesce(ls[3], 0) > 500 and len(ls) > 2 as j3 from q),
