@@ -8,7 +8,6 @@ less confident than nearly all correctly told texts that were held back are reje
 
 from __future__ import annotations
 
-import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,8 +18,8 @@ from pyspark.sql import types as T
 
 from ragloom.llm.common import append_columns, held_out, learnable
 
-#: Texts of one language that training takes at most, each as a whole; and languages it can tell apart, the most frequent first.
-SAMPLE_PER_LANGUAGE, MOST_LANGUAGES = 800, 2000
+#: Texts that training takes at most, each as a whole: of one language, of all together, and what each language may have in any case.
+SAMPLE_PER_LANGUAGE, SAMPLE_ROWS, LEAST_PER_LANGUAGE = 800, 20_000, 10
 UNDETERMINED = "und"
 #: Subwords have numbers up to 2^20; their upper 15 bits are the bucket of the embedding.
 _CODES, _SHIFT, _BUCKETS, _DIM, _LONGEST = 1 << 20, 5, 1 << 15, 16, 4
@@ -152,20 +151,18 @@ def predict(model: LanguageModel, text: str | None) -> tuple[str, float, bool]:
     return name, p, name == UNDETERMINED or confidence < model.threshold
 
 
-def training_sample(documents: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, most_languages: int = MOST_LANGUAGES) -> list:
+def training_sample(documents: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, rows: int = SAMPLE_ROWS, least: int = LEAST_PER_LANGUAGE) -> list:
     """A bounded sample of labelled texts, about equally many a language, from the documents that may be learnt from.
 
-    At most per_language * most_languages rows reach the driver. Labels beyond ``most_languages``, the rarest, are not learnt,
-    and a warning says so.
+    Of L languages each has at most ``per_language`` rows and at most rows / L, but ``least`` in any case: max(rows, L * least) rows
+    reach the driver, and no language is left out. L is the number of classes, of which the model has a row each.
     """
     known = documents.where(learnable(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") > 0)).select("doc_id", "text", "lang")
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages + 1).collect()
-    if len(counts) > most_languages:
-        warnings.warn(f"more than {most_languages} languages are labelled; the rarest are not learnt", stacklevel=2)
-    counts = counts[:most_languages]
+    counts = known.groupBy("lang").count().orderBy("lang").collect()
     if not counts:
         return []
-    shares = documents.sparkSession.createDataFrame([(r["lang"], min(1.0, 1.5 * per_language / r["count"])) for r in counts], "lang string, share double")
+    per_language = max(least, min(per_language, rows // len(counts)))
+    shares = documents.sparkSession.createDataFrame([(r["lang"], min(1.0, (1.5 * per_language + 10) / r["count"])) for r in counts], "lang string, share double")
     drawn = (F.pmod(F.xxhash64("doc_id", "text", F.lit("langid")), F.lit(1_000_000)) / 1e6).cast("double")
     few = known.join(F.broadcast(shares), "lang").where(drawn < F.col("share"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"), "doc_id"))
