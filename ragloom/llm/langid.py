@@ -158,13 +158,14 @@ def training_sample(documents: DataFrame, per_language: int = SAMPLE_PER_LANGUAG
     reach the driver, and no language is left out. L is the number of classes, of which the model has a row each.
     """
     known = documents.where(learnable(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") > 0)).select("doc_id", "text", "lang")
-    counts = known.groupBy("lang").count().orderBy("lang").collect()
+    drawn = (F.pmod(F.xxhash64("doc_id", "text", F.lit("langid")), F.lit(1_000_000)) / 1e6).cast("double")
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"), F.min(drawn).alias("first")).orderBy("lang").collect()
     if not counts:
         return []
     per_language = max(least, min(per_language, rows // len(counts)))
-    shares = documents.sparkSession.createDataFrame([(r["lang"], min(1.0, (1.5 * per_language + 10) / r["count"])) for r in counts], "lang string, share double")
-    drawn = (F.pmod(F.xxhash64("doc_id", "text", F.lit("langid")), F.lit(1_000_000)) / 1e6).cast("double")
-    few = known.join(F.broadcast(shares), "lang").where(drawn < F.col("share"))
+    # What is drawn of a language is a little more than it may have, and its first row at least, however often rows are repeated.
+    shares = documents.sparkSession.createDataFrame([(r["lang"], max(r["first"], (1.5 * per_language + 10) / r["n"])) for r in counts], "lang string, share double")
+    few = known.join(F.broadcast(shares), "lang").where(drawn <= F.col("share"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"), "doc_id"))
     return few.withColumn("place", place).where(F.col("place") <= per_language).select("lang", "text", "doc_id").orderBy("lang", "doc_id", F.xxhash64("text")).collect()
 
