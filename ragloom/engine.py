@@ -18,10 +18,12 @@ Provider = Callable[[list[str]], list]
 
 
 class Engine:
-    """Steps that hand DataFrames on. ``provider`` embeds texts; without one the deterministic offline vectors are used."""
+    """Steps that hand DataFrames on. ``provider`` embeds texts and ``model`` answers prompts; without them the deterministic offline
+    vectors and the offline answer are used. ``store`` is anything with the methods of ``Collections`` that are called here: ensure,
+    read and upsert."""
 
-    def __init__(self, spark: SparkSession, store: Collections, settings: Settings | None = None, provider: Provider | None = None) -> None:
-        self.spark, self.store, self.settings, self.provider = spark, store, settings or Settings(), provider
+    def __init__(self, spark: SparkSession, store: Collections, settings: Settings | None = None, provider: Provider | None = None, model: Callable | None = None) -> None:
+        self.spark, self.store, self.settings, self.provider, self.answerer = spark, store, settings or Settings(), provider, model
         if provider is None and self.settings.embedding_provider != "fake":
             raise ConfigError(f"no function for the provider {self.settings.embedding_provider}")
 
@@ -104,4 +106,4 @@ class Engine:
     def ask(self, questions: DataFrame, **search) -> DataFrame:
         """One row a question: answer, reason, cited, tokens and cost."""
         s = self.settings
-        return answering.ask(questions, self.search(questions, **search), s.max_context_chunks, s.max_context_chars, s.min_retrieval_score, s.max_prompt_tokens, s.input_price_per_million, s.output_price_per_million)
+        return answering.ask(questions, self.search(questions, **search), s.max_context_chunks, s.max_context_chars, s.min_retrieval_score, s.max_prompt_tokens, s.input_price_per_million, s.output_price_per_million, self.answerer)

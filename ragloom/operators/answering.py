@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ragloom.functions import generation
 from ragloom.functions.text import token_estimate, utf16_length, utf16_prefix
+from ragloom.operators import embedding
 
 NO_ANSWER = "The documentation holds too little on this question for a reliable answer."
 SYSTEM_PROMPT = (
@@ -82,6 +87,39 @@ def fake_answers(prompted: DataFrame) -> DataFrame:
     return df.withColumns({"inputTokens": F.col("promptTokens"), "outputTokens": token_estimate(F.col("answer"))})
 
 
+def model_answers(prompted: DataFrame, model: Callable, attempts: int = 3, base_ms: float = 500, most_ms: float = 10_000, timeout_s: float = 60) -> DataFrame:
+    """prompted (userPrompt; rows with a reason are passed over) with answer, inputTokens, outputTokens and error of a model.
+
+    ``model(system, user)`` gives the answer's text, or (text, input tokens, output tokens); a parameter ``cancel`` gets a token as
+    providers of vectors do. Transient errors are repeated; a call that still fails, or gives no text, leaves error and no answer and
+    touches no other row. Without both counts there is no usage, and so no cost.
+    """
+    df = prompted.drop("answer", "inputTokens", "outputTokens", "error")
+    schema = T.StructType([*df.schema.fields, T.StructField("answer", T.StringType()), T.StructField("inputTokens", T.LongType()), T.StructField("outputTokens", T.LongType()), T.StructField("error", T.StringType())])
+
+    def one(user: str) -> tuple[str | None, int | None, int | None, str | None]:
+        call = (lambda token: model(SYSTEM_PROMPT, user, cancel=token)) if embedding.takes_token(model) else (lambda: model(SYSTEM_PROMPT, user))
+        try:
+            found = embedding.with_retry(lambda: embedding.within(timeout_s, call), attempts, base_ms, most_ms)
+            text, *usage = (found,) if isinstance(found, str) else found
+            if not text or not text.strip():
+                raise ValueError("the model gave no text")
+            counts = [int(n) for n in usage] if len(usage) == 2 and all(isinstance(n, (int, float)) and n == n for n in usage) else [None, None]
+            return text, *counts, None
+        except Exception as error:  # noqa: BLE001 - whatever a model raises fails this question only
+            return None, None, None, f"{type(error).__name__}: {error}"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            asked = [one(user) if reason is None and user is not None else (None,) * 4 for user, reason in zip(frame["userPrompt"], frame["reason"], strict=True)]
+            out = frame.copy()
+            for at, name in enumerate(("answer", "inputTokens", "outputTokens", "error")):
+                out[name] = pd.Series([a[at] for a in asked], index=out.index, dtype="Int64" if "Tokens" in name else object)
+            yield out
+
+    return df.mapInPandas(run, schema)
+
+
 def citations(answers: DataFrame, context: DataFrame) -> DataFrame:
     """(queryId, pos, sourceId, chunkId, title, headingPath, source, score) in order of first appearance; unknown ids are left out."""
     cited = answers.select("queryId", F.posexplode(generation.cited_ids(F.col("answer"))).alias("pos", "sourceId"))
@@ -89,17 +127,19 @@ def citations(answers: DataFrame, context: DataFrame) -> DataFrame:
     return cited.join(context, ["queryId", "sourceId"]).select("queryId", "pos", "sourceId", "chunkId", blank("documentTitle", "(untitled)", "title"), blank("headingPath", "(none)", "headingPath"), blank("sourcePath", "(unknown source)", "source"), "score")
 
 
-def ask(questions: DataFrame, results: DataFrame, max_chunks: int = 5, max_chars: int = 12_000, min_score: float = 0.0, max_prompt_tokens: int = 8000, input_price: float = 0.75, output_price: float = 3.75) -> DataFrame:
+def ask(questions: DataFrame, results: DataFrame, max_chunks: int = 5, max_chars: int = 12_000, min_score: float = 0.0, max_prompt_tokens: int = 8000, input_price: float = 0.75, output_price: float = 3.75, model: Callable | None = None, **calls) -> DataFrame:
     """One row a question: queryId, answer, reason, cited, inputTokens, outputTokens, costUsd; refused questions have no usage.
 
     The results are read once: a query's context, and whether it has any, come out of the same group, and one join brings them to
-    the questions.
+    the questions. Without a ``model`` the offline one answers; with one (see ``model_answers``) a question that it fails on has the
+    reason generation_failed and the error.
     """
     inside = F.col("text").isNotNull()
     grouped = placed_results(results, max_chunks, max_chars, min_score).groupBy("queryId").agg(F.lit(True).alias("found"), F.count_if(inside).alias("chosen"), _context_text(inside).alias("context"))
     asked = questions.join(grouped, "queryId", "left").withColumn("context", F.when(F.col("chosen") > 0, F.col("context")))
     reason = F.when(F.col("found").isNull(), "no_results").when(F.col("chosen") == 0, "below_threshold").when(F.col("promptTokens") > max_prompt_tokens, "prompt_too_long")
-    judged = fake_answers(_with_prompt(asked).withColumn("reason", reason))
+    prompted = _with_prompt(asked).withColumn("reason", reason)
+    judged = fake_answers(prompted) if model is None else model_answers(prompted, model, **calls).withColumn("reason", F.coalesce("reason", F.when(F.col("error").isNotNull(), "generation_failed")))
     fine = lambda c: F.when(F.col("reason").isNull(), c)
     priced = judged.withColumns({"cited": fine(generation.cited_ids(F.col("answer"))), "costUsd": fine(generation.cost_usd(F.col("inputTokens"), F.col("outputTokens"), input_price, output_price)), "inputTokens": fine(F.col("inputTokens")), "outputTokens": fine(F.col("outputTokens"))})
     return priced.withColumn("answer", F.coalesce(fine(F.col("answer")), F.lit(NO_ANSWER))).drop("found", "chosen", "userPrompt", "promptTokens")
