@@ -62,21 +62,25 @@ class Part(InputPartition):
 
 
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a path or URI, and the path within it."""
-    if "://" in path or path.startswith("file:"):
-        return pafs.FileSystem.from_uri("file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path)
-    return pafs.LocalFileSystem(), path
+    """The file system of a path or URI (any that Arrow knows; s3a is s3), and the path within it."""
+    if "://" not in path and not path.startswith("file:"):
+        return pafs.LocalFileSystem(), path
+    if path.startswith("s3a://"):
+        path = "s3" + path[3:]
+    return pafs.FileSystem.from_uri("file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path)
 
 
 def _listed(path: str) -> list[tuple[str, int]]:
-    """(path, bytes) of the archives at or below a path, in order of their names."""
+    """(path, bytes) of the archives at or below a path, in order of their names. They are named as the path is, host and all."""
     files, root = filesystem(path)
-    scheme = path[: path.index("://") + 3] if "://" in path and not path.startswith("file:") else ""
+    base, mark, query = path.partition("?")
+    base, inner = base.rstrip("/"), root.rstrip("/")
+    named = lambda p: base[: len(base) - len(inner)] + p + mark + query if base.endswith(inner) else p
     info = files.get_file_info(root)
     if info.type == pafs.FileType.NotFound:
         raise ArchiveError(f"{path} does not exist")
     found = [info] if info.type == pafs.FileType.File else [f for f in files.get_file_info(pafs.FileSelector(root, recursive=True)) if f.type == pafs.FileType.File and f.path.endswith(".zip")]
-    return sorted((scheme + f.path, f.size) for f in found)
+    return sorted((named(f.path), f.size) for f in found)
 
 
 class _Opened:
