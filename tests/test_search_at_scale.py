@@ -4,7 +4,6 @@ import json
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 from ragloom.operators import ann, retrieval
 from ragloom.sources import records
 
