@@ -20,14 +20,15 @@ def rejection(provider: str, model: str, version: str, dimensions: int, allow_fa
 def index_status(records: DataFrame, chunks: DataFrame, reason: Column) -> DataFrame:
     """records with their chunk's columns, parentText and status: skippedFakeProvider, skippedByProvenanceMismatch or indexed.
 
-    A record without a chunk counts as a mismatch; a missing parent leaves parentText null. Repeated chunk ids count once.
+    A record without a chunk counts as a mismatch; a missing parent leaves parentText null. Repeated chunk ids count once. Records
+    without a parent are dealt by their own chunk's id, not all together, and match nothing.
     """
     own = chunks.dropDuplicates(["chunkId"])
     titles = [F.col(c) if c in chunks.columns else F.lit(None).cast("string").alias(c) for c in ("documentTitle", "sourcePath")]
     records = records.drop("documentTitle", "sourcePath")  # the chunk's are kept
     joined = records.withColumn("reason", reason).join(own.select("chunkId", "parentChunkId", "chunkType", "headingPath", "text", *titles, F.lit(True).alias("found")), "chunkId", "left")
-    parents = own.select(F.col("chunkId").alias("parentChunkId"), F.col("text").alias("parentText"))
-    joined = joined.join(parents, "parentChunkId", "left")
+    parents = own.select(F.col("chunkId").alias("parent"), F.lit(False).alias("alone"), F.col("text").alias("parentText"))
+    joined = joined.withColumns({"parent": F.coalesce("parentChunkId", "chunkId"), "alone": F.col("parentChunkId").isNull()}).join(parents, ["parent", "alone"], "left").drop("parent", "alone")
     status = F.when(F.col("reason") == "fakeProvider", "skippedFakeProvider").when(F.col("reason").isNotNull() | F.col("found").isNull(), "skippedByProvenanceMismatch").otherwise("indexed")
     return joined.withColumn("status", status).drop("found")
 

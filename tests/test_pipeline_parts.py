@@ -1,4 +1,5 @@
 import zipfile
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -152,3 +153,20 @@ def test_stream_is_idempotent(spark, tmp_path):
         stream = incremental.chunk_stream(spark, str(tmp_path / "in"), schema)
         incremental.start(stream, collections, "c", str(tmp_path / checkpoint), to_points, 4).awaitTermination(90)
         assert collections.info("c") == {"dimensions": 4, "count": 4}
+
+
+def test_records_without_a_parent_are_not_dealt_together(spark):
+    held = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    for name, value in zip(held, ("false", "-1", "8"), strict=True):
+        spark.conf.set(name, value)
+    try:
+        ids = spark.range(800).select(F.col("id").cast("string").alias("chunkId"))
+        chunks = ids.select("chunkId", F.when(F.col("chunkId") == "7", "5").when(F.col("chunkId") == "8", "gone").alias("parentChunkId"), F.lit("child").alias("chunkType"), F.lit(None).cast("array<struct<text:string>>").alias("headingPath"), F.concat(F.lit("t"), "chunkId").alias("text"))
+        records = ids.select("chunkId", F.lit("fake").alias("provider"), F.lit("m").alias("model"), F.lit("1").alias("modelVersion"), F.lit(1).alias("dimensions"), F.array(F.lit(1.0)).alias("vector"))
+        status = indexing.index_status(records, chunks, indexing.rejection("fake", "m", "1", 1, allow_fake=True))
+        rows = status.withColumn("task", F.spark_partition_id()).collect()
+        assert len(rows) == 800 and {r["status"] for r in rows} == {"indexed"} and {r["chunkId"]: r["parentText"] for r in rows if r["parentText"]} == {"7": "t5"}
+        assert max(Counter(r["task"] for r in rows).values()) < 200
+    finally:
+        for name, value in held.items():
+            spark.conf.set(name, value)
