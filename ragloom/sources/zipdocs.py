@@ -123,7 +123,7 @@ def split_front_matter(documents: DataFrame, raw: str = "raw") -> DataFrame:
             return None, None, str(error).split("\n")[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in markdown.small_batches(batches, at):
             out = [one(v) for v in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array([r[i] for r in out], pa.string()) for i in range(3)]], names=[*keep, "frontMatter", "body", "error"])
 

@@ -1,11 +1,12 @@
 import zipfile
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from ragloom.config import ConfigError, Settings
-from ragloom.operators import answering, embedding, indexing, retrieval
+from ragloom.operators import answering, embedding, indexing, markdown, retrieval
 from ragloom.sources import records, store, zipdocs
 from ragloom.streaming import incremental
 
@@ -155,6 +156,33 @@ def test_stream_is_idempotent(spark, tmp_path):
         assert collections.info("c") == {"dimensions": 4, "count": 4}
 
 
+def test_texts_are_parsed_in_slices_of_bounded_size(spark):
+    texts = ["# A\n\n" + "x" * n for n in (10, 700_000, 700_000, 3_000_000, 0, 5)] + [None, ""] + ["# B"] * 3000
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["k", "body"])
+    made = list(markdown.small_batches(iter([batch]), 1))
+    assert pa.Table.from_batches(made).equals(pa.Table.from_batches([batch]))
+    assert all(b.num_rows <= markdown.SLICE_ROWS and (b.num_rows == 1 or sum(len(t or "") for t in b.column(1).to_pylist()) <= markdown.SLICE_BYTES) for b in made)
+    assert list(markdown.small_batches(iter([batch.slice(0, 0)]), 1)) == []
+    seen = []
+    outline, split = markdown.outlines, zipdocs.split_front_matter
+
+    class Documents:
+        """Stands for a table with one text column whose batch is run here."""
+
+        def __init__(self, name):
+            self.columns, self.schema = [name], spark.createDataFrame([("",)], f"{name} string").schema
+
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, run, schema):  # noqa: N802 - Spark's name
+            seen.append([b.num_rows for b in run(iter([batch.select(["body"])]))])
+
+    outline(Documents("body"))
+    split(Documents("raw"))
+    assert all(sum(rows) == len(texts) and max(rows) <= markdown.SLICE_ROWS for rows in seen) and len(seen) == 2
+
+
 def test_records_without_a_parent_are_not_dealt_together(spark):
     held = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
     for name, value in zip(held, ("false", "-1", "8"), strict=True):
