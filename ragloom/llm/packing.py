@@ -6,6 +6,8 @@ groups of bounded size, so neither the corpus nor a hot source meets in one task
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -28,6 +30,7 @@ LONG_CHUNK, _ENTRY = 256, 160
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
+_RUNS = re.compile("[a-z]+|[0-9]")
 _memories: dict[str, tuple] = {}
 
 
@@ -35,7 +38,8 @@ def make_encoder(path: str) -> Callable[[str], np.ndarray]:
     """Text to ids (uint32) of a tokenizer that lower-cases and whose pre-tokenizer never joins what ASCII white space parts.
 
     Ids of each chunk between white space are remembered for the life of the Python worker: common words are then looked up,
-    not merged anew. A full stop or comma after a letter or digit is a token of its own, so such chunks reuse the ids of the word.
+    not merged anew. New ones of ASCII letters and digits, which the pre-tokenizer cuts into runs of letters and single digits, skip all but
+    the tokenizer's model. A full stop or comma after a letter or digit is a token of its own, so such chunks reuse the ids of the word.
     """
     if path not in _memories:
         import os
@@ -46,15 +50,21 @@ def make_encoder(path: str) -> Callable[[str], np.ndarray]:
         _memories[path] = Tokenizer.from_file(path), {}
     tokenizer, memory = _memories[path]
     held = sum(map(len, memory)) + sum(map(len, memory.values())) + _ENTRY * len(memory)
+    raw_ids = lambda ids: struct.pack(f"<{len(ids)}I", *ids)
+    model, digits = tokenizer.model, {d: raw_ids(tokenizer.encode(d, add_special_tokens=False).ids) for d in "0123456789"}
     tails = {t: np.array(tokenizer.encode(t.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes() for t in (b".", b",")}
 
     def learn(chunks: list[bytes], into: dict[bytes, bytes]) -> None:
         words = {c[:-1] if c[-1:] in tails and c[-2:-1].isalnum() else c for c in chunks}
         words = [w for w in words if w not in into]
+        for w in words:
+            if w.isalnum() and w == w.lower():  # ASCII: runs of letters, and single digits, go to the tokenizer's model as they are
+                into[w] = b"".join([raw_ids([t.id for t in model.tokenize(x)]) if x not in digits else digits[x] for x in _RUNS.findall(w.decode())])
+        words = [w for w in words if w not in into]
         for at in range(0, len(words), 4096):
             part = words[at : at + 4096]
             for word, e in zip(part, tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                into[word] = np.array(e.ids, dtype="<u4").tobytes()
+                into[word] = raw_ids(e.ids)
         for c in chunks:
             if c not in into:
                 into[c] = into[c[:-1]] + tails[c[-1:]]
@@ -63,7 +73,7 @@ def make_encoder(path: str) -> Callable[[str], np.ndarray]:
         nonlocal held
         raw = text.encode()
         chunks = (raw if b"<|" in raw else raw.lower()).split()
-        missing = {c for c in chunks if c not in memory}
+        missing = set(chunks).difference(memory)
         long: dict[bytes, bytes] = {}
         if missing:
             learn([c for c in missing if len(c) > LONG_CHUNK], long)
@@ -75,7 +85,7 @@ def make_encoder(path: str) -> Callable[[str], np.ndarray]:
                 size = sum(map(len, new))
             learn(new, memory)
             held += 3 * size + _ENTRY * len(new)
-        found = b"".join([long[c] if c in long else memory[c] for c in chunks]) if long else b"".join([memory[c] for c in chunks])
+        found = b"".join([long[c] if c in long else memory[c] for c in chunks]) if long else b"".join(map(memory.__getitem__, chunks))
         return np.frombuffer(found, dtype="<u4")
 
     return encode

@@ -31,3 +31,27 @@ def test_hot_and_null_ids_spread_over_the_groups(spark, tmp_path):
     assert sum(sizes) == 4000 and len(sizes) == 10 and max(sizes) < 800
     filled = packed.groupBy("sequence_id").agg({"length": "sum"}).toPandas()["sum(length)"]
     assert filled.max() <= 4096 and np.mean(filled) > 3500
+
+
+def test_plain_words_skip_all_but_the_model(monkeypatch):
+    from tokenizers import Tokenizer
+
+    tokenizer, whole = Tokenizer.from_file(TOKENIZER), []
+
+    class Counted:
+        """The tokenizer, noting what is encoded in full."""
+
+        def __getattr__(self, name):
+            return getattr(tokenizer, name)
+
+        def encode_batch_fast(self, part, **more):
+            whole.extend(part)
+            return tokenizer.encode_batch_fast(part, **more)
+
+    monkeypatch.setitem(packing._memories, TOKENIZER, (Counted(), {}))
+    encode = packing.make_encoder(TOKENIZER)
+    text = "Plain WORDS, abc123x 42 7. a1b2 0x9f it's s t don't e-mail \u212a9 \u00e9t\u00e9 x\u0301y \u0661\u0662 zzqxj " + "ab9" * 40
+    assert encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert not [w for w in whole if w.isascii() and w.isalnum()] and "don't" in whole
+    raw = "<|x ABC def9 Ab1"
+    assert encode(raw).tolist() == tokenizer.encode(raw, add_special_tokens=False).ids
