@@ -99,3 +99,16 @@ def test_sketches_estimate_the_similarity():
         x, y = (np.frombuffer(neardup.signature(" ".join(t))[1], np.uint8) for t in (a, b))
         assert abs((x == y).mean() - similarity(a, b)) < 0.13
     assert neardup.signature(None) == neardup.signature(" \n") == (0, bytes(neardup.MINIMA)) and neardup.signature("one two")[1] != neardup.signature("two one")[1]
+
+
+def test_only_rows_with_a_close_fingerprint_are_given_sketches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(neardup, "TILE", 100)  # 7 tiles a side
+    rng = random.Random(8)
+    near = rng.getrandbits(62)
+    fps = {i: rng.getrandbits(62) for i in range(600)} | {600: near, 601: near ^ 0b111, 602: near, 603: near ^ 0b1111110000}
+    spark.createDataFrame([(0, 5, fp, n) for n, fp in fps.items() if n != 602] + [(0, 7, near, 602)], "part int, key long, fp long, node long").write.parquet(str(tmp_path / "k"))
+    pairs = spark.createDataFrame([(0, 5, 5, 603, 603), (0, 5, 7, 603, 1)], "part int, key long, near long, n long, n_near long")
+    rows = neardup.close_tiles(spark.read.parquet(str(tmp_path / "k")), pairs, 6).collect()
+    # Of 600 far rows none is left; a row is never its own neighbour; equal fingerprints of different nodes are close.
+    assert {(r["near"], r["node"]) for r in rows} == {(5, 600), (5, 601), (5, 603), (7, 600), (7, 601), (7, 602), (7, 603)}
+    assert len(rows) < 40
