@@ -55,3 +55,32 @@ def test_plain_words_skip_all_but_the_model(monkeypatch):
     assert not [w for w in whole if w.isascii() and w.isalnum()] and "don't" in whole
     raw = "<|x ABC def9 Ab1"
     assert encode(raw).tolist() == tokenizer.encode(raw, add_special_tokens=False).ids
+
+
+def test_words_of_other_letters_and_words_with_marks_skip_all_but_the_model(monkeypatch):
+    from tokenizers import Tokenizer
+
+    tokenizer, whole = Tokenizer.from_file(TOKENIZER), []
+
+    class Counted:
+        """The tokenizer, noting what is encoded in full."""
+
+        def __getattr__(self, name):
+            return getattr(tokenizer, name)
+
+        def encode_batch_fast(self, part, **more):
+            whole.extend(part)
+            return tokenizer.encode_batch_fast(part, **more)
+
+    monkeypatch.setitem(packing._memories, TOKENIZER, (Counted(), {}))
+    text = "été ÜBER&&& naïve%%% plain*** straße. Ÿ_! o'er x'd. " + " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}," for i in range(600))
+    assert packing.make_encoder(TOKENIZER)(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert {w for w in whole if any(c.isalpha() for c in w)} == {"o'er", "x'd."} and len(whole) < 12
+
+
+def test_every_letter_and_mark_has_the_tokenizers_ids():
+    from tokenizers import Tokenizer
+
+    tokenizer, encode = Tokenizer.from_file(TOKENIZER), packing.make_encoder(TOKENIZER)
+    for t in [f"ab{c}cd {c} x{c}. {c}!?'s a{c}{c}" for c in map(chr, range(0x250))]:
+        assert encode(t).tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
