@@ -7,20 +7,21 @@ dominates. The best-fit solution is the first incumbent; a branch whose windows
 
 from __future__ import annotations
 
+import codecs
 import re
 import zlib
-from array import array
 from collections.abc import Callable, Iterator
-from itertools import combinations
+from itertools import combinations, pairwise
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ragloom.llm.common import written
-from ragloom.llm.packing import best_fit_decreasing
+from ragloom.llm.packing import Held, best_fit_decreasing, byte_alphabet, ids_by_word, joined, raw_ids
 
 #: Id that ends each document, and the window's size (fixed values).
 END_ID, WINDOW = 2, 1024
@@ -36,56 +37,59 @@ _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Stretches that the tokenizer never joins to their neighbours: a word with the space before it, or white space.
 _CHUNK = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
-_PLAIN = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
-_SPACES = re.compile(f"[{_WHITE}]+")
+#: White space besides the space and the line end, in ASCII and beyond.
+_OTHER_WHITE, _WIDE_WHITE = "\t\x0b\x0c\r", re.compile(f"[{_WHITE[len('\\t-\\r '):]}]")
+#: A word of letters that is one stretch for the tokenizer, and ASCII punctuation after it up to the chunk's end, which is another.
+_WORD = "^(?P<word> ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)(?P<mark>[!-/:-@\\[-`{-~]*)$"
+_SPACES = re.compile(f"[{_WHITE}]*")
 _SPECIAL = "<|endoftext|>"
-#: Characters of texts that are tokenised together (a longer text stands alone).
-_PART = 1 << 19
+#: Characters of texts that are tokenised together (a longer text stands alone), words that are joined, rows put out together.
+_PART, _JOINED, _ROWS = 8 << 20, 1024, 2500
 
 _memories: dict[str, tuple] = {}
 
 
 def make_encoder(path: str) -> Callable[[list[str]], Iterator[np.ndarray]]:
-    """Texts to ids (uint32) of a byte-level tokenizer. Ids of chunks are remembered for the life of the Python worker."""
+    """Texts to ids (uint32) of a byte-level tokenizer. Ids of chunks are remembered for the life of the Python worker.
+
+    New words of letters skip all but the tokenizer's model, which takes many of them joined by line ends, each a token of its own.
+    """
     if path not in _memories:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks fill the cores
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import Split
+
+        tokenizer = Tokenizer.from_file(path)
+        words_only, alphabet = Tokenizer(tokenizer.model), byte_alphabet()
+        words_only.pre_tokenizer = Split(alphabet[0x0A], "isolated")
+        _memories[path] = tokenizer, Held(), words_only, alphabet
+    tokenizer, held, words_only, alphabet = _memories[path]
+    ids_of = lambda t: raw_ids(tokenizer.encode(t, add_special_tokens=False).ids)
+    line_end = int.from_bytes(ids_of("\n"), "little")
+
+    def parted_ids(raw: bytes) -> list[bytes]:
+        stops = [-4, *(4 * np.flatnonzero(np.frombuffer(raw, "<u4") == line_end)).tolist(), len(raw)]
+        return [raw[a + 4 : b] for a, b in pairwise(stops)]
+
+    def word_ids(words: pa.Array) -> list[bytes]:
+        out = []
+        for at in range(0, len(words), _JOINED):
+            spelt = codecs.charmap_decode(joined(words.slice(at, _JOINED), "\n"), "strict", alphabet)[0]
+            out += parted_ids(raw_ids(words_only.encode_batch_fast([spelt], add_special_tokens=False)[0].ids))
+        return out
 
-        _memories[path] = Tokenizer.from_file(path), {}, [0]
-    tokenizer, memory, held = _memories[path]
-    model, letters = tokenizer.model, _letters(tokenizer)
-    packed = lambda ids: array("I", ids).tobytes()
-    ids_of = lambda t: packed(tokenizer.encode(t, add_special_tokens=False).ids)
-    tails = {t: ids_of(t) for t in (".", ",")}
-    line_end = ids_of("\n")
-
-    def learn(chunks: set[str], into: dict[str, bytes]) -> None:
-        # A full stop or comma after a letter or digit is a stretch of its own, so the word's ids serve with and without it.
-        plain = lambda c: c[:-1] if c[-1] in tails and c[-2:-1].isalnum() else c
-        rest = []
-        for w in {plain(c) for c in chunks}:
-            if w in into:
-                continue
-            if _PLAIN.fullmatch(w):  # one stretch for the tokenizer: its model takes it as it is
-                into[w] = packed([t.id for t in model.tokenize(w.translate(letters))])
-            elif _SPACES.fullmatch(w):
-                into[w] = ids_of(w)
-            else:
-                rest.append(w)
-        for at in range(0, len(rest), 1024):
-            # Parted by a line end, which is a token of its own there and so tells where each word's ids end.
-            part = rest[at : at + 1024]
-            raw = packed(tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids)
-            ids = np.frombuffer(raw, "<u4")
-            begin = 0
-            for word, end in zip(part, np.append(np.flatnonzero(ids == int.from_bytes(line_end, "little")), len(ids)).tolist(), strict=True):
-                into[word] = raw[begin : 4 * end]
-                begin = 4 * end + 4
-        for c in chunks:
-            if c not in into:
-                into[c] = into[c[:-1]] + tails[c[-1]]
+    def other_ids(chunks: list[str]) -> list[bytes]:
+        known = {c: ids_of(c) for c in chunks if _SPACES.fullmatch(c)}
+        odd = [c for c in chunks if c not in known]
+        for at in range(0, len(odd), _JOINED):
+            part = odd[at : at + _JOINED]
+            known |= zip(part, parted_ids(ids_of("\n".join(part))), strict=True)
+        return [known[c] for c in chunks]
+
+    def learn(chunks: pa.Array) -> list[bytes]:
+        return ids_by_word(chunks, _WORD, word_ids, lambda marks: [ids_of(m) for m in marks], other_ids)
 
     def encode(texts: list[str]) -> Iterator[np.ndarray]:
         at = 0
@@ -98,48 +102,21 @@ def make_encoder(path: str) -> Callable[[list[str]], Iterator[np.ndarray]]:
             at = end
 
     def part_ids(texts: list[str]) -> Iterator[np.ndarray]:
-        chunked = [None if _SPECIAL in t else _CHUNK.findall(t) for t in texts]
-        found = [None if chunks is None else list(map(memory.get, chunks)) for chunks in chunked]
-        gaps = [() if ids is None else _gaps(ids) for ids in found]
-        missing = {chunks[i] for chunks, empty in zip(chunked, gaps) for i in empty}
-        own: dict[str, bytes] = {}
-        if missing:
-            learn({c for c in missing if len(c) > LONG_CHUNK}, own)
-            new = {c for c in missing if len(c) <= LONG_CHUNK}
-            size = 4 * sum(map(len, new)) + _ENTRY * len(new)
-            if held[0] + size > MEMORY_BYTES:
-                memory.clear()
-                held[0] = 0
-            held[0] += size
-            learn(new, memory)
-        for text, chunks, ids, empty in zip(texts, chunked, found, gaps):
-            if chunks is None:
-                yield np.frombuffer(ids_of(text), dtype="<u4")
-            else:
-                for i in empty:
-                    ids[i] = own[chunks[i]] if chunks[i] in own else memory[chunks[i]]
-                yield np.frombuffer(b"".join(ids), dtype="<u4")
+        apart = [_SPECIAL in t or "\0" in t for t in texts]
+        parted = pc.split_pattern(pa.array(["" if alone else _parted(t) for t, alone in zip(texts, apart)], pa.string()), "\0")
+        for text, alone, ids in zip(texts, apart, held.ids(parted, learn, MEMORY_BYTES, LONG_CHUNK, _ENTRY), strict=True):
+            yield np.frombuffer(ids_of(text), dtype="<u4") if alone else ids
 
     return encode
 
 
-def _letters(tokenizer) -> dict[int, str]:
-    """What the tokenizer's alphabet of bytes makes of the characters that _PLAIN allows."""
-    from tokenizers.pre_tokenizers import ByteLevel
-
-    alphabet = ByteLevel(add_prefix_space=False, use_regex=False)
-    return {i: alphabet.pre_tokenize_str(chr(i))[0][0] for i in range(0x20, 0x250) if chr(i) == " " or _PLAIN.fullmatch(chr(i))}
-
-
-def _gaps(values: list) -> list[int]:
-    """Places of None."""
-    out, at = [], -1
-    try:
-        while True:
-            at = values.index(None, at + 1)
-            out.append(at)
-    except ValueError:
-        return out
+def _parted(text: str) -> str:
+    """The text with a null character between its chunks (empty ones do no harm). Where white space is one space or line end at a time,
+    each opens a chunk and nothing else does."""
+    double = any(x in text for x in ("  ", "\n\n", " \n", "\n "))
+    if double or any(c in text for c in _OTHER_WHITE) or not text.isascii() and _WIDE_WHITE.search(text):
+        return "\0".join(_CHUNK.findall(text))
+    return text.replace(" ", "\0 ").replace("\n", "\0\n\0")
 
 
 def token_pieces(documents: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
@@ -151,8 +128,8 @@ def token_pieces(documents: DataFrame, tokenizer: str, window: int = WINDOW, end
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = make_encoder(tokenizer), np.array([end_id], dtype="<u4")
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
+            for at in range(0, whole.num_rows, _ROWS):
+                batch = whole.slice(at, _ROWS)
                 rows: list[list] = [[], [], [], [], []]
                 for doc_id, found in zip(batch.column(0).to_pylist(), encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
                     ids = np.concatenate([found, end])

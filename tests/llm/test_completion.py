@@ -117,3 +117,36 @@ def test_null_and_repeated_ids_spread_over_the_groups(spark, tmp_path):
     packed = completion.pack(spark.read.parquet(str(tmp_path / "p")), group_pieces=400)
     sizes = [r["count"] for r in packed.groupBy((packed.sequence_id / 2**32).cast("long").alias("g")).count().collect()]
     assert sum(sizes) == 4000 and len(sizes) == 10 and max(sizes) < 800
+
+
+def test_new_words_go_to_the_tokenizers_model_together(monkeypatch):
+    completion._memories.clear()
+    completion.make_encoder(TOKENIZER)
+    tokenizer, held, words_only, alphabet = completion._memories[TOKENIZER]
+    calls, full = [], []
+
+    class Counted:
+        def __init__(self, whole, seen):
+            self.whole, self.seen = whole, seen
+
+        def encode(self, text, **more):
+            self.seen.append(text)
+            return self.whole.encode(text, **more)
+
+        def encode_batch_fast(self, part, **more):
+            self.seen.extend(part)
+            return self.whole.encode_batch_fast(part, **more)
+
+    monkeypatch.setitem(completion._memories, TOKENIZER, (Counted(tokenizer, full), held, Counted(words_only, calls), alphabet))
+    text = "\n".join(f"Wörd{chr(97 + i % 26)}{chr(97 + i // 26)}, üb{chr(97 + i % 26)}{chr(97 + i // 26)}&&&" for i in range(600)) + " it's"
+    assert next(completion.make_encoder(TOKENIZER)([text])).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(calls) == 2 and len(full) < 8 and not [t for t in full if "rd" in t]
+    completion._memories.clear()
+
+
+def test_chunks_are_those_of_the_pattern_wherever_white_space_stands():
+    rng = random.Random(12)
+    tokenizer, encode = reference(), completion.make_encoder(TOKENIZER)
+    for alphabet in ("ab c.,\né' \n", "ab \t\r\n\x0b\x1c\x85\xa0 \x00x."):
+        texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(30))) for _ in range(1500)]
+        assert [x.tolist() for x in encode(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
