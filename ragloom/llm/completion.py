@@ -30,7 +30,7 @@ GROUP_PIECES = 20_000
 #: Windows that are searched together, steps of one search, and searches of a group. The incumbent stands when they are used up.
 SEARCHED, STEPS, TRIES = 300, 20_000, 6
 #: Bytes of chunks and of their ids that a task remembers (the memory starts afresh beyond them); longer chunks are not remembered.
-MEMORY_BYTES, LONG_CHUNK, _ENTRY = 256 << 20, 256, 200
+MEMORY_BYTES, LONG_CHUNK, _ENTRY = 256 << 20, 256, 160
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 #: White space as the tokenizer's own pattern has it (fixed values).
@@ -63,7 +63,9 @@ def make_encoder(path: str) -> Callable[[list[str]], Iterator[np.ndarray]]:
 
         tokenizer = Tokenizer.from_file(path)
         words_only, alphabet = Tokenizer(tokenizer.model), byte_alphabet()
-        words_only.pre_tokenizer = Split(alphabet[0x0A], "isolated")
+        end = alphabet[0x0A]
+        # Where no token holds a line end after anything else, a word and its line end may go to the model as one stretch.
+        words_only.pre_tokenizer = Split(end, "isolated" if any(end in t[1:] and t.strip(end) for t in tokenizer.get_vocab()) else "merged_with_previous")
         _memories[path] = tokenizer, Held(), words_only, alphabet
     tokenizer, held, words_only, alphabet = _memories[path]
     ids_of = lambda t: raw_ids(tokenizer.encode(t, add_special_tokens=False).ids)
