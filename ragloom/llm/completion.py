@@ -44,7 +44,7 @@ _WORD = "^(?P<word> ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)(?P<mark>[
 _SPACES = re.compile(f"[{_WHITE}]*")
 _SPECIAL = "<|endoftext|>"
 #: Characters of texts that are tokenised together (a longer text stands alone), words that are joined, rows put out together.
-_PART, _JOINED, _ROWS = 8 << 20, 1024, 2500
+_PART, _JOINED, _ROWS = 1 << 20, 1024, 1000
 
 _memories: dict[str, tuple] = {}
 

@@ -31,7 +31,7 @@ MEMORY_BYTES = 128 << 20
 #: Longer chunks are not remembered beyond their own text. A remembered chunk takes so many bytes besides.
 LONG_CHUNK, _ENTRY = 256, 160
 #: Rows of a batch whose pieces are put out together.
-_ROWS = 2500
+_ROWS = 1000
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -41,7 +41,7 @@ _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
 #: Such a word, and ASCII punctuation after it up to the chunk's end, which is a stretch of its own.
 _WORD = f"^(?P<word>[{_LETTERS}]+)(?P<mark>[!-/:-@\\[-`{{-~]*)$"
 #: Bytes of texts that are tokenised together (a longer text stands alone), and words that are joined for the tokenizer's model.
-_PART, _JOINED = 8 << 20, 1024
+_PART, _JOINED = 1 << 20, 1024
 _memories: dict[str, tuple] = {}
 _models: dict[str, tuple] = {}
 
