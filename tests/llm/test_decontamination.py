@@ -208,3 +208,39 @@ def test_words_block_starts_and_document_frequencies_equal_plain_ones():
         t = decontamination._terms(h)
         assert (decontamination._document_frequencies(doc, t) == np.bincount([x for _, x in set(zip(doc.tolist(), t.tolist(), strict=True))], minlength=decontamination.TERMS)).all()
     assert len(set(same.values())) == len(same) > 500
+
+
+def test_the_space_is_decomposed_from_all_passages_of_all_documents(spark):
+    """The sums equal those of plain loops, whatever the partitioning, and every passage with a term in question is in one of them."""
+    rng = random.Random(16)
+    vocabulary = prose(rng, 300).split()
+    texts = [" ".join(rng.choices(vocabulary, k=rng.choice([1, 15, 16, 17, 33, 200]))) for _ in range(1000)]
+    frame = lambda parts: spark.createDataFrame([(t,) for t in [*texts, None, "", "é"]], "text string").repartition(parts)
+    idf = np.random.default_rng(16).uniform(0.01, 6, decontamination.TERMS).astype(np.float32)
+    hasher, size = decontamination.WordHasher(), 2 * decontamination.BLOCK
+    h, doc = hasher.words([" ".join(vocabulary).encode()])
+    terms = np.unique(decontamination._terms(h))[::2]
+    sums = decontamination.passage_sums(frame(2), idf, terms)
+    assert sums.shape == (decontamination.RANK, len(terms)) and (sums == decontamination.passage_sums(frame(5), idf, terms)).all()
+    plain, n = np.zeros((decontamination.RANK, len(terms))), 0
+    for text in texts:
+        t = decontamination._terms(hasher.words([text.encode()])[0])
+        total = np.zeros((decontamination.RANK, decontamination.TERMS), np.int64)
+        column = np.arange(decontamination.TERMS)
+        h, doc = hasher.words([text.encode()])
+        decontamination._add_passages(total, h, doc, idf, idf**2, column)
+        wanted = np.zeros(decontamination.TERMS)
+        for k in range(0, len(t), decontamination.BLOCK):
+            span = t[k : k + size]
+            wanted[np.unique(span)] += [idf[x] * (span == x).sum() / np.sqrt((idf[span].astype(float) ** 2).sum()) for x in np.unique(span)]
+            n += 1
+        if len(t) <= decontamination.BLOCK:  # one passage: one sum, one sign
+            assert np.abs(np.abs(total).sum(axis=0) / decontamination.SCALE - wanted).max() < 1e-3 and (total != 0).any(axis=1).sum() == 1
+        else:  # no term has more than its passages give, none is left out
+            assert (np.abs(total).sum(axis=0) / decontamination.SCALE <= wanted + 1e-3).all() and total.any(axis=0)[t].mean() > 0.9
+        plain += total[:, terms] / decontamination.SCALE
+    assert n > 3000 and np.abs(plain - sums).max() < 1e-3
+    items = decontamination._items([{"item_id": 0, "text": " ".join(rng.choices(vocabulary, k=30))}])
+    (own, windows), = decontamination._blocks(iter(items))
+    space = lambda given: decontamination.latent_space(own, windows, idf, [], (terms, given))[1]
+    assert np.abs(space(sums) - space(np.where(np.arange(len(sums))[:, None] == 77, 0, sums))).max() > 1e-4
