@@ -244,3 +244,15 @@ def test_the_space_is_decomposed_from_all_passages_of_all_documents(spark):
     (own, windows), = decontamination._blocks(iter(items))
     space = lambda given: decontamination.latent_space(own, windows, idf, [], (terms, given))[1]
     assert np.abs(space(sums) - space(np.where(np.arange(len(sums))[:, None] == 77, 0, sums))).max() > 1e-4
+
+
+def test_the_pipelines_step_takes_all_passages_too(spark, monkeypatch):
+    rng, given = random.Random(17), []
+    item, plain = prose(rng, 40), decontamination.latent_space
+    monkeypatch.setattr(decontamination, "latent_space", lambda *args: given.append(args) or plain(*args))
+    texts = [prose(rng, 300) for _ in range(50)] + [prose(rng, 50) + " " + item]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = decontamination.decontaminated(docs, spark.createDataFrame([(0, item)], "item_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(50))
+    _, _, idf, passages, (terms, sums) = given[0]
+    assert set(np.concatenate(passages).tolist()) <= set(terms.tolist()) and (sums == decontamination.passage_sums(docs, idf, terms)).all() and sums.any(axis=1).mean() > 0.9
